@@ -81,39 +81,34 @@ def features(piece: Piece) -> np.ndarray:
     return np.column_stack([cols[f] for f in FEATURES]).astype(np.float64)
 
 
-def feature_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, x)``: the features of every whole text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in pieces(batch.column(1)):
-                x = features(piece).astype(np.float32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, len(piece)), lists], names=["id", "x"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, x array<float>")
-
-
 @dataclass
 class Scorer:
-    """Bin edges per feature, one weight per bin, and the estimated prior."""
+    """Bin edges per feature, one weight per bin (the last weight is the constant), and the prior."""
 
     edges: list[np.ndarray]
     weights: np.ndarray
     prior: float
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        z = np.full(len(x), self.weights[-1])
-        at = 0
-        for k, e in enumerate(self.edges):
-            z += self.weights[at + np.searchsorted(e, x[:, k], side="right")]
-            at += len(e) + 1
-        return z
+        return self.weights[_bins(self.edges, x)].sum(axis=1) + self.weights[-1]
 
 
-def _design(edges: list[np.ndarray], x: np.ndarray) -> np.ndarray:
-    parts = [np.eye(len(e) + 1, dtype=np.float32)[np.searchsorted(e, x[:, k], side="right")] for k, e in enumerate(edges)]
-    return np.column_stack([*parts, np.ones((len(x), 1), np.float32)])
+def _edges(x: np.ndarray) -> np.ndarray:
+    """Quantiles of all values and of the values above zero: many features are zero for most texts."""
+    some = x[x > 0]
+    parts = [np.quantile(x, np.linspace(0, 1, BINS + 1)[1:-1])]
+    if len(some) and len(some) < len(x):
+        parts += [np.zeros(1), np.quantile(some, np.linspace(0, 1, BINS // 2 + 1)[1:-1])]
+    return np.unique(np.concatenate(parts))
+
+
+def _bins(edges: list[np.ndarray], x: np.ndarray) -> np.ndarray:
+    """The weight number of each feature's bin."""
+    out, at = np.empty(x.shape, dtype=np.int64), 0
+    for k, e in enumerate(edges):
+        out[:, k] = at + np.searchsorted(e, x[:, k], side="left")
+        at += len(e) + 1
+    return out
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -130,64 +125,108 @@ def _adam(gradient, size: int, rounds: int, rate: float = 0.05) -> np.ndarray:
 
 
 def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """The share of positives in u from scores of positives p and unlabelled u: the smallest ratio of tail shares."""
-    cuts = np.quantile(p, np.linspace(0.02, 0.8, 40))
+    """The share of positives in u from scores of positives p and unlabelled u.
+
+    Among the highest scores (almost) all of u is positive, so there the ratio of u's share to p's is
+    the prior; the cut is where the ratio's upper confidence bound is lowest.
+    """
+    cuts = np.quantile(p, np.linspace(0.01, 0.7, 70))
     in_p, in_u = (1 - np.searchsorted(np.sort(s), cuts) / len(s) for s in (p, u))
-    margin = np.sqrt(in_u * (1 - in_u) / len(u)) + np.sqrt(in_p * (1 - in_p) / len(p))
-    return float(np.clip(np.min((in_u + margin) / np.maximum(in_p, 1e-9)), 0.05, 0.98))
+    margin = 2 * (np.sqrt(in_u * (1 - in_u) / len(u)) + np.sqrt(in_p * (1 - in_p) / len(p)))
+    ratio = in_u / np.maximum(in_p, 1e-9)
+    return float(np.clip(ratio[np.argmin(ratio + margin / np.maximum(in_p, 1e-9))], 0.05, 0.98))
 
 
-def fit(p: np.ndarray, u: np.ndarray, rounds: int = 250, penalty: float = 1e-3) -> Scorer:
+def fit(p: np.ndarray, u: np.ndarray, rounds: int = 1500, penalty: float = 1e-4) -> Scorer:
     """A scorer from features of positives and of unlabelled texts."""
-    edges = [np.unique(np.quantile(u[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(u.shape[1])]
-    dp, du = _design(edges, p), _design(edges, u)
-    size = dp.shape[1]
+    edges = [_edges(u[:, k]) for k in range(u.shape[1])]
+    bp, bu = _bins(edges, p), _bins(edges, u)
+    size = sum(len(e) + 1 for e in edges) + 1
+
+    def scores(bins: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return w[bins].sum(axis=1) + w[-1]
+
+    def back(bins: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The mean over rows of v times the row's indicator of bins."""
+        out = np.bincount(bins.reshape(-1), weights=np.repeat(v, bins.shape[1]), minlength=size)
+        out[-1] = v.sum()
+        return out / len(v)
 
     def separate(w: np.ndarray) -> np.ndarray:  # P against U, on every second row
-        a, b = dp[::2], du[::2]
-        return -a.T @ (1 - _sigmoid(a @ w)) / len(a) + b.T @ _sigmoid(b @ w) / len(b) + penalty * w
+        a, b = bp[::2], bu[::2]
+        return -back(a, 1 - _sigmoid(scores(a, w))) + back(b, _sigmoid(scores(b, w))) + penalty * w
 
-    first = _adam(separate, size, rounds // 2)
-    prior = estimate_prior(dp[1::2] @ first, du[1::2] @ first) if len(p) > 20 and len(u) > 20 else 0.5
+    prior = 0.5
+    if len(p) > 20 and len(u) > 20:
+        first = _adam(separate, size, 300)
+        prior = estimate_prior(scores(bp[1::2], first), scores(bu[1::2], first))
 
     def risk(w: np.ndarray) -> np.ndarray:
-        zp, zu = dp @ w, du @ w
-        sp, su = _sigmoid(zp), _sigmoid(zu)
-        as_negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        negative = du.T @ su / len(du) - prior * (dp.T @ sp) / len(dp)
-        if as_negative < 0:  # the estimated risk on negatives must not go below zero: step back instead
-            return -negative + penalty * w
-        return -prior * (dp.T @ (1 - sp)) / len(dp) + negative + penalty * w
+        zp, zu = scores(bp, w), scores(bu, w)
+        negative = back(bu, _sigmoid(zu)) - prior * back(bp, _sigmoid(zp))
+        if np.logaddexp(0, zu).mean() < prior * np.logaddexp(0, zp).mean():
+            return -negative + penalty * w  # the risk on negatives must not go below zero: step back
+        return negative - prior * back(bp, 1 - _sigmoid(zp)) + penalty * w
 
     return Scorer(edges, _adam(risk, size, rounds), prior)
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
-    """``(id_col, held_out, score, predicted)`` of every document.
+def learn(docs: DataFrame, labels: DataFrame, *, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Scorer | None:
+    """Fit a scorer; None without positives or documents.
 
-    ``learn_from`` is a condition on ``id``: labels are read only where it holds. Texts may be null or
-    empty (all features zero; they get the score of such texts). Labels of unknown or null ids are
-    ignored; rows with a null id are scored and count as not held out only if the condition says so;
-    repeated ids are scored row by row. Without positives or documents nothing can be learned: the
-    score is 0.5 everywhere.
+    ``learn_from`` is a condition on ``id``: labels are read only where it holds. The ids of the two
+    samples are chosen on narrow rows (lowest hashes); only their texts are read, at most ``2 * sample``
+    ids for the positives, of which some may have no document.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    table = scratch.keep(feature_table(docs, id_col, text_col), "features")
-    trusted = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("y")).where(learn_from & (F.col("y") == 1)).select("id").distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    trusted = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("y")).where(learn_from & (F.col("y") == 1) & F.col("id").isNotNull()).select("id").distinct()
+    some = trusted.withColumn("kind", F.lit("p")).orderBy(F.xxhash64(F.lit("p"), "id"), "id").limit(2 * sample)
+    rest = texts.where("id IS NOT NULL").select("id").distinct().withColumn("kind", F.lit("u")).orderBy(F.xxhash64(F.lit("u"), "id"), "id").limit(sample)
+    picked = scratch.keep(some.union(rest), "picked")
+    # at most 3 * sample ids, so the broadcast is bounded
+    got = texts.join(F.broadcast(picked), "id").dropDuplicates(["id", "kind"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch.column(2)):
+                part = batch.slice(piece.first, len(piece))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists(features(piece))], names=["id", "kind", "x"])
+
+    table = scratch.keep(got.select("id", "kind", "text").mapInArrow(run, "id long, kind string, x array<double>"), "sample").orderBy("kind", F.xxhash64("kind", "id"), "id").toArrow()
+    kind = np.array(table.column("kind").to_pylist(), dtype=object)
+    x = np.array(table.column("x").to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
+    p, u = x[kind == "p"][:sample], x[kind == "u"]
+    return fit(p, u) if len(p) and len(u) else None
+
 
-    def take(rows: DataFrame, salt: str) -> np.ndarray:
-        got = rows.orderBy(F.xxhash64(F.lit(salt), "id"), "id").limit(sample).select("x").toArrow().column("x")
-        return np.array(got.to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1)))
 
-    p, u = take(table.join(trusted, "id", "left_semi"), "positive"), take(table, "unlabelled")
-    scorer = fit(p, u) if len(p) and len(u) else None
+
+def add_score(rows: DataFrame, scorer: Scorer | None, *, text_col: str = "text", out_col: str = "score") -> DataFrame:
+    """rows with the score of each whole text: no shuffle, rows stay where they are. A column named out_col is replaced."""
+    rows = rows.drop(out_col)
+    names, at = rows.columns, rows.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(-1, len(FEATURES))
-            score = _sigmoid(scorer(x)) if scorer is not None else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["id", "score"])
+            for piece in pieces(batch.column(at)):
+                score = _sigmoid(scorer(features(piece))) if scorer is not None else np.full(len(piece), 0.5)
+                yield pa.RecordBatch.from_arrays([*batch.slice(piece.first, len(piece)).columns, pa.array(score)], names=[*names, out_col])
+
+    return rows.mapInArrow(run, "".join(f"`{c}` {t}, " for c, t in rows.dtypes) + f"`{out_col}` double")
+
 
-    scored = table.mapInArrow(run, "id long, score double")
+def classify(docs: DataFrame, labels: DataFrame, *, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
+    """``(id_col, held_out, score, predicted)`` of every row of docs.
+
+    Null and empty texts have all features zero and the score of such texts. Labels of unknown or null
+    ids are ignored, repeated ones count once; rows with a null or repeated id are scored one by one; a
+    null id is held out. Other columns are ignored. Without positives or documents nothing can be
+    learned: the score is 0.5 everywhere.
+    """
+    scorer = learn(docs, labels, learn_from=learn_from, id_col=id_col, text_col=text_col, label_col=label_col, sample=sample)
+    scored = add_score(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), scorer)
     held_out = ~F.coalesce(learn_from, F.lit(False))
     return scored.select(F.col("id").alias(id_col), held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
