@@ -19,7 +19,9 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from rankweave.operators.bits import BitSet, MultiSet  # noqa: E402
 from rankweave.operators.sequence import Sequence  # noqa: E402
+from rankweave.plans.index import SequenceIndex  # noqa: E402
 from rankweave.sources import tables  # noqa: E402
+from rankweave.sources.scratch import scratch_folder  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -44,6 +46,7 @@ def headline(spark: SparkSession) -> dict:
     few = ranges(spark, 100, events.length, events.max_symbol + 1)
     million = BitSet(spark.range(1_000_000).where(F.pmod(F.xxhash64("id"), F.lit(1000)) == 0).select(F.col("id").alias("pos")), 1_000_000)
     dense = BitSet(spark.range(1_000_000).where(F.pmod(F.xxhash64("id"), F.lit(10)) < 7).select(F.col("id").alias("pos")), 1_000_000)
+    index = SequenceIndex.build(events, scratch_folder(spark, "bench-index"))
     return {
         "rank1_50k_sparse_0.1pct": lambda: million.rank1(spread(spark, 50_000, 1_000_000, "at")),
         "rank1_50k_dense_70pct": lambda: dense.rank1(spread(spark, 50_000, 1_000_000, "at")),
@@ -56,6 +59,7 @@ def headline(spark: SparkSession) -> dict:
         "quantile_100_ranges": lambda: events.quantile(few),
         "majority_100_ranges": lambda: events.majority(few.withColumn("parts", F.lit(1000))),
         "select_100_ranges": lambda: events.select(few.withColumn("k", F.lit(0).cast("long"))),
+        "quantile_5k_ranges_indexed": lambda: index.quantile(ranges(spark, 5_000, events.length, events.max_symbol + 1)),
         "level_words": lambda: events.level_words(),
     }
 

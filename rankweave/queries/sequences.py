@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from rankweave.functions.zorder import encode2, encode3, morton_masks
 from rankweave.operators.huffman import HuffmanSequence, canonical_sql, code_table
 from rankweave.operators.sequence import Sequence, morton_sequence
+from rankweave.plans.index import SequenceIndex
 from rankweave.queries.base import EVENTS, ORDERS, PARTS, RANGE_ROWS, ask, query, range_params, values
+from rankweave.sources.scratch import scratch_folder
 from rankweave.sources.tables import event_users, order_customers, order_points, part_sizes
 
 Q = range_params()
@@ -58,6 +60,22 @@ def wm_quantile(spark, d):
     return s.quantile(q).select("qid", "symbol", "cnt")
 
 
+def _index(spark, s):
+    return SequenceIndex.build(s, scratch_folder(spark, "sequence-index"))
+
+
+@query("wm_quantile_indexed", f"{HEAD}, {QUANTILE} SELECT qid, symbol, cnt FROM r WHERE rn = k")
+def wm_quantile_indexed(spark, d):
+    s, q = _events(spark, d)
+    return _index(spark, s).quantile(q).select("qid", "symbol", "cnt")
+
+
+@query("wm_count_indexed", f"{HEAD} SELECT q.qid, count(s.pos) FILTER (WHERE s.sym < q.symbol) AS preceding, count(s.pos) FILTER (WHERE s.sym = q.symbol) AS cnt FROM q LEFT JOIN s ON {IN} GROUP BY q.qid")
+def wm_count_indexed(spark, d):
+    s, q = _events(spark, d)
+    return _index(spark, s).count(q)
+
+
 KS = [(0,), (1,), (9,), (32,), (60,)]
 QUANTILES = f"""{HEAD}, w AS (SELECT q.qid, q.lo, q.hi, CAST(floor((q.hi - q.lo) * a / 64.0) AS BIGINT) AS k FROM q CROSS JOIN {values(KS, "a")} WHERE q.qid < 4)"""
 

@@ -1 +1 @@
-
+"""Models read from tables, packed forms, scratch folders."""

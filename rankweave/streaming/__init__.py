@@ -1 +1,3 @@
-
+"""Nothing here yet: every structure of this library is built once over static data, and no query has a
+streaming meaning. A stream of positions is answered by batches appended to the tables it is built from.
+"""

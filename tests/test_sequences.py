@@ -9,6 +9,7 @@ import pytest
 from rankweave.operators.huffman import HuffmanSequence
 from rankweave.operators.sequence import Sequence
 from rankweave.plans import ranking
+from rankweave.plans.index import SequenceIndex
 from rankweave.sources.tables import from_array
 
 
@@ -102,6 +103,20 @@ def test_random_sequences(spark, broadcast, monkeypatch):
     assert column(s.select_upwards(up), "pos") == [order[b][i] if i < n else None for i in (0, 7, 56, 57) for b in range(3)]
 
 
+def test_index_descent(spark, tmp_path):
+    rng = random.Random(12)
+    for n, top in ((70, 9), (64, 0), (33, 31)):
+        data = [rng.randrange(top + 1) for _ in range(n)]
+        s = Sequence.of(from_array(spark, data))
+        index = SequenceIndex.build(s, str(tmp_path / f"i{n}"))
+        rows = [(a, b, rng.randrange(b - a + 1), rng.randrange(top + 3)) for a, b in ((min(p), max(p)) for p in ((rng.randrange(n + 1), rng.randrange(n + 1)) for _ in range(15)))]
+        q = asks(spark, rows, ("lo", "hi", "k", "symbol"))
+        want = {i: (sorted(data[a:b])[k], data[a:b].count(sorted(data[a:b])[k])) for i, (a, b, k, _) in enumerate(rows) if k < b - a}
+        assert {r.qid: (r.symbol, r.cnt) for r in index.quantile(q).collect()} == want
+        got = {r.qid: (r.preceding, r.cnt) for r in index.count(q).collect()}
+        assert got == {i: (sum(x < y for x in data[a:b]), data[a:b].count(y)) for i, (a, b, _, y) in enumerate(rows)}
+
+
 def test_huffman_sequences(spark):
     data = [{0: 1, 1: 2, 2: 1, 3: 1, 4: 100}[i % 5] for i in range(20)]
     h = HuffmanSequence.of(from_array(spark, data))
