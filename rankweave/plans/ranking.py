@@ -23,19 +23,20 @@ def block_bits(span: int, least: int = 10) -> int:
 def count_below(values: DataFrame, queries: DataFrame, *, keys: tuple[str, ...] = (), bits: int = 16, value: str = "pos", weight: str | None = None, at: str = "at", out: str = "below") -> DataFrame:
     """queries with the number (or weight) of values of the same key below ``at``.
 
-    Block sums give everything in earlier blocks, a join on the block counts inside the query's own.
-    Key columns must not be null.
+    Values and queries of a block meet in one task and are merged in order; block sums give everything in
+    earlier blocks. Key columns must not be null.
     """
     w = F.lit(1) if weight is None else F.col(weight)
-    data = values.select(*keys, F.shiftright(value, bits).alias("_b"), F.col(value).alias("_v"), w.cast("long").alias("_w"))
-    asks = queries.select(*keys, F.shiftright(at, bits).alias("_b"), F.col(at).alias("_at")).distinct()
-    blocks = data.groupBy(*keys, "_b").agg(F.sum("_w").alias("_c")).union(asks.select(*keys, "_b", F.lit(0).cast("long")).distinct())
-    blocks = blocks.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c"))
+    data = values.select(*keys, F.shiftright(value, bits).alias("_b"), F.col(value).cast("long").alias("_v"), w.cast("long").alias("_w"), F.lit(1).alias("_data"))
+    asks = queries.select(*keys, F.shiftright(at, bits).alias("_b"), F.col(at).cast("long").alias("_v"), F.lit(0).cast("long").alias("_w"), F.lit(0).alias("_data"), F.struct(*queries.columns).alias("_q"))
+    rows = data.unionByName(asks, allowMissingColumns=True)
+    blocks = rows.groupBy(*keys, "_b").agg(F.sum("_w").alias("_c"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.withColumn("_s", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-    inside = asks.join(data, [*keys, "_b"]).where("_v < _at").groupBy(*keys, "_b", "_at").agg(F.sum("_w").alias("_i"))
-    found = asks.join(starts.drop("_c"), [*keys, "_b"]).join(inside, [*keys, "_b", "_at"], "left").select(*keys, F.col("_at").alias(at), (F.col("_s") + F.coalesce("_i", F.lit(0))).alias(out))
-    return queries.join(found, [*keys, at])
+    starts = blocks.withColumn("_s", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    # within a block, a running sum in which a query stands before the values equal to it
+    inside = F.sum("_w").over(Window.partitionBy(*keys, "_b").orderBy("_v", "_data").rowsBetween(Window.unboundedPreceding, 0))
+    found = rows.withColumn("_i", inside).where("_data = 0").join(starts, [*keys, "_b"])
+    return found.select("_q.*", (F.col("_s") + F.col("_i")).cast("long").alias(out))
 
 
 def with_ordinal(rows: DataFrame, *, keys: tuple[str, ...] = (), bits: int = 16, pos: str = "pos", out: str = "ordinal") -> DataFrame:
