@@ -17,6 +17,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from rankweave.llm.scratch import small_batches
+
 #: The published pre-tokenisation pattern of the byte-level vocabulary (a fixed value).
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks whose encodings are kept between batches; beyond this the table is emptied.
@@ -252,6 +254,7 @@ def encode_digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_c
                     text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -270,6 +273,7 @@ def encode(docs: DataFrame, path: str, *, text_col: str = "text", out_col: str =
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))], names=[*names, out_col])
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 
@@ -285,4 +289,5 @@ def decode(rows: DataFrame, path: str, *, ids_col: str = "ids", out_col: str = "
             for part in _slices(batch):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([bpe.decode(x or []) for x in part.column(at).to_pylist()], pa.string())], names=[*names, out_col])
 
+    small_batches(rows.sparkSession)
     return rows.mapInArrow(run, schema)

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankweave.llm.scratch import small_batches
 from rankweave.llm.textcore import pieces
 
 BLOCK = 64
@@ -218,6 +219,13 @@ class Parsed:
 
 def parse(data: bytes) -> Parsed:
     """Read the markers of a baseline image; raises ValueError if they make no sense."""
+    try:
+        return _parse(data)
+    except (IndexError, struct.error):
+        raise ValueError("a segment ends early") from None
+
+
+def _parse(data: bytes) -> Parsed:
     if data[:2] != b"\xff\xd8":
         raise ValueError("no SOI marker")
     out, at, quant_of = Parsed(), 2, {}
@@ -385,6 +393,7 @@ def pad(data: bytes) -> bytes:
 
 def add_media(docs: DataFrame, *, text_col: str = "text", out_col: str = "media") -> DataFrame:
     """docs with a binary column holding each whole text (null: empty) as a JPEG; a column of that name is replaced."""
+    small_batches(docs.sparkSession)
     docs = docs.drop(out_col)
     names, at = docs.columns, docs.columns.index(text_col)
 
@@ -406,6 +415,7 @@ def read_media(rows: DataFrame, *, keep: tuple[str, ...] = (), media_col: str =
 
     A null image has null columns. Rows are handled one by one: repeated ids or images keep their rows.
     """
+    small_batches(rows.sparkSession)
     kinds = dict(rows.dtypes)
 
     def features(image: bytes, p: Parsed, blocks: np.ndarray) -> tuple:

@@ -17,11 +17,27 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Rows per Arrow batch at most: whole texts go to Python, and a batch is held several times over.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to BATCH_ROWS; it counts rows, and rows of text are large.
+
+    Results are lazy, so the setting stays for the session. A smaller one is left as it is.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Scratch:
     """Named Parquet tables of one operator run under a fresh folder of the shared root."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.base = spark, f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+        small_batches(spark)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and return a reader of what was written."""
