@@ -17,6 +17,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from rankweave.llm.scratch import small_batches
+
 # Notices by which works name their licence, and the operative sentences of short licences.
 TEMPLATES: dict[str, str] = {
     "AGPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License.",
@@ -38,7 +40,8 @@ TEMPLATES: dict[str, str] = {
     "Reserved": "All rights reserved.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-THRESHOLD = 0.8
+#: The threshold in per cent: compared in integers, so that ties at the threshold count.
+THRESHOLD = 80
 
 _WORD = re.compile(r"[A-Za-z0-9]+")
 
@@ -65,12 +68,12 @@ def units(text: str) -> list[str]:
 class Scanner:
     """Templates prepared for scanning."""
 
-    def __init__(self, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD):
+    def __init__(self, templates: dict[str, str] = TEMPLATES, threshold: int = THRESHOLD):
         self.sets = {name: bigrams(text) for name, text in templates.items()}
         self.threshold = threshold
-        self.bounds = {n: (len(s) * threshold / (2 - threshold), len(s) * (2 - threshold) / threshold) for n, s in self.sets.items()}
-        self.lowest = min((lo for lo, _ in self.bounds.values()), default=1.0)
-        self.highest = max((hi for _, hi in self.bounds.values()), default=0.0)
+        self.bounds = {n: (-(-len(s) * threshold // (200 - threshold)), len(s) * (200 - threshold) // threshold) for n, s in self.sets.items()}
+        self.lowest = min((lo for lo, _ in self.bounds.values()), default=1)
+        self.highest = max((hi for _, hi in self.bounds.values()), default=0)
         self.holders: dict[tuple[str, str], list[str]] = {}
         for name, pairs in self.sets.items():
             for p in pairs:
@@ -92,12 +95,12 @@ class Scanner:
                     shared[name] = shared.get(name, 0) + 1
             for name, k in shared.items():
                 lo, hi = self.bounds[name]
-                if lo <= n <= hi and 2 * k >= self.threshold * (n + len(self.sets[name])):
+                if lo <= n <= hi and 200 * k >= self.threshold * (n + len(self.sets[name])):
                     out.append((name, 2 * k / (n + len(self.sets[name]))))
         return out
 
 
-def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: int = THRESHOLD) -> DataFrame:
     """``(id_col, n_matches, license, dice, licenses)`` per row of docs.
 
     ``n_matches`` counts (unit, template) pairs at or above the threshold, ``license`` is the best one
@@ -105,6 +108,7 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     match: 0, null, null, []. Rows are handled one by one, so null or repeated ids keep their rows;
     other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     chosen = TEMPLATES if templates is None else templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +145,7 @@ units AS (SELECT doc_id, line AS unit FROM blocks WHERE filled UNION ALL
   SELECT doc_id, string_agg(line, ' ' ORDER BY k) FROM blocks WHERE filled GROUP BY doc_id, block HAVING count(*) > 1),
 grams AS (SELECT doc_id, {grams} AS g FROM (SELECT doc_id, list_transform(regexp_extract_all(unit, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM units)),
 hits AS (SELECT doc_id, name, 2.0::DOUBLE * len(list_intersect(grams.g, t.g)) / (len(grams.g) + len(t.g)) AS dice FROM grams JOIN t
-  ON len(grams.g) BETWEEN floor(len(t.g) * {THRESHOLD} / {2 - THRESHOLD}) AND ceil(len(t.g) * {2 - THRESHOLD} / {THRESHOLD})),
-good AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, name) AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM hits WHERE dice >= {THRESHOLD})
+  ON len(grams.g) BETWEEN floor(len(t.g) * {THRESHOLD} / {200 - THRESHOLD}.0) AND ceil(len(t.g) * {200 - THRESHOLD} / {THRESHOLD}.0)),
+good AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, name) AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM hits WHERE dice >= {THRESHOLD} / 100.0)
 SELECT d.doc_id, coalesce(g.n, 0)::BIGINT AS n_matches, g.name AS license, g.dice FROM documents d LEFT JOIN good g ON g.doc_id = d.doc_id AND g.r = 1
 """
