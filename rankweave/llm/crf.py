@@ -28,7 +28,7 @@ from rankweave.llm.scratch import Scratch
 from rankweave.llm.textcore import LOWER, Piece, find_words, mix, pieces, word_hashes
 
 #: Labelled documents of each class that the field is fitted on at most, and the longest of them.
-SAMPLE, SAMPLE_CHARS = 1_500, 20_000
+SAMPLE, SAMPLE_CHARS = 1_000, 20_000
 HASH_BITS = 18
 #: Lengths in bytes of the word beginnings that are features of their own.
 BEGINNINGS = (4, 5, 6, 7, 8, 10)
@@ -63,7 +63,7 @@ def word_features(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     whole = word_hashes(data, a, b)
     _, at, back = np.unique(whole, return_index=True, return_inverse=True)
     ua, ub, n = a[at], b[at], (b - a)[at]
-    table = np.zeros((len(at), SLOTS), dtype=np.int64)
+    table = np.zeros((len(at), SLOTS), dtype=np.int32)
     table[:, 0] = 1 + ((mix(whole[at] + np.uint64(11)) & mask) % (mask - np.uint64(1))).astype(np.int64)
     for k, size in enumerate(BEGINNINGS, start=1):
         long = np.flatnonzero(n > size)
@@ -240,7 +240,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, learn_from: Column, id_col:
     chosen = [known.where(F.col("y") == y).orderBy(F.xxhash64(F.lit("toxic"), "id"), "id").limit(2 * sample) for y in (0, 1)]
     scratch = Scratch(docs.sparkSession, "toxicity")
     picked = scratch.keep(chosen[0].union(chosen[1]), "picked")
-    got = texts.join(F.broadcast(picked), "id").where(F.length("text") <= SAMPLE_CHARS).dropDuplicates(["id"])  # at most 4 * sample ids
+    got = texts.join(F.broadcast(picked), "id").where(F.length("text") <= SAMPLE_CHARS).dropDuplicates(["id"]).dropDuplicates(["text"])  # at most 4 * sample ids; copies of a text count once
     got = scratch.keep(got, "sample")
     rows = [got.where(F.col("y") == y).orderBy(F.xxhash64(F.lit("toxic"), "id"), "id").limit(sample).toArrow() for y in (0, 1)]
     field = None
