@@ -19,7 +19,7 @@ corpus, so most are ruled out first:
    with a phrase seen elsewhere, and there only windows around such phrases, go on.
 4. *Verify.* Those windows are compared by 128-bit digests of their full word sequences.
 
-Hot phrases and windows: equal names within a batch are merged before the shuffle into one evidence row,
+Hot phrases and windows: equal names within a stretch of a task are merged before the shuffle into one evidence row,
 and their places are settled locally, so a key arrives at most once per batch, not once per document.
 Tables are keyed by text, not by row: copies share one entry. Names are 64-bit; a clash only adds
 candidates. Verification uses 128 bits, text identity 98.
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.llm.scratch import Scratch
@@ -47,6 +47,8 @@ PHRASE = 8
 #: Longest phrase: PHRASE - 1 words and one symbol more.
 STRETCH = WINDOW - 2 * MARGIN - (PHRASE - 1 + PAIR_WORDS) + 1
 PLACE_BITS = 30
+#: Rows of a task that are searched for equal keys before they are shuffled (some 30 MB).
+COMBINED = 1_000_000
 
 _P = 0xF1357AEA2E62A9C5
 _PINV = pow(_P, -1, 2**64)
@@ -138,24 +140,34 @@ def _once(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return alone, order[first[n > 1]]
 
 
+def _gathered(found: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns joined until there are COMBINED rows: equal keys among them are merged before the shuffle."""
+    held, n = [], 0
+    for columns in found:
+        held.append(columns)
+        n += len(columns[0])
+        if n >= COMBINED:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, n = [], 0
+    if n:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def _phrase_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(t1, t2, text) -> (name, t1, spot): kept phrases. A null spot is evidence only, a null name a place
     whose phrase is known to repeat."""
     mask = np.int64(-1 << PLACE_BITS)
-    for batch in batches:
-        t1, t2 = _longs(batch.column(0)), _longs(batch.column(1)) & mask
-        names, texts, spots = [], [], []
-        for piece in pieces(batch.column(2)):
-            words, h = _words_of(piece)
-            at, name = kept_phrases(h, words.text_of)
-            owner = words.text_of[at]
-            names.append(name)
-            texts.append(t1[piece.first + owner])
-            spots.append(t2[piece.first + owner] | (at - words.first[owner]))
-        name = np.concatenate(names).view(np.int64) if names else np.zeros(0, np.int64)
-        if not len(name):
-            continue
-        text, spot = np.concatenate(texts), np.concatenate(spots)
+
+    def found() -> Iterator[tuple[np.ndarray, ...]]:
+        for batch in batches:
+            t1, t2 = _longs(batch.column(0)), _longs(batch.column(1)) & mask
+            for piece in pieces(batch.column(2)):
+                words, h = _words_of(piece)
+                at, name = kept_phrases(h, words.text_of)
+                owner = words.text_of[at]
+                yield name.view(np.int64), t1[piece.first + owner], t2[piece.first + owner] | (at - words.first[owner])
+
+    for name, text, spot in _gathered(found()):
         alone, known = _once(name)
         some, more = np.flatnonzero(alone), np.flatnonzero(~alone)
         null = lambda k: pa.nulls(k, pa.int64())
@@ -171,46 +183,56 @@ def _phrase_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _window_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(tid, places, text) -> (f1, f2, tid, pos): digests of the windows around repeated phrases, with
-    evidence rows (null tid) and settled places (null digests) as above."""
-    for batch in batches:
-        tid = _longs(batch.column(0))
-        lists = batch.column(1)
-        edges, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
-        parts: list[tuple[np.ndarray, ...]] = []
-        for piece in pieces(batch.column(2)):
-            words, h = _words_of(piece)
-            a, b = edges[piece.first], edges[piece.first + len(piece)]
-            owner = np.repeat(np.arange(len(piece)), np.diff(edges[piece.first : piece.first + len(piece) + 1]))
-            place = values[a:b].astype(np.int64) + words.first[owner]
-            near = np.zeros(len(h) + 1, dtype=np.int32)
-            np.add.at(near, np.maximum(place - (WINDOW - PHRASE), words.first[owner]), 1)
-            np.add.at(near, place + 1, -1)
-            last = np.maximum(words.first[1:] - WINDOW, words.first[:-1] - 1)  # last start of a window in each text
-            text = words.text_of
-            start = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-            start = start[start <= last[text[start]]]
-            if not len(start):
-                continue
-            f1 = gram_hashes(h, WINDOW)[start]
-            f2 = gram_hashes(mix(h + np.uint64(0x2545F4914F6CDD1D)), WINDOW, odd=0xD1342543DE82EF95)[start]
-            parts.append((f1.view(np.int64), f2.view(np.int64), tid[piece.first + text[start]], start - words.first[text[start]]))
-        if not parts:
-            continue
-        f1, f2, who, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+    """(tid, places, text) -> (f1, f2, tid, pos, settled): digests of the windows around repeated phrases.
+
+    A window that the batch holds once is a row of its own. Of others one evidence row (null tid) goes
+    out, and their places follow as one list per text (settled), dealt by the text.
+    """
+
+    def found() -> Iterator[tuple[np.ndarray, ...]]:
+        for batch in batches:
+            tid = _longs(batch.column(0))
+            lists = batch.column(1)
+            edges, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+            for piece in pieces(batch.column(2)):
+                words, h = _words_of(piece)
+                a, b = edges[piece.first], edges[piece.first + len(piece)]
+                owner = np.repeat(np.arange(len(piece)), np.diff(edges[piece.first : piece.first + len(piece) + 1]))
+                place = values[a:b].astype(np.int64) + words.first[owner]
+                near = np.zeros(len(h) + 1, dtype=np.int32)
+                np.add.at(near, np.maximum(place - (WINDOW - PHRASE), words.first[owner]), 1)
+                np.add.at(near, place + 1, -1)
+                last = np.maximum(words.first[1:] - WINDOW, words.first[:-1] - 1)  # last start of a window in each text
+                text = words.text_of
+                start = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+                start = start[start <= last[text[start]]]
+                if len(start):
+                    f1 = gram_hashes(h, WINDOW)[start]
+                    f2 = gram_hashes(mix(h + np.uint64(0x2545F4914F6CDD1D)), WINDOW, odd=0xD1342543DE82EF95)[start]
+                    yield f1.view(np.int64), f2.view(np.int64), tid[piece.first + text[start]], start - words.first[text[start]]
+
+    for f1, f2, who, pos in _gathered(found()):
+        pos = pos.astype(np.int32)
         alone, known = _once(f1, f2)
         some, more = np.flatnonzero(alone), np.flatnonzero(~alone)
-        null = lambda k, t=pa.int64(): pa.nulls(k, t)
-        cut = lambda a, i: pa.array(a[i])
-        pos = pos.astype(np.int32)
+        more = more[np.lexsort((pos[more], who[more]))]
+        fresh = np.ones(len(more), dtype=bool)  # copies of a text in the batch settle the same places
+        fresh[1:] = (who[more][1:] != who[more][:-1]) | (pos[more][1:] != pos[more][:-1])
+        more = more[fresh]
+        first = np.flatnonzero(np.concatenate(([True], who[more][1:] != who[more][:-1]))) if len(more) else np.zeros(0, np.int64)
+        n, k, t = len(some), len(known), len(first)
+        null = lambda size, kind=pa.int64(): pa.nulls(size, kind)
+        owners = pa.array(who[more][first])
+        settled = pa.ListArray.from_arrays(pa.array(np.append(first, len(more)).astype(np.int32)), pa.array(pos[more])) if t else pa.array([], pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.concat_arrays([cut(f1, some), cut(f1, known), null(len(more))]),
-                pa.concat_arrays([cut(f2, some), cut(f2, known), null(len(more))]),
-                pa.concat_arrays([cut(who, some), null(len(known)), cut(who, more)]),
-                pa.concat_arrays([cut(pos, some), null(len(known), pa.int32()), cut(pos, more)]),
+                pa.concat_arrays([pa.array(f1[some]), pa.array(f1[known]), owners]),
+                pa.concat_arrays([pa.array(f2[some]), pa.array(f2[known]), pa.array(pos[more][first].astype(np.int64))]),
+                pa.concat_arrays([pa.array(who[some]), null(k), owners]),
+                pa.concat_arrays([pa.array(pos[some]), null(k + t, pa.int32())]),
+                pa.concat_arrays([null(n + k, pa.list_(pa.int32())), settled]),
             ],
-            names=["f1", "f2", "tid", "pos"],
+            names=["f1", "f2", "tid", "pos", "settled"],
         )
 
 
@@ -237,15 +259,14 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, text_col: str) -> DataFr
     scratch.release()
 
     wanted = keyed.withColumn("t2", F.shiftright("t2", PLACE_BITS)).join(texts, ["t1", "t2"]).select("tid", "places", "text")
-    windows = wanted.mapInArrow(_window_pass, "f1 long, f2 long, tid long, pos int")
-    windows = scratch.keep(windows, "windows")
-    scratch.release()
-    open_ = windows.where("f1 IS NOT NULL")
-    again = open_.groupBy("f1", "f2").agg(F.count("*").alias("n"), F.count("tid").alias("m")).where("n > 1 OR m < n").select("f1", "f2")
-    found = open_.where("tid IS NOT NULL").join(again, ["f1", "f2"], "left_semi").select("tid", "pos").union(windows.where("f1 IS NULL").select("tid", "pos"))
+    windows = wanted.mapInArrow(_window_pass, "f1 long, f2 long, tid long, pos int, settled array<int>")
+    # one shuffle of the windows; a digest arrives at most once per batch, so its group stays small
+    held = F.count("*").over(Window.partitionBy("f1", "f2"))
+    found = windows.withColumn("n", held).where("tid IS NOT NULL AND (n > 1 OR settled IS NOT NULL)")
+    found = found.select("tid", F.explode(F.coalesce("settled", F.array("pos"))).alias("pos"))
     starts = found.groupBy("tid").agg(F.collect_set("pos").alias("starts")).join(texts.select("tid", "t1", "t2"), "tid").select("t1", "t2", "starts")
     out = scratch.keep(starts, "starts")
-    scratch.drop("windows", "texts")
+    scratch.drop("texts")
     scratch.release()
     return out
 
