@@ -23,6 +23,8 @@ from rankweave.llm.scratch import small_batches
 TEMPLATES: dict[str, str] = {
     "AGPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License.",
     "Apache-2.0": "Licensed under the Apache License 2.0.",
+    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
+    "Apache-2.0-short": "Apache License, Version 2.0",
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
     "BSD-clauses": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",

@@ -251,3 +251,20 @@ def test_licenses_equal_brute_force(spark, awkward, none):
         hits += bool(found)
     assert hits > 60
     assert license_scan(awkward).count() == awkward.count() and license_scan(none).count() == 0
+
+
+def test_canonical_notices_are_found(spark):
+    # written out here, not taken from TEMPLATES
+    notices = {
+        "Licensed under the Apache License, Version 2.0.": "Apache",
+        "licensed under the apache license, version 2.0": "Apache",
+        "Apache License, Version 2.0": "Apache",
+        "Licensed under the Apache License 2.0.": "Apache",
+        "Released under the MIT License.": "MIT",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC",
+        "All rights reserved.": "Reserved",
+    }
+    docs = spark.createDataFrame([(k, f"Some prose stands here.\n{t}\nMore prose follows it.") for k, t in enumerate(notices)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in license_scan(docs).collect()}
+    assert all((got[k] or "").startswith(name) for k, name in enumerate(notices.values())), got
