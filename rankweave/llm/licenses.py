@@ -7,16 +7,23 @@ reach the threshold t only for units of ``b t / (2 - t)`` to ``b (2 - t) / t`` p
 template's bounds are dropped before any pair is formed, the others meet only templates that admit them
 and share a pair with them (inverted table). Templates are a fixed small set, so each text is judged
 where it lies: no shuffle, no join.
+
+`license_stretches` finds notices that are neither a line nor a block: it compares each template, and the
+longer texts of ``license_texts``, with stretches of words anywhere in the text, across lines and comment
+marks (which are no words). A stretch begins and ends with a pair of the template, since other pairs at
+its ends only lower Dice, and has at most ``(2 - t) / t`` times as many word pairs as the template.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from rankweave.llm.license_texts import FULL_TEXTS
 from rankweave.llm.scratch import small_batches
 
 # Notices by which works name their licence, and the operative sentences of short licences.
@@ -102,6 +109,107 @@ class Scanner:
         return out
 
 
+class StretchScanner(Scanner):
+    """Templates prepared for stretches of words anywhere in a text."""
+
+    def __init__(self, templates: dict[str, str], threshold: int = THRESHOLD):
+        super().__init__(templates, threshold)
+        #: word pairs of the longest stretch; a template may hold a pair more than once
+        self.reach = {n: (len(_WORD.findall(t)) - 1) * (200 - threshold) // threshold for n, t in templates.items()}
+
+    def _starts(self, name: str, at: list[int], pairs: list[tuple[str, str]]) -> Iterator[int]:
+        """Positions in at from which enough distinct pairs of the template lie within reach."""
+        need, reach = self.bounds[name][0], self.reach[name]
+        held: dict[tuple[str, str], int] = {}
+        end = 0
+        for i in at:
+            while end < len(at) and at[end] < i + reach:
+                held[pairs[at[end]]] = held.get(pairs[at[end]], 0) + 1
+                end += 1
+            if len(held) >= need:
+                yield i
+            held[pairs[i]] -= 1
+            if not held[pairs[i]]:
+                del held[pairs[i]]
+
+    def scan(self, text: str) -> list[tuple[str, float, int, int]]:
+        """(template, Dice, start, end) of the stretches that reach the threshold, in characters; those of
+        one template do not overlap (the best, then the first, is taken first)."""
+        words = [w.lower() for w in _WORD.findall(text)]
+        pairs = list(zip(words, words[1:], strict=False))
+        at: dict[str, list[int]] = {}
+        for i, p in enumerate(pairs):
+            if p in self.holders:
+                for name in self.holders[p]:
+                    at.setdefault(name, []).append(i)
+        taken = []
+        for name, places in at.items():
+            (lo, hi), own, reach = self.bounds[name], self.sets[name], self.reach[name]
+            if len(places) < lo:
+                continue
+            found = []
+            for i in self._starts(name, places, pairs):
+                seen: set[tuple[str, str]] = set()
+                k, best = 0, None
+                for j in range(i, min(i + reach, len(pairs))):
+                    p = pairs[j]
+                    if p in seen:
+                        continue
+                    seen.add(p)
+                    if len(seen) > hi:
+                        break
+                    if p in own:
+                        k += 1
+                        if 200 * k >= self.threshold * (len(seen) + len(own)):
+                            dice = 2 * k / (len(seen) + len(own))
+                            if best is None or dice > best[0]:
+                                best = (dice, i, j)
+                if best:
+                    found.append(best)
+            used: list[tuple[int, int]] = []
+            for dice, i, j in sorted(found, key=lambda m: (-m[0], m[2] - m[1], m[1])):
+                near = bisect(used, (j + 2, -1))  # stretches are apart: only the last that starts up to word j + 1 can overlap
+                if not near or used[near - 1][1] + 1 < i:
+                    used.insert(near, (i, j))
+                    taken.append((name, dice, i, j + 1))
+        if not taken:
+            return []
+        spans = [m.span() for m in _WORD.finditer(text)]
+        return [(name, dice, spans[i][0], spans[j][1]) for name, dice, i, j in taken]
+
+
+def license_stretches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: int = THRESHOLD) -> DataFrame:
+    """``(id_col, n_stretches, license, dice, stretches)`` per row of docs.
+
+    ``stretches`` holds ``(license, dice, start, end)`` in characters, by start, end and name; ``license``
+    is the best one (highest Dice, then the longest, then by name). Rows are handled as in `license_scan`.
+    """
+    small_batches(docs.sparkSession)
+    chosen = TEMPLATES | FULL_TEXTS if templates is None else templates
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = StretchScanner(chosen, threshold)
+        kind = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found = [sorted(scanner.scan(t or ""), key=lambda m: (m[2], m[3], m[0])) for t in part.column(1).to_pylist()]
+                best = [min(f, key=lambda m: (-m[1], m[2] - m[3], m[0])) if f else (None, None) for f in found]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        pa.array([len(f) for f in found], pa.int64()),
+                        pa.array([b[0] for b in best], pa.string()),
+                        pa.array([b[1] for b in best], pa.float64()),
+                        pa.array([[dict(zip(("license", "dice", "start", "end"), m, strict=True)) for m in f] for f in found], kind),
+                    ],
+                    names=["id", "n_stretches", "license", "dice", "stretches"],
+                )
+
+    out = f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_stretches long, license string, dice double, stretches array<struct<license:string,dice:double,start:int,end:int>>"
+    return docs.select(id_col, text_col).mapInArrow(run, out)
+
+
 def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: int = THRESHOLD) -> DataFrame:
     """``(id_col, n_matches, license, dice, licenses)`` per row of docs.
 

@@ -96,9 +96,15 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents")).select("doc_id", "n_matches", "license", "dice")
 
 
+def op10_license_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rankweave.llm.licenses import license_stretches
+
+    return license_stretches(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_pu_quality, op3_minhash, op4_jpeg_media, op5_source_mix, op6_crf_toxicity, op7_bpe, op8_warc, op9_substring, op10_licenses)
+    for f in (op1_quality_rules, op2_pu_quality, op3_minhash, op4_jpeg_media, op5_source_mix, op6_crf_toxicity, op7_bpe, op8_warc, op9_substring, op10_licenses, op10_license_stretches)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankweave.llm import jpeg
-from rankweave.llm.licenses import TEMPLATES, bigrams, license_scan, units
+from rankweave.llm.licenses import TEMPLATES, StretchScanner, bigrams, license_scan, license_stretches, units
 from rankweave.llm.mixing import systematic_mix, word_count
 from rankweave.llm.scratch import Scratch
 from rankweave.llm.textcore import find_words, gram_hashes, pieces, word_hashes
@@ -268,3 +268,68 @@ def test_canonical_notices_are_found(spark):
     docs = spark.createDataFrame([(k, f"Some prose stands here.\n{t}\nMore prose follows it.") for k, t in enumerate(notices)], "doc_id long, text string")
     got = {r.doc_id: r.license for r in license_scan(docs).collect()}
     assert all((got[k] or "").startswith(name) for k, name in enumerate(notices.values())), got
+
+
+MIT_FILE = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+LGPL_FILE = """/*
+ * Frobnicator, a library for frobnication.
+ *
+ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+ *
+ * Written over many years by many hands, for whom no list is kept here.
+ */
+int main(void) { return 0; }"""
+
+
+def test_embedded_notices_are_found(spark, awkward, none):
+    rng = random.Random(4)
+    prose = " ".join(f"w{rng.randrange(500)}x" for _ in range(3000))
+    texts = {
+        "Copyright 2020 Acme Inc. All rights reserved.": "Reserved",
+        "This package is released under the MIT License, see LICENSE for details": "MIT",
+        f"{prose} Licensed under the Apache License, Version 2.0. {prose}": "Apache",
+        MIT_FILE: "MIT",
+        LGPL_FILE: "LGPL",
+        prose: None,
+        "all of the rights and the terms of the software are under the license": None,
+        "of the " * 5000: None,
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_stretches(docs).collect()}
+    for k, (text, name) in enumerate(texts.items()):
+        assert (got[k].license or "").startswith(name) if name else got[k].license is None, got[k]
+        assert all(0 <= s.start < s.end <= len(text) for s in got[k].stretches)
+    first = got[1].stretches[0]
+    assert list(texts)[1][first.start : first.end] == "released under the MIT License"
+    assert license_stretches(awkward).count() == awkward.count() and license_stretches(none).count() == 0
+
+
+def test_stretches_equal_all_windows():
+    rng = random.Random(6)
+    templates = {"one": "a b c d e f", "two": "b c a b c d a"}
+    scanner = StretchScanner(templates)
+    hits = 0
+    for _ in range(400):
+        words = [rng.choice("abcdefx") if rng.random() < 0.4 else "abcdefab"[k % 8] for k in range(rng.randrange(25))]
+        got = scanner.scan("\n# ".join(words))
+        for name, text in templates.items():
+            b = bigrams(text)
+            all_of = []
+            for i in range(len(words)):
+                for j in range(i + 2, min(len(words), i + 1 + scanner.reach[name]) + 1):
+                    a = bigrams(" ".join(words[i:j]))
+                    all_of.append(Fraction(2 * len(a & b), len(a) + len(b)))
+            best = max(all_of, default=Fraction(0))
+            mine = [m[1] for m in got if m[0] == name]
+            assert bool(mine) == (best >= Fraction(8, 10)) and (not mine or max(mine) == float(best))
+            hits += bool(mine)
+    assert hits > 50
