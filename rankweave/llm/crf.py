@@ -24,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankweave.llm.mixing import word_count
 from rankweave.llm.scratch import Scratch
 from rankweave.llm.textcore import LOWER, Piece, find_words, mix, pieces, word_hashes
 
-#: Labelled documents of each class that the field is fitted on at most, and the longest of them.
-SAMPLE, SAMPLE_CHARS = 1_000, 20_000
+#: Distinct labelled texts of each class that the field is fitted on at most, and the words of all of them together.
+SAMPLE, SAMPLE_WORDS = 1_000, 1_200_000
+#: Texts that must be cut for SAMPLE_WORDS are cut to windows of so many words.
+WINDOW = 128
 HASH_BITS = 18
 #: Lengths in bytes of the word beginnings that are features of their own.
 BEGINNINGS = (4, 5, 6, 7, 8, 10)
@@ -145,10 +148,10 @@ def _pairs(field: Field, e: np.ndarray, first: np.ndarray, forward: np.ndarray,
     return (parts / parts.sum(axis=0)).sum(axis=1).reshape(2, 2)
 
 
-def token_labels(feats: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+def token_labels(feats: np.ndarray, first: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Toxic tokens of the labelled documents: those with a feature found in at least five toxic ones, and
-    at least 20 times as often among them as among the others."""
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    at least 20 times as often among them as among the others. owner: the document of each chain."""
+    text = np.repeat(owner, np.diff(first))
     size = 1 << HASH_BITS
     seen = np.unique((text[:, None] * size + feats).reshape(-1))
     doc, feature = seen // size, seen % size
@@ -171,8 +174,62 @@ def document_stats(p: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     return top, total
 
 
-def fit(texts: list[str], toxic: np.ndarray, share: float, rounds: int = 25) -> Field:
-    """The field and its document scale; share: of toxic documents among all labelled ones."""
+def word_limit(counts: np.ndarray, total: int) -> int | None:
+    """The largest limit to the words of each text that keeps the sum within total; None if no text need be cut."""
+    if counts.sum() <= total:
+        return None
+    lo, hi = 1, int(counts.max())
+    while lo < hi:
+        middle = (lo + hi + 1) // 2
+        lo, hi = (middle, hi) if np.minimum(counts, middle).sum() <= total else (lo, middle - 1)
+    return lo
+
+
+def windows(n: int, limit: int | None) -> list[tuple[int, int]]:
+    """Evenly spread stretches of the n words of a text, of at most limit words together."""
+    if limit is None or n <= limit:
+        return [(0, n)] if n else []
+    size = min(WINDOW, limit)
+    cells, wanted = -(-n // size), max(1, limit // size)
+    return [(k * size, min(n, (k + 1) * size)) for k in ((2 * i + 1) * cells // (2 * wanted) for i in range(min(wanted, cells)))]
+
+
+def _cut(got: DataFrame, limit: int | None) -> DataFrame:
+    """``(digest, y, part)``: the windows of each text of got."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, y = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            rows = []
+            for piece in pieces(batch.column(2)):
+                words = find_words(piece)
+                for k in range(len(piece)):
+                    a = words.first[k]
+                    for i, j in windows(int(words.first[k + 1] - a), limit):
+                        part = piece.data[words.starts[a + i] : words.ends[a + j - 1]].tobytes().decode("utf-8", "replace")
+                        rows.append((keys[piece.first + k], y[piece.first + k], part))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], names=["digest", "y", "part"])
+
+    return got.select("digest", "y", "text").mapInArrow(run, "digest string, y int, part string")
+
+
+def _scale(field: Field, got: DataFrame, share: float) -> tuple[float, float, float]:
+    """The document scale, from the whole texts of got; share: of toxic documents among all labelled ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch.column(1)):
+                feats, _, _, first = word_features(piece)
+                top, total = document_stats(marginals(field, field.emission(feats), first)[2], first)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, len(piece)), pa.array(top), pa.array(total)], names=["y", "top", "total"])
+
+    rows = got.select("y", "text").mapInArrow(run, "y int, top double, total double").orderBy("y", "top", "total").toArrow()
+    y, top, total = (rows.column(k).to_numpy().astype(float) for k in range(3))
+    return _logistic(np.column_stack((np.ones(len(top)), top, np.log1p(total))), y, share)
+
+
+def fit(texts: list[str], owner: np.ndarray, toxic: np.ndarray, rounds: int = 25) -> Field:
+    """The field without its document scale; owner: the document of each text; toxic: by document."""
     batches = []
     for piece in pieces(pa.array(texts, pa.string())):
         feats, _, _, first = word_features(piece)
@@ -180,7 +237,7 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, rounds: int = 25) ->
     feats = np.concatenate([f for f, _ in batches])
     counts = np.concatenate([np.diff(f) for _, f in batches])
     first = np.concatenate(([0], np.cumsum(counts)))
-    y = token_labels(feats, first, toxic)
+    y = token_labels(feats, first, owner, toxic)
     field = Field(np.zeros(1 << HASH_BITS), -3.0, np.zeros((2, 2)), 0.0)
     inner = np.ones(len(y), dtype=bool)
     inner[first[:-1][np.diff(first) > 0]] = False
@@ -203,9 +260,6 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, rounds: int = 25) ->
         step = 0.3 * o / np.sqrt(other_grad2)
         field.trans = np.clip(field.trans + step[:4].reshape(2, 2), -6, 6)
         field.bias, field.begin = float(field.bias + step[4]), float(np.clip(field.begin + step[5], -6, 6))
-    _, _, p = marginals(field, field.emission(feats), first)
-    top, total = document_stats(p, first)
-    field.scale = _logistic(np.column_stack((np.ones(len(top)), top, np.log1p(total))), toxic.astype(float), share)
     field.weights = field.weights.astype(np.float32)
     return field
 
@@ -236,18 +290,28 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, learn_from: Column, id_col:
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where(learn_from & F.col("y").isin(0, 1)).groupBy("id").agg(F.max("y").alias("y"))
-    # the ids are chosen on the narrow label rows: about two of a kind for one wanted, for those too long or missing
-    chosen = [known.where(F.col("y") == y).orderBy(F.xxhash64(F.lit("toxic"), "id"), "id").limit(2 * sample) for y in (0, 1)]
     scratch = Scratch(docs.sparkSession, "toxicity")
+    # one narrow row for each distinct labelled text: its copies count once, and as toxic if any is
+    named = texts.where(F.col("text").isNotNull()).select("id", F.md5("text").alias("digest")).join(known, "id")
+    distinct = scratch.keep(named.groupBy("digest").agg(F.min("id").alias("id"), F.max("y").alias("y")), "distinct")
+    chosen = [distinct.where(F.col("y") == y).orderBy(F.xxhash64(F.lit("toxic"), "id"), "digest").limit(sample) for y in (0, 1)]
     picked = scratch.keep(chosen[0].union(chosen[1]), "picked")
-    got = texts.join(F.broadcast(picked), "id").where(F.length("text") <= SAMPLE_CHARS).dropDuplicates(["id"]).dropDuplicates(["text"])  # at most 4 * sample ids; copies of a text count once
-    got = scratch.keep(got, "sample")
-    rows = [got.where(F.col("y") == y).orderBy(F.xxhash64(F.lit("toxic"), "id"), "id").limit(sample).toArrow() for y in (0, 1)]
+    got = texts.withColumn("digest", F.md5("text")).join(F.broadcast(picked), ["id", "digest"]).dropDuplicates(["digest"])
+    got = scratch.keep(got.withColumn("n_words", word_count(F.col("text"))), "sample")
     field = None
-    if all(len(r) for r in rows):
+    if got.select("y").distinct().count() == 2:
         n = known.agg(F.count("*").alias("n"), F.sum("y").alias("bad")).first()
-        sampled = [t for r in rows for t in r.column("text").to_pylist()]
-        field = fit(sampled, np.repeat([False, True], [len(r) for r in rows]), n.bad / n.n)
+        limit = word_limit(got.select("n_words").toArrow().column(0).to_numpy(), SAMPLE_WORDS)
+        parts = _cut(got, limit).toArrow()
+        keys = np.array(parts.column("digest").to_pylist(), dtype=object)
+        order = np.argsort(keys, kind="stable")
+        names, owner = np.unique(keys[order].astype(str), return_inverse=True)
+        toxic = np.zeros(len(names), dtype=bool)
+        toxic[owner] = parts.column("y").to_numpy()[order] > 0
+        cut = parts.column("part").to_pylist()
+        if cut:
+            field = fit([cut[k] for k in order], owner, toxic)
+            field.scale = _scale(field, got, n.bad / n.n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

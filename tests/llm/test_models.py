@@ -149,3 +149,41 @@ def test_toxicity_on_held_out_documents(spark):
     bad = {"idiotic", "moronic", "wretch", "vermin"}
     spans = [(r[1], s) for r in held if r[3] for s in got[r[0]].spans]
     assert spans and np.mean([bool(bad & set(t[s.start : s.end].split())) for t, s in spans]) > 0.9
+
+
+def test_toxicity_learns_from_long_documents(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(60):  # every text is over 20,000 characters; toxic ones hold two insults
+        w = [f"w{v}x" for v in rng.integers(0, 2000, 4500)]
+        if k % 2:
+            w[100 + k] = w[3000 - k] = "moronic"
+        rows.append((k, " ".join(w), k % 2))
+    assert min(len(t) for _, t, _ in rows) > 20_000
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in crf.toxicity(docs, labels, learn_from=F.col("id") % 4 < 2).collect()}
+    assert np.mean([got[k].predicted == bad for k, _, bad in rows if k % 4 > 1]) > 0.9
+
+
+def test_copies_do_not_shrink_the_sample(spark):
+    rng = np.random.default_rng(4)
+    text = lambda bad: " ".join([f"w{v}x" for v in rng.integers(0, 500, 40)] + ["moronic"] * bad)
+    copied = {y: text(y) for y in (0, 1)}
+    rows = [(k, copied[k % 2] if k < 900 else text(k % 2), k % 2) for k in range(1000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in crf.toxicity(docs, labels, learn_from=F.lit(True), sample=12).collect()}
+    assert np.mean([got[k].predicted == bad for k, _, bad in rows if k >= 900]) > 0.9
+
+
+def test_windows_keep_to_the_limit():
+    counts = np.array([5, 40, 1000, 90_000])
+    limit = crf.word_limit(counts, 3000)
+    assert np.minimum(counts, limit).sum() <= 3000 < np.minimum(counts, limit + 1).sum()
+    assert crf.word_limit(counts, 10**6) is None
+    for n in (0, 1, 127, 128, 500, 90_000):
+        for limit in (None, 3, 130, 600):
+            w = crf.windows(n, limit)
+            assert sum(b - a for a, b in w) <= min(n, limit or n) and all(0 <= a < b <= n for a, b in w) and bool(w) == (n > 0)
+            assert all(x[1] <= y[0] for x, y in zip(w, w[1:], strict=False))
