@@ -1,9 +1,11 @@
 """Toxic spans by a linear-chain conditional random field with two labels.
 
 Labels come per document, so tokens are labelled first: a word, or the beginning of a word, that occurs
-in many toxic and (almost) no other labelled documents marks its tokens in toxic documents as toxic; all
-other tokens are clean. The field is fitted on those tokens; its emission sums hashed features of the
-word and its beginnings, its transitions are learned with them. Marginals of every token of every
+in several toxic and (almost) no other labelled documents marks its tokens in toxic documents as toxic;
+all other tokens are clean. Those documents are counted over all labelled rows, by 64-bit hashes. The
+field is fitted on the tokens of a bounded sample; its emission sums hashed features of the word and its
+beginnings and one feature for being marked, by which marked words outside the sample are known; its
+transitions are learned with them. Marginals of every token of every
 document come from forward-backward. A document's score is a logistic function of its largest marginal
 and its expected number of toxic tokens; runs of tokens with a marginal of one half or more are its
 offending spans.
@@ -17,7 +19,7 @@ block, and a second lockstep sweep fills in every token. The backward ratio work
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +31,17 @@ from rankweave.llm.scratch import Scratch
 from rankweave.llm.textcore import LOWER, Piece, find_words, mix, pieces, word_hashes
 
 #: Distinct labelled texts of each class that the field is fitted on at most, and the words of all of them together.
-SAMPLE, SAMPLE_WORDS = 1_000, 1_200_000
+SAMPLE, SAMPLE_WORDS = 1_500, 1_200_000
 #: Texts that must be cut for SAMPLE_WORDS are cut to windows of so many words.
 WINDOW = 128
 HASH_BITS = 18
 #: Lengths in bytes of the word beginnings that are features of their own.
 BEGINNINGS = (4, 5, 6, 7, 8, 10)
-SLOTS = 1 + len(BEGINNINGS)
+SLOTS = 2 + len(BEGINNINGS)
+#: The feature of marked words; hashed features lie below it.
+MARKED = (1 << HASH_BITS) - 1
+#: Features that a task counts before it hands them on.
+HELD = 500_000
 BLOCK = 64
 
 _PUNCT = np.zeros(256, dtype=bool)
@@ -52,38 +58,52 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_features(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(features, starts, ends, first): hashed features of each word without outer punctuation; words
-    shorter than a beginning have feature 0 there."""
+def raw_features(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(table, back, starts, ends, first): 64-bit hashes of each distinct word without outer punctuation and
+    of its beginnings, 0 where the word is shorter; back: the row of each word in table."""
     words = find_words(piece)
     data = lowered(piece.data)
     a, b = words.starts.copy(), words.ends.copy()
     for _ in range(4):
         b -= (b - a > 1) & _PUNCT[data[b - 1]]
         a += (b - a > 1) & _PUNCT[data[a]]
-    mask = np.uint64((1 << HASH_BITS) - 1)
     # each distinct word is hashed once per piece
     whole = word_hashes(data, a, b)
     _, at, back = np.unique(whole, return_index=True, return_inverse=True)
     ua, ub, n = a[at], b[at], (b - a)[at]
-    table = np.zeros((len(at), SLOTS), dtype=np.int32)
-    table[:, 0] = 1 + ((mix(whole[at] + np.uint64(11)) & mask) % (mask - np.uint64(1))).astype(np.int64)
+    table = np.zeros((len(at), SLOTS - 1), dtype=np.uint64)
+    table[:, 0] = mix(whole[at] + np.uint64(11))
     for k, size in enumerate(BEGINNINGS, start=1):
         long = np.flatnonzero(n > size)
         h = word_hashes(data, ua[long], ua[long] + size)
-        table[long, k] = 1 + ((mix(h + np.uint64(100 + k)) & mask) % (mask - np.uint64(1))).astype(np.int64)
-    return table[back], words.starts, words.ends, words.first
+        table[long, k] = mix(h + np.uint64(100 + k))
+    return table, back, words.starts, words.ends, words.first
+
+
+def word_features(piece: Piece, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(features, starts, ends, first): hashed features of each word, then MARKED where one of them is in
+    the sorted marks; 0: none."""
+    raw, back, starts, ends, first = raw_features(piece)
+    mask = np.uint64((1 << HASH_BITS) - 1)
+    table = np.zeros((len(raw), SLOTS), dtype=np.int32)
+    table[:, :-1] = np.where(raw == 0, 0, 1 + ((raw & mask) % (mask - np.uint64(1))).astype(np.int64))
+    if len(marks):
+        near = marks[np.minimum(np.searchsorted(marks, raw), len(marks) - 1)]
+        table[((near == raw) & (raw != 0)).any(axis=1), -1] = MARKED
+    return table[back], starts, ends, first
 
 
 @dataclass
 class Field:
-    """weights: emission by feature (0: none); bias; trans[i][j]: from label i to j; begin: of label 1."""
+    """weights: emission by feature (0: none); bias; trans[i][j]: from label i to j; begin: of label 1;
+    marks: sorted 64-bit features that mark words."""
 
     weights: np.ndarray
     bias: float
     trans: np.ndarray
     begin: float
     scale: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    marks: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
 
     def emission(self, feats: np.ndarray) -> np.ndarray:
         return np.clip(self.weights[feats].sum(axis=1) + self.bias, -30, 30).astype(np.float64)
@@ -148,19 +168,53 @@ def _pairs(field: Field, e: np.ndarray, first: np.ndarray, forward: np.ndarray,
     return (parts / parts.sum(axis=0)).sum(axis=1).reshape(2, 2)
 
 
-def token_labels(feats: np.ndarray, first: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Toxic tokens of the labelled documents: those with a feature found in at least five toxic ones, and
-    at least 20 times as often among them as among the others. owner: the document of each chain."""
-    text = np.repeat(owner, np.diff(first))
-    size = 1 << HASH_BITS
-    seen = np.unique((text[:, None] * size + feats).reshape(-1))
-    doc, feature = seen // size, seen % size
-    bad = np.bincount(feature[toxic[doc]], minlength=size)
-    good = np.bincount(feature[~toxic[doc]], minlength=size)
-    share = lambda c, n: (c + 0.5) / (n + 1)
-    marks = (bad >= 5) & (share(bad, toxic.sum()) > 20 * share(good, (~toxic).sum()))
-    marks[0] = False
-    return marks[feats].any(axis=1) & toxic[text]
+def _counted(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    features, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return features, *(np.bincount(at, np.concatenate([p[k] for p in parts]), len(features)) for k in (1, 2))
+
+
+def feature_counts(labelled: DataFrame) -> DataFrame:
+    """``(feature, bad, good)``, partial sums: the toxic and other documents of labelled(text, y, weight) with a feature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(f, bad, good):
+            return pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(bad), pa.array(good)], names=["feature", "bad", "good"])
+
+        held, size = [], 0
+        for batch in batches:
+            y, weight = (batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in (1, 2))
+            for piece in pieces(batch.column(0)):
+                table, back, _, _, first = raw_features(piece)
+                if not len(back):
+                    continue
+                text = np.repeat(np.arange(len(piece)), np.diff(first))
+                seen = np.unique(text * len(table) + back)
+                features, at = np.unique(table, return_inverse=True)
+                at = at.reshape(table.shape)
+                seen = np.unique(((seen // len(table))[:, None] * len(features) + at[seen % len(table)]).reshape(-1))
+                doc, feature = piece.first + seen // len(features), seen % len(features)
+                held.append((features, np.bincount(feature, weight[doc] * y[doc], len(features)), np.bincount(feature, weight[doc] * (1 - y[doc]), len(features))))
+                size += len(features)
+                if size > 2 * HELD:
+                    held = [_counted(held)]
+                    size = len(held[0][0])
+                    if size > HELD:
+                        yield made(*held[0])
+                        held, size = [], 0
+        if held:
+            yield made(*_counted(held))
+
+    return labelled.select("text", "y", "weight").mapInArrow(run, "feature long, bad double, good double")
+
+
+def find_marks(labelled: DataFrame, n_bad: int, n_good: int) -> np.ndarray:
+    """Features found in at least five toxic documents, and at least 20 times as often among them as among
+    the others."""
+    sums = feature_counts(labelled).groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    share = lambda c, n: (F.col(c) + 0.5) / (n + 1)
+    # weights of repeated rows are fractions, whose sums may miss a whole number by a little
+    marks = sums.where((F.col("feature") != 0) & (F.col("bad") > 5 - 1e-6) & (share("bad", n_bad) > 20 * share("good", n_good)))
+    return np.sort(marks.select("feature").toArrow().column(0).to_numpy().view(np.uint64))
 
 
 def document_stats(p: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +273,7 @@ def _scale(field: Field, got: DataFrame, share: float) -> tuple[float, float, fl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch.column(1)):
-                feats, _, _, first = word_features(piece)
+                feats, _, _, first = word_features(piece, field.marks)
                 top, total = document_stats(marginals(field, field.emission(feats), first)[2], first)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, len(piece)), pa.array(top), pa.array(total)], names=["y", "top", "total"])
 
@@ -228,17 +282,17 @@ def _scale(field: Field, got: DataFrame, share: float) -> tuple[float, float, fl
     return _logistic(np.column_stack((np.ones(len(top)), top, np.log1p(total))), y, share)
 
 
-def fit(texts: list[str], owner: np.ndarray, toxic: np.ndarray, rounds: int = 25) -> Field:
-    """The field without its document scale; owner: the document of each text; toxic: by document."""
+def fit(texts: list[str], toxic: np.ndarray, marks: np.ndarray, rounds: int = 25) -> Field:
+    """The field without its document scale; tokens of toxic texts are toxic where they are marked."""
     batches = []
     for piece in pieces(pa.array(texts, pa.string())):
-        feats, _, _, first = word_features(piece)
+        feats, _, _, first = word_features(piece, marks)
         batches.append((feats, first))
     feats = np.concatenate([f for f, _ in batches])
     counts = np.concatenate([np.diff(f) for _, f in batches])
     first = np.concatenate(([0], np.cumsum(counts)))
-    y = token_labels(feats, first, owner, toxic)
-    field = Field(np.zeros(1 << HASH_BITS), -3.0, np.zeros((2, 2)), 0.0)
+    y = (feats[:, -1] == MARKED) & np.repeat(toxic, counts)
+    field = Field(np.zeros(1 << HASH_BITS), -3.0, np.zeros((2, 2)), 0.0, marks=marks)
     inner = np.ones(len(y), dtype=bool)
     inner[first[:-1][np.diff(first) > 0]] = False
     k = np.flatnonzero(inner)
@@ -293,7 +347,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, learn_from: Column, id_col:
     scratch = Scratch(docs.sparkSession, "toxicity")
     # one narrow row for each distinct labelled text: its copies count once, and as toxic if any is
     named = texts.where(F.col("text").isNotNull()).select("id", F.md5("text").alias("digest")).join(known, "id")
-    distinct = scratch.keep(named.groupBy("digest").agg(F.min("id").alias("id"), F.max("y").alias("y")), "distinct")
+    rows = named.groupBy("digest", "id").agg(F.count("*").alias("n"), F.max("y").alias("y")).groupBy("digest").agg(F.max("y").alias("y"), F.min(F.struct("id", "n")).alias("one"))
+    distinct = scratch.keep(rows.select("digest", "y", "one.id", (1 / F.col("one.n")).alias("weight")), "distinct")
     chosen = [distinct.where(F.col("y") == y).orderBy(F.xxhash64(F.lit("toxic"), "id"), "digest").limit(sample) for y in (0, 1)]
     picked = scratch.keep(chosen[0].union(chosen[1]), "picked")
     got = texts.withColumn("digest", F.md5("text")).join(F.broadcast(picked), ["id", "digest"]).dropDuplicates(["digest"])
@@ -301,16 +356,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, learn_from: Column, id_col:
     field = None
     if got.select("y").distinct().count() == 2:
         n = known.agg(F.count("*").alias("n"), F.sum("y").alias("bad")).first()
+        size = {r.y: r.n for r in distinct.groupBy("y").agg(F.count("*").alias("n")).collect()}
+        marks = find_marks(texts.withColumn("digest", F.md5("text")).join(distinct, ["id", "digest"]), size[1], size[0])
         limit = word_limit(got.select("n_words").toArrow().column(0).to_numpy(), SAMPLE_WORDS)
         parts = _cut(got, limit).toArrow()
-        keys = np.array(parts.column("digest").to_pylist(), dtype=object)
-        order = np.argsort(keys, kind="stable")
-        names, owner = np.unique(keys[order].astype(str), return_inverse=True)
-        toxic = np.zeros(len(names), dtype=bool)
-        toxic[owner] = parts.column("y").to_numpy()[order] > 0
+        order = np.argsort(np.array(parts.column("digest").to_pylist(), dtype=str), kind="stable")
         cut = parts.column("part").to_pylist()
         if cut:
-            field = fit([cut[k] for k in order], owner, toxic)
+            field = fit([cut[k] for k in order], parts.column("y").to_numpy()[order] > 0, marks)
             field.scale = _scale(field, got, n.bad / n.n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +372,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, learn_from: Column, id_col:
             for piece in pieces(batch.column(1)):
                 value, spans = np.zeros(len(piece)), [[] for _ in range(len(piece))]
                 if field is not None:
-                    feats, starts, ends, first = word_features(piece)
+                    feats, starts, ends, first = word_features(piece, field.marks)
                     _, _, p = marginals(field, field.emission(feats), first)
                     value = score(field, *document_stats(p, first))
                     chars = np.concatenate(([0], np.cumsum((piece.data & 0xC0) != 0x80)))

@@ -187,3 +187,16 @@ def test_windows_keep_to_the_limit():
             w = crf.windows(n, limit)
             assert sum(b - a for a, b in w) <= min(n, limit or n) and all(0 <= a < b <= n for a, b in w) and bool(w) == (n > 0)
             assert all(x[1] <= y[0] for x, y in zip(w, w[1:], strict=False))
+
+
+def test_toxicity_knows_rare_words_of_all_labelled_documents(spark):
+    # 60 insults, each in ten toxic documents in all; a sample of 120 of 480 holds hardly any of them five times
+    rng = np.random.default_rng(5)
+    insults = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}qq" for k in range(60)]
+    rows = [(k, " ".join([f"w{v}x" for v in rng.integers(0, 300, 30)] + [insults[(k // 2) % 60]] * (k % 2)), k % 2) for k in range(1200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in crf.toxicity(docs, labels, learn_from=F.col("id") < 960, sample=120).collect()}
+    held = [r for r in rows if r[0] >= 960]
+    assert np.mean([got[k].predicted for k, _, bad in held if bad]) > 0.9
+    assert np.mean([got[k].predicted for k, _, bad in held if not bad]) < 0.05
