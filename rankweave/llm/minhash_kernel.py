@@ -38,27 +38,33 @@ def shingle_sets(piece: Piece, width: int) -> list[np.ndarray]:
 
 def signatures(sets: list[np.ndarray], slots: int, probes: np.ndarray) -> np.ndarray:
     """One row of ``slots`` values per set; rows of empty sets are zero and must not be banded."""
-    shift = np.uint64(64 - slots.bit_length() + 1)
-    sig = np.zeros((len(sets), slots), dtype=np.uint64)
-    for row, s in zip(sig, sets, strict=True):
-        if not len(s):
-            continue
-        bins = (s >> shift).astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], bins[1:] != bins[:-1])))
-        filled = np.zeros(slots, dtype=bool)
-        filled[bins[first]] = True
-        row[bins[first]] = s[first]
-        if len(first) < slots:
-            empty = np.flatnonzero(~filled)
-            order = probes[empty]
-            row[empty] = row[order[np.arange(len(empty)), filled[order].argmax(axis=1)]]
-    return sig
+    sig = np.zeros(len(sets) * slots, dtype=np.uint64)
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    if not size.sum():
+        return sig.reshape(len(sets), slots)
+    flat = np.concatenate(sets)
+    cell = np.repeat(np.arange(len(sets)) * slots, size) + (flat >> np.uint64(64 - slots.bit_length() + 1)).astype(np.int64)
+    # sets are sorted, so the first value of a cell is its minimum
+    low = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+    filled = np.zeros(len(sig), dtype=bool)
+    filled[cell[low]] = True
+    sig[cell[low]] = flat[low]
+    empty = np.flatnonzero(~filled & np.repeat(size > 0, slots))
+    own, base = empty % slots, empty // slots * slots
+    for turn in range(slots):  # all empty bins of all sets look at their next choice together
+        if not len(empty):
+            break
+        source = base + probes[own, turn]
+        hit = filled[source]
+        sig[empty[hit]] = sig[source[hit]]
+        left = ~hit
+        empty, own, base = empty[left], own[left], base[left]
+    return sig.reshape(len(sets), slots)
 
 
-def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
-    """A 64-bit key per text and band; the band's number is part of the key."""
-    rows = sig.shape[1] // bands
-    parts = sig.reshape(len(sig), bands, rows)
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A 64-bit key per text and band; the band's number is part of the key. Slots beyond the last band are not used."""
+    parts = sig[:, : bands * rows].reshape(len(sig), bands, rows)
     key = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), (len(sig), bands))
     for r in range(rows):
         key = mix((key ^ parts[:, :, r]) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(r + 1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,27 +10,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` as the session has it; only where it is unset, a folder of our own (tests)."""
+    """``spark.checkpoint.dir`` as the session has it; where it is unset, a folder of our own in local mode
+    (tests) and an error elsewhere: executors of a cluster would not see a folder of this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="rankweave-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
-#: Rows per Arrow batch at most: whole texts go to Python, and a batch is held several times over.
-BATCH_ROWS = 1_000
+#: Rows and bytes per Arrow batch at most: whole texts go to Python, and a batch is held several times over.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to BATCH_ROWS; it counts rows, and rows of text are large.
+    """Lower the session's Arrow batch sizes to BATCH_ROWS and BATCH_BYTES (a longer row is a batch of its own).
 
-    Results are lazy, so the setting stays for the session. A smaller one is left as it is.
+    Results are lazy, so the setting stays for the session. Smaller ones are left as they are.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 class Scratch:
@@ -38,6 +43,13 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.base = spark, f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
         small_batches(spark)
+        path, files = self._file("")
+        files.mkdirs(path)
+        files.deleteOnExit(path)  # what a lazy result still reads goes with the driver
+
+    def _file(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}".rstrip("/"))
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and return a reader of what was written."""
@@ -47,10 +59,9 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            path, files = self._file(name)
+            files.delete(path, True)
 
     def release(self) -> None:
         """Let the context cleaner remove the shuffle files of steps whose results were written.
