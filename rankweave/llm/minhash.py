@@ -191,6 +191,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     seats = classes.select(F.col("class_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     hubs = seats.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
+    hubs = scratch.keep(hubs.select("key", "hub"), "hubs")  # a table of its own: a join with it can split hot keys
     seats = scratch.keep(seats.join(hubs, "key").select("key", "id", "n", F.col("id").alias("comp"), F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.id").alias("hub_comp")), "seats-0")
     wanted = seats.select("id").distinct()
     sets = scratch.keep(texts.join(wanted, "id", "left_semi").mapInArrow(_set_pass(width), "id long, s array<long>"), "sets")
@@ -207,13 +208,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         forest = connected_components(scratch.keep(edges, f"links-{turn}"), scratch, f"components-{turn}")
         rest = seats.where("id > hub").select("key", "id", "n").join(forest, "id", "left").withColumn("comp", F.coalesce("component", "id"))
         still = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("id", "n", "comp")).alias("hub")).where("lo <> hi")
+        still = scratch.keep(still.select("key", "hub"), f"hubs-{turn + 1}")
         seats = scratch.keep(rest.join(still, "key").select("key", "id", "n", "comp", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.comp").alias("hub_comp")), f"seats-{turn + 1}")
         scratch.drop(f"seats-{turn}", f"links-{turn}")
         scratch.release()
         if seats.isEmpty():
             break
 
-    extra = _open_bucket_links(seats, sets, percent)
+    extra = _open_bucket_links(seats, sets, percent, scratch)
     # ids that carry several different sets tie their classes together
     several = real.groupBy("id").agg(F.min(F.struct(*own)).alias("lo"), F.max(F.struct(*own)).alias("hi")).where("lo <> hi").select("id")
     held = real.join(several, "id").join(classes.select(*own, "class_id"), own)
@@ -227,11 +229,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     result = out.select(
         sig.id.alias(id_col), sig.n_shingles, F.coalesce(named.class_id, sig.id).alias("class_id"), component.alias("component_id"), F.coalesce(component == sig.id, F.lit(True)).alias("kept")
     )
-    scratch.drop("sets", "seats-0", "edges")
+    scratch.drop("sets", "edges", "shape")
     return result
 
 
-def _open_bucket_links(seats: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _open_bucket_links(seats: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Step 6 of the plan: links inside buckets that hold several components, compared in blocks."""
     weight = seats.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
     main = F.max(F.struct("c", "comp", "w"))
@@ -239,7 +241,8 @@ def _open_bucket_links(seats: DataFrame, sets: DataFrame, percent: int) -> DataF
     shape = weight.groupBy("key").agg(
         main.getField("comp").alias("main"), blocks(F.sum("w"), F.sum("c")).alias("blocks"), blocks(F.sum("w") - main.getField("w"), F.sum("c") - main.getField("c")).alias("ask_blocks")
     )
-    seat = seats.select("key", "id", "comp", "n").join(shape, "key").withColumn("h", F.xxhash64("id"))
+    shape = scratch.keep(shape, "shape")
+    seat = seats.select("key", "id", "comp").join(shape, "key").withColumn("h", F.xxhash64("id"))
     data = seat.select("key", "id", "comp", F.lit(1).alias("kind"), F.expr("pmod(h, blocks)").cast("int").alias("block"), F.explode(F.expr("sequence(0, ask_blocks - 1)")).alias("ask"))
     asks = seat.where("comp <> main").select("key", "id", "comp", F.lit(0).alias("kind"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.expr("pmod(h, ask_blocks)").cast("int").alias("ask"))
     rows = data.union(asks).join(sets, "id")
