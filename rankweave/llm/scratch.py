@@ -37,6 +37,17 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def free_names(taken: list[str], *stems: str) -> list[str]:
+    """The stems, each with as many underscores as it takes to be no column name (names ignore case)."""
+    low, out = {c.lower() for c in taken}, []
+    for stem in stems:
+        while stem.lower() in low:
+            stem += "_"
+        low.add(stem.lower())
+        out.append(stem)
+    return out
+
+
 class Scratch:
     """Named Parquet tables of one operator run under a fresh folder of the shared root."""
 

@@ -4,124 +4,42 @@ A window is ``WINDOW`` consecutive words of one text; it repeats when the same w
 anywhere else, in the same text or another. Comparing all windows would shuffle a row per word of the
 corpus, so most are ruled out first:
 
-1. *Recompression.* In each text, runs of exactly two equal words get a name (the hash of word and
-   length), then adjacent symbols are named as pairs where the left one falls in the left half and the
-   right one in the right half of the alphabet (a bit of the name) and both cover at most four words.
-   Names are hashes of what they stand for, so all tasks agree on them without a dictionary shuffle.
-   What happens to a symbol depends on its neighbours only: equal stretches get equal symbols except
-   within ``MARGIN`` words of their ends (longer runs stay as they are, or this would fail).
-2. *Phrases.* At a symbol border, the whole symbols covering the next ``PHRASE`` words or more form a
-   phrase, named by its symbols' names. Of the phrases that start in any ``STRETCH`` consecutive words
-   the one with the lowest name is kept. A window leaves ``WINDOW - 2 * MARGIN`` interior words, hence
-   at least one kept phrase, the same in each occurrence of the window. About one word in nine starts
-   a kept phrase.
-3. *Reveal.* Phrase names seen only once rule out every window whose kept phrases they are. Only texts
-   with a phrase seen elsewhere, and there only windows around such phrases, go on.
-4. *Verify.* Those windows are compared by 128-bit digests of their full word sequences.
-
-Hot phrases and windows: equal names within a stretch of a task are merged before the shuffle into one evidence row,
-and their places are settled locally, so a key arrives at most once per batch, not once per document.
-Tables are keyed by text, not by row: copies share one entry. Names are 64-bit; a clash only adds
-candidates. Verification uses 128 bits, text identity 98.
+1. *Recompression* (module ``recompress``) names runs and pairs of symbols step by step. Every window has a
+   representative: the longest symbol that is certain to be the same in all its occurrences.
+2. *Reveal, in Spark rounds.* A round counts the names of the representatives over the whole corpus. A
+   window whose representative occurs once cannot repeat and is closed; the next round parses the texts
+   that still have open windows with longer symbols (``CAPS``) and names the representatives of open
+   windows only. About one word in ten of an open stretch starts a representative.
+3. *Verify.* Windows that are still open are compared by 128-bit digests of their full word sequences.
+
+Each round is one shuffle by name and one join of the texts with what stays open. Hot names and windows:
+equal keys within a stretch of a task are merged before the shuffle into one evidence row, and their places
+follow as one list per text, dealt by the text, so a key arrives at most once per batch, not once per
+document. Tables are keyed by text, not by row: copies share one entry. Names have 58 bits and the
+length; a clash only leaves a window open. Verification uses 128 bits, text identity 98.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankweave.llm.scratch import Scratch
-from rankweave.llm.textcore import Piece, Words, find_words, gram_hashes, mix, pieces, word_hashes
+from rankweave.llm.recompress import Represented, represent
+from rankweave.llm.scratch import Scratch, free_names
+from rankweave.llm.textcore import Piece, find_words, gram_hashes, mix, pieces, word_hashes
 
 WINDOW = 35
-#: Words at each end of a window whose symbols may depend on what stands outside it: a run of two, then
-#: one symbol of up to two words.
-MARGIN = 4
-PAIR_WORDS = 4
-PHRASE = 8
-#: Longest phrase: PHRASE - 1 words and one symbol more.
-STRETCH = WINDOW - 2 * MARGIN - (PHRASE - 1 + PAIR_WORDS) + 1
+#: Longest symbols of each round, in words.
+CAPS = (8, 24)
 PLACE_BITS = 30
 #: Rows of a task that are searched for equal keys before they are shuffled (some 30 MB).
 COMBINED = 1_000_000
 
-_P = 0xF1357AEA2E62A9C5
-_PINV = pow(_P, -1, 2**64)
-_ALL = np.uint64(2**64 - 1)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n + 1, np.uint64(base), dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def recompress(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Names and first words of the symbols of all texts (h: word hashes, text: each word's text number)."""
-    n = len(h)
-    same = np.zeros(n + 1, dtype=bool)  # same[i]: word i continues the run of word i - 1
-    same[1:n] = (h[1:] == h[:-1]) & (text[1:] == text[:-1])
-    head = np.flatnonzero(~same[:n])
-    length = np.diff(np.append(head, n))
-    double = head[length == 2]
-    keep = np.ones(n, dtype=bool)
-    keep[double + 1] = False
-    name = h.copy()
-    name[double] = mix(h[double] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(2))
-    at = np.flatnonzero(keep)
-    name, owner = name[at], text[at]
-    size = np.diff(np.append(at, n))
-
-    left = (name >> np.uint64(17)) & np.uint64(1) == 0
-    ok = left[:-1] & ~left[1:] & (owner[:-1] == owner[1:]) & (size[:-1] + size[1:] <= PAIR_WORDS)
-    first = np.flatnonzero(ok)
-    keep = np.ones(len(name), dtype=bool)
-    keep[first + 1] = False
-    name[first] = mix(mix(name[first] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ name[first + 1])
-    return name[keep], at[keep]
-
-
-def _sliding(op: np.ufunc, x: np.ndarray, w: int) -> np.ndarray:
-    """op over every w consecutive entries, by doubling."""
-    have = 1
-    while have * 2 <= w:
-        x = op(x[:-have], x[have:])
-        have *= 2
-    return op(x[: len(x) - (w - have)], x[w - have :]) if w > have else x
-
-
-def kept_phrases(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First words and names of the kept phrases of all texts."""
-    n = len(h)
-    if n < WINDOW:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    name, at = recompress(h, text)
-    m = len(name)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(name * _powers(_P, m)[:m], dtype=np.uint64)))
-    border = np.append(at, n)
-    end = np.searchsorted(border, at + PHRASE)
-    whole = (end <= m) & (text[np.minimum(border[np.minimum(end, m)] - 1, n - 1)] == text[at])
-    k = np.flatnonzero(whole)
-    value = np.full(n, _ALL)
-    value[at[k]] = mix((total[end[k]] - total[k]) * _powers(_PINV, m)[k] + np.uint64(1)) >> np.uint64(1)
-    low = _sliding(np.minimum, value, STRETCH)
-    low[text[: len(low)] != text[STRETCH - 1 :]] = 0
-    low[low == _ALL] = 0
-    reach = np.zeros(n + STRETCH - 1, dtype=np.uint64)
-    reach[STRETCH - 1 : STRETCH - 1 + len(low)] = low
-    best = np.flatnonzero((_sliding(np.maximum, reach, STRETCH) == value) & (value != _ALL))
-    return best, value[best]
-
-
-def _words_of(piece: Piece) -> tuple[Words, np.ndarray]:
-    words = find_words(piece)
-    return words, word_hashes(piece.data, words.starts, words.ends)
-
 
 def _longs(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -153,87 +71,89 @@ def _gathered(found: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndar
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
-def _phrase_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(t1, t2, text) -> (name, t1, spot): kept phrases. A null spot is evidence only, a null name a place
-    whose phrase is known to repeat."""
-    mask = np.int64(-1 << PLACE_BITS)
+def _evidence(found: Iterator[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """(keys..., t1, t2, pos) -> (keys..., t1, spot, settled).
 
-    def found() -> Iterator[tuple[np.ndarray, ...]]:
-        for batch in batches:
-            t1, t2 = _longs(batch.column(0)), _longs(batch.column(1)) & mask
-            for piece in pieces(batch.column(2)):
-                words, h = _words_of(piece)
-                at, name = kept_phrases(h, words.text_of)
-                owner = words.text_of[at]
-                yield name.view(np.int64), t1[piece.first + owner], t2[piece.first + owner] | (at - words.first[owner])
-
-    for name, text, spot in _gathered(found()):
-        alone, known = _once(name)
+    A key that the stretch holds once is a row of its own. Of others one evidence row (null t1) goes out, and
+    their places follow as one list per text (settled), under keys made of the text.
+    """
+    null = lambda size, kind=pa.int64(): pa.nulls(size, kind)
+    for columns in _gathered(found):
+        *keys, t1, t2, pos = columns
+        alone, known = _once(*keys)
         some, more = np.flatnonzero(alone), np.flatnonzero(~alone)
-        null = lambda k: pa.nulls(k, pa.int64())
-        cut = lambda a, i: pa.array(a[i])
+        more = more[np.lexsort((pos[more], t2[more], t1[more]))]
+        other = np.ones(len(more), dtype=bool)
+        other[1:] = (t1[more][1:] != t1[more][:-1]) | (t2[more][1:] != t2[more][:-1])
+        fresh = other.copy()  # copies of a text in the stretch settle the same places
+        fresh[1:] |= pos[more][1:] != pos[more][:-1]
+        more, other = more[fresh], other[fresh]
+        first = np.flatnonzero(other)
+        n, k, t = len(some), len(known), len(first)
+        own = [t1[more][first], t2[more][first]]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(more)).astype(np.int32)), pa.array(pos[more].astype(np.int32))) if t else pa.array([], pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.concat_arrays([cut(name, some), cut(name, known), null(len(more))]),
-                pa.concat_arrays([cut(text, some), null(len(known)), cut(text, more)]),
-                pa.concat_arrays([cut(spot, some), null(len(known)), cut(spot, more)]),
+                *(pa.concat_arrays([pa.array(key[some]), pa.array(key[known]), pa.array(own[j])]) for j, key in enumerate(keys)),
+                pa.concat_arrays([pa.array(t1[some]), null(k), pa.array(own[0])]),
+                pa.concat_arrays([pa.array(t2[some] | pos[some]), null(k), pa.array(own[1])]),
+                pa.concat_arrays([null(n + k, pa.list_(pa.int32())), lists]),
             ],
-            names=["name", "t1", "spot"],
+            names=[*names, "t1", "spot", "settled"],
         )
 
 
-def _window_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(tid, places, text) -> (f1, f2, tid, pos, settled): digests of the windows around repeated phrases.
+def _opened(r: Represented, places: np.ndarray) -> np.ndarray:
+    """Window starts whose representative starts at one of the places (and perhaps some more)."""
+    known = np.zeros(len(r.of), dtype=bool)
+    known[places] = True
+    hit = known[r.chosen.start]
+    step = np.zeros(len(r.of) + 1, dtype=np.int32)
+    np.add.at(step, r.a[hit], 1)
+    np.add.at(step, r.b[hit] + 1, -1)
+    return (np.cumsum(step[:-1]) > 0) & np.isin(r.of, r.chosen.key()[hit])
 
-    A window that the batch holds once is a row of its own. Of others one evidence row (null tid) goes
-    out, and their places follow as one list per text (settled), dealt by the text.
-    """
 
-    def found() -> Iterator[tuple[np.ndarray, ...]]:
-        for batch in batches:
-            tid = _longs(batch.column(0))
-            lists = batch.column(1)
-            edges, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
-            for piece in pieces(batch.column(2)):
-                words, h = _words_of(piece)
-                a, b = edges[piece.first], edges[piece.first + len(piece)]
-                owner = np.repeat(np.arange(len(piece)), np.diff(edges[piece.first : piece.first + len(piece) + 1]))
-                place = values[a:b].astype(np.int64) + words.first[owner]
-                near = np.zeros(len(h) + 1, dtype=np.int32)
-                np.add.at(near, np.maximum(place - (WINDOW - PHRASE), words.first[owner]), 1)
-                np.add.at(near, place + 1, -1)
-                last = np.maximum(words.first[1:] - WINDOW, words.first[:-1] - 1)  # last start of a window in each text
-                text = words.text_of
-                start = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-                start = start[start <= last[text[start]]]
-                if len(start):
-                    f1 = gram_hashes(h, WINDOW)[start]
-                    f2 = gram_hashes(mix(h + np.uint64(0x2545F4914F6CDD1D)), WINDOW, odd=0xD1342543DE82EF95)[start]
-                    yield f1.view(np.int64), f2.view(np.int64), tid[piece.first + text[start]], start - words.first[text[start]]
-
-    for f1, f2, who, pos in _gathered(found()):
-        pos = pos.astype(np.int32)
-        alone, known = _once(f1, f2)
-        some, more = np.flatnonzero(alone), np.flatnonzero(~alone)
-        more = more[np.lexsort((pos[more], who[more]))]
-        fresh = np.ones(len(more), dtype=bool)  # copies of a text in the batch settle the same places
-        fresh[1:] = (who[more][1:] != who[more][:-1]) | (pos[more][1:] != pos[more][:-1])
-        more = more[fresh]
-        first = np.flatnonzero(np.concatenate(([True], who[more][1:] != who[more][:-1]))) if len(more) else np.zeros(0, np.int64)
-        n, k, t = len(some), len(known), len(first)
-        null = lambda size, kind=pa.int64(): pa.nulls(size, kind)
-        owners = pa.array(who[more][first])
-        settled = pa.ListArray.from_arrays(pa.array(np.append(first, len(more)).astype(np.int32)), pa.array(pos[more])) if t else pa.array([], pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.concat_arrays([pa.array(f1[some]), pa.array(f1[known]), owners]),
-                pa.concat_arrays([pa.array(f2[some]), pa.array(f2[known]), pa.array(pos[more][first].astype(np.int64))]),
-                pa.concat_arrays([pa.array(who[some]), null(k), owners]),
-                pa.concat_arrays([pa.array(pos[some]), null(k + t, pa.int32())]),
-                pa.concat_arrays([null(n + k, pa.list_(pa.int32())), settled]),
-            ],
-            names=["f1", "f2", "tid", "pos", "settled"],
-        )
+def _pass(names: list[str], look: Callable[[np.ndarray, np.ndarray, np.ndarray | None], tuple[list[np.ndarray], np.ndarray]]):
+    """(t1, t2, text[, places]) -> evidence; look: word hashes, text bounds and open places -> (keys, word numbers)."""
+    mask = np.int64(-1 << PLACE_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple[np.ndarray, ...]]:
+            for batch in batches:
+                t1, t2 = _longs(batch.column(0)), _longs(batch.column(1)) & mask
+                for piece in pieces(batch.column(2)):
+                    words = find_words(piece)
+                    places = None
+                    if batch.num_columns > 3:
+                        edges = batch.column(3).offsets.to_numpy()[piece.first : piece.first + len(piece) + 1].astype(np.int64)
+                        places = batch.column(3).values.to_numpy()[edges[0] : edges[-1]] + np.repeat(words.first[:-1], np.diff(edges))
+                    keys, at = look(word_hashes(piece.data, words.starts, words.ends), words.first, places)
+                    owner = np.searchsorted(words.first, at, side="right") - 1
+                    yield *(k.view(np.int64) for k in keys), t1[piece.first + owner], t2[piece.first + owner], at - words.first[owner]
+
+        yield from _evidence(found(), names)
+
+    return run
+
+
+def _names(turn: int):
+    """Names of the representatives of all windows (turn 0) or of those left open by the turn before."""
+
+    def look(h: np.ndarray, bounds: np.ndarray, places: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray]:
+        opened = None if places is None else _opened(represent(h, bounds, WINDOW, CAPS[turn - 1]), places)
+        r = represent(h, bounds, WINDOW, CAPS[turn], opened)
+        return [r.chosen.key()], r.chosen.start.astype(np.int64)
+
+    return look
+
+
+def _digests(h: np.ndarray, bounds: np.ndarray, places: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Digests of the windows that the last turn left open."""
+    start = np.flatnonzero(_opened(represent(h, bounds, WINDOW, CAPS[-1]), places))
+    if not len(start):
+        return [np.zeros(0, np.uint64), np.zeros(0, np.uint64)], start
+    return [gram_hashes(h, WINDOW)[start], gram_hashes(mix(h + np.uint64(0x2545F4914F6CDD1D)), WINDOW, odd=0xD1342543DE82EF95)[start]], start
 
 
 def _covered(starts: np.ndarray, n: int) -> np.ndarray:
@@ -244,42 +164,37 @@ def _covered(starts: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def repeated_windows(docs: DataFrame, scratch: Scratch, text_col: str) -> DataFrame:
-    """``(t1, t2, starts)``: for each distinct text with repeated windows, where they start (word numbers)."""
-    keyed = _keyed(docs, text_col)
-    phrases = scratch.keep(keyed.mapInArrow(_phrase_pass, "name long, t1 long, spot long"), "phrases")
-    named = phrases.where("name IS NOT NULL")
-    # a name is repeated if two rows carry it, or one evidence row
-    again = named.groupBy("name").agg(F.count("*").alias("n"), F.count("spot").alias("m")).where("n > 1 OR m < n").select("name")
-    places = named.where("spot IS NOT NULL").join(again, "name", "left_semi").select("t1", "spot").union(phrases.where("name IS NULL").select("t1", "spot"))
-    mask = (1 << PLACE_BITS) - 1
-    places = places.select("t1", F.shiftright("spot", PLACE_BITS).alias("t2"), F.col("spot").bitwiseAND(F.lit(mask)).cast("int").alias("pos"))
-    texts = scratch.keep(places.groupBy("t1", "t2").agg(F.collect_set("pos").alias("places")).withColumn("tid", F.monotonically_increasing_id()), "texts")
-    scratch.drop("phrases")
-    scratch.release()
-
-    wanted = keyed.withColumn("t2", F.shiftright("t2", PLACE_BITS)).join(texts, ["t1", "t2"]).select("tid", "places", "text")
-    windows = wanted.mapInArrow(_window_pass, "f1 long, f2 long, tid long, pos int, settled array<int>")
-    # one shuffle of the windows; a digest arrives at most once per batch, so its group stays small
-    held = F.count("*").over(Window.partitionBy("f1", "f2"))
-    found = windows.withColumn("n", held).where("tid IS NOT NULL AND (n > 1 OR settled IS NOT NULL)")
-    found = found.select("tid", F.explode(F.coalesce("settled", F.array("pos"))).alias("pos"))
-    starts = found.groupBy("tid").agg(F.collect_set("pos").alias("starts")).join(texts.select("tid", "t1", "t2"), "tid").select("t1", "t2", "starts")
-    out = scratch.keep(starts, "starts")
-    scratch.drop("texts")
-    scratch.release()
-    return out
-
-
-def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("text"), text).alias("t2"), text.alias("text"))
+def _repeated(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``(t1, t2, places)``: the places whose keys more than one row carries, or that were settled before."""
+    held = rows.withColumn("n", F.count("*").over(Window.partitionBy(*names))).where("t1 IS NOT NULL AND (n > 1 OR settled IS NOT NULL)")
+    own = F.array(F.col("spot").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int"))
+    single = held.select("t1", F.shiftright("spot", PLACE_BITS).alias("t2"), F.explode(F.coalesce("settled", own)).alias("pos"))
+    return single.groupBy("t1", "t2").agg(F.collect_set("pos").alias("places"))
 
 
-def _with_starts(docs: DataFrame, text_col: str, starts: DataFrame) -> DataFrame:
+def repeated_windows(docs: DataFrame, scratch: Scratch, text_col: str) -> DataFrame:
+    """``(t1, t2, places)``: for each distinct text with repeated windows, where they start (word numbers)."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("text"), text).alias("t2"), text.alias("text"))
+    rows, kept = texts, None
+    for turn in range(len(CAPS) + 1):
+        names = ["name"] if turn < len(CAPS) else ["f1", "f2"]
+        look = _names(turn) if turn < len(CAPS) else _digests
+        found = rows.mapInArrow(_pass(names, look), "".join(f"{k} long, " for k in names) + "t1 long, spot long, settled array<int>")
+        kept = scratch.keep(_repeated(found, names), f"open-{turn}")
+        if turn:
+            scratch.drop(f"open-{turn - 1}")
+        scratch.release()
+        rows = texts.withColumn("low", F.shiftright("t2", PLACE_BITS)).join(kept.withColumnsRenamed({"t1": "o1", "t2": "o2"}), (F.col("t1") == F.col("o1")) & (F.col("low") == F.col("o2"))).select("t1", "t2", "text", "places")
+    return kept
+
+
+def _with_starts(docs: DataFrame, text_col: str, starts: DataFrame, names: list[str]) -> DataFrame:
+    """docs with the column names[0] of window starts; names: three free names."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_t1": F.xxhash64(text), "_t2": F.shiftright(F.xxhash64(F.lit("text"), text), PLACE_BITS), "_text": text})
-    return keyed.join(starts.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("starts").alias("_starts")), ["_t1", "_t2"], "left").drop("_t1", "_t2")
+    at, t1, t2 = names
+    keyed = docs.withColumns({t1: F.xxhash64(text), t2: F.shiftright(F.xxhash64(F.lit("text"), text), PLACE_BITS)})
+    return keyed.join(starts.select(F.col("t1").alias(t1), F.col("t2").alias(t2), F.col("places").alias(at)), [t1, t2], "left").drop(t1, t2)
 
 
 def _starts_of(column: pa.Array) -> list[np.ndarray | None]:
@@ -289,12 +204,13 @@ def _starts_of(column: pa.Array) -> list[np.ndarray | None]:
 def removal_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, n_words, n_removed, kept_sha256)``: every word in a repeated window is removed.
 
-    Null, empty and short texts lose nothing; ids may be null or repeat (rows stand for themselves, and
-    equal texts repeat each other); other columns are ignored; an empty table gives an empty result.
+    Null, empty and short texts lose nothing; very long texts are handled whole; ids may be null or repeat
+    (rows stand for themselves, and equal texts repeat each other); other columns are ignored, whatever
+    their names; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "substring")
     starts = repeated_windows(docs, scratch, text_col)
-    rows = _with_starts(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_raw")), "_raw", starts).select("_id", "_text", "_starts")
+    rows = _with_starts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", starts, ["starts", "t1", "t2"]).select("id", F.coalesce(F.col("text").cast("string"), F.lit("")), "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,20 +249,21 @@ def cut_text(text: str, starts: np.ndarray) -> str:
 def remove_repeats(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """docs with repeated windows cut out of the text; all rows and columns stay, untouched texts exactly.
 
-    A null text stays null; the other cases are as in ``removal_digests``.
+    A null text stays null; other columns pass through, whatever their names; the other cases are as in
+    ``removal_digests``.
     """
     scratch = Scratch(docs.sparkSession, "substring")
-    rows = _with_starts(docs, text_col, repeated_windows(docs, scratch, text_col)).drop("_text")
     names = docs.columns
     at = names.index(text_col)
+    free = free_names(names, "starts", "t1", "t2")
+    rows = _with_starts(docs, text_col, repeated_windows(docs, scratch, text_col), free).select(*(F.col(f"`{c}`") for c in names), free[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(names_all.index(c)) for c in names]
-            cuts = _starts_of(batch.column(names_all.index("_starts")))
+            *columns, cuts = batch.columns
+            cuts = _starts_of(cuts)
             texts = columns[at].to_pylist()
             columns[at] = pa.array([t if c is None or t is None else cut_text(t, c) for t, c in zip(texts, cuts, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    names_all = rows.columns
     return rows.mapInArrow(run, docs.schema)

@@ -7,13 +7,13 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
-from rankweave.llm import minhash
+from rankweave.llm import minhash, substring
 from rankweave.llm.minhash import near_duplicates
-from rankweave.llm.substring import cut_text, kept_phrases, remove_repeats, removal_digests
-from rankweave.llm.textcore import find_words, pieces, word_hashes
+from rankweave.llm.recompress import represent, symbols
+from rankweave.llm.substring import cut_text, remove_repeats, removal_digests
+from rankweave.llm.textcore import mix
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -64,11 +64,35 @@ def test_links_that_no_star_tests(spark, monkeypatch):
         rows.append((k, " ".join(w)))
     want = {i: c for i, (_, c) in brute_components(rows, 4, 80).items()}
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for size in (400_000, 700):
+    for stars, size, rows in ((3, 400_000, 1_000), (1, 700, 1_000), (1, 400_000, 5), (20, 400_000, 1_000)):
+        monkeypatch.setattr(minhash, "STARS", stars)
         monkeypatch.setattr(minhash, "BLOCK_SHINGLES", size)
+        monkeypatch.setattr(minhash, "BLOCK_ROWS", rows)
+        monkeypatch.setattr(minhash, "STAR_ROWS", rows)
         assert {r.doc_id: r.component_id for r in near_duplicates(docs, width=4).collect()} == want
 
 
+def test_one_id_with_several_texts_ties_their_groups(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    docs = spark.createDataFrame([(1, a), (2, b), (5, a), (5, b), (7, "c d e f")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id, r.kept) for r in near_duplicates(docs, width=4).collect()} == {(1, 1, True), (2, 1, False), (5, 1, False), (7, 7, True)}
+
+
+def test_no_link_is_lost_at_the_threshold():
+    """Pairs at exactly four fifths, of any size, share a bucket."""
+    rng = np.random.default_rng(5)
+    probes = minhash.probe_order(256)
+    lost = 0
+    for size in (4, 8, 20, 60, 200, 800):
+        sets = []
+        for _ in range(300):
+            pool = np.unique(rng.integers(0, 2**64, size // 4 * 5, dtype=np.uint64))
+            sets += [pool, np.sort(rng.permutation(pool)[: size // 4 * 4])]
+        keys = minhash.band_keys(minhash.signatures(sets, 256, probes), 42, 6)
+        lost += int((~(keys[::2] == keys[1::2]).any(axis=1)).sum())
+    assert lost == 0
+
+
 def test_components_on_awkward_rows(awkward, none):
     rows = near_duplicates(awkward, width=4).collect()
     assert len(rows) == awkward.count()
@@ -133,26 +157,36 @@ def test_cut_text_leaves_the_rest_alone():
 
 
 @pytest.mark.parametrize("vocabulary", [1, 2, 3, 8, 50])
-def test_repeated_windows_share_a_kept_phrase(vocabulary):
+@pytest.mark.parametrize("cap", [8, 24])
+def test_equal_windows_have_equal_representatives(vocabulary, cap):
     rng = np.random.default_rng(vocabulary)
-    base = [[f"v{x}" for x in rng.integers(0, vocabulary, rng.integers(1, 150))] for _ in range(5)]
+    base = [rng.integers(0, vocabulary, rng.integers(1, 150)) for _ in range(5)]
+    base.append(np.tile(rng.integers(0, vocabulary, 4), 30))
     texts = []
     for _ in range(60):
-        b = base[rng.integers(5)]
+        b = base[rng.integers(len(base))]
         i = rng.integers(len(b))
-        around = [[f"v{x}" for x in rng.integers(0, vocabulary, rng.integers(0, 9))] for _ in range(2)]
-        texts.append(" ".join(around[0] + b[i : i + rng.integers(len(b))] + around[1]))
-    for piece in pieces(pa.array(texts)):
-        words = find_words(piece)
-        text = words.text_of
-        at, name = kept_phrases(word_hashes(piece.data, words.starts, words.ends), text)
-        lists = [t.split() for t in texts[piece.first : piece.first + len(piece)]]
-        inside = defaultdict(list)
-        for p, n in zip(at, name, strict=True):
-            inside[text[p]].append((p - words.first[text[p]], n))
-        windows = defaultdict(list)
-        for k, w in enumerate(lists):
-            for s in range(len(w) - 34):
-                windows[tuple(w[s : s + 35])].append({n for p, n in inside[k] if s <= p <= s + 27})
-        for names in windows.values():
-            assert set.intersection(*names)
+        around = [rng.integers(0, vocabulary, rng.integers(0, 9)) for _ in range(2)]
+        texts.append(np.concatenate((around[0], b[i : i + rng.integers(len(b))], around[1])))
+    bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    words = np.concatenate(texts)
+    r = represent(mix(words.astype(np.uint64) + np.uint64(5)), bounds, 35, cap)
+    keys = defaultdict(set)
+    for k in range(len(texts)):
+        for p in range(bounds[k], max(bounds[k], bounds[k + 1] - 34)):
+            keys[tuple(words[p : p + 35])].add(int(r.of[p]))
+    assert keys and all(len(x) == 1 and 0 not in x for x in keys.values())
+    assert set(r.chosen.key().tolist()) == set.union(*keys.values())
+    # symbols stand for what they cover: equal names, equal words
+    covers = defaultdict(set)
+    s = symbols(mix(words.astype(np.uint64) + np.uint64(5)), bounds, cap)
+    for name, a, b in zip(s.name.tolist(), s.start, s.end, strict=True):
+        covers[name].add(tuple(words[a:b]))
+    assert all(len(x) == 1 for x in covers.values()) and max(len(w) for x in covers.values() for w in x) <= cap
+
+
+def test_rounds_of_any_caps_find_the_same(generated, monkeypatch):
+    want = Counter(tuple(r) for r in removal_digests(generated).collect())
+    monkeypatch.setattr(substring, "CAPS", (3, 6, 30))
+    monkeypatch.setattr(substring, "COMBINED", 50)
+    assert Counter(tuple(r) for r in removal_digests(generated).collect()) == want
