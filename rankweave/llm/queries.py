@@ -47,9 +47,11 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rankweave.llm.jpeg import add_media, read_media
+    from rankweave.llm.scratch import Scratch
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    return read_media(add_media(docs), keep=("doc_id", "n_bytes"))
+    stored = Scratch(spark, "media").keep(add_media(docs).drop("text"), "media")
+    return read_media(stored, keep=("doc_id", "n_bytes"))
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import slow_jpeg
 from rankweave.llm import jpeg
 from rankweave.llm.licenses import TEMPLATES, StretchScanner, bigrams, license_scan, license_stretches, units
 from rankweave.llm.mixing import systematic_mix, word_count
@@ -158,22 +159,91 @@ def test_jpeg_round_trip_and_thumbnail():
         assert jpeg.payload(head, blocks) == p
         thumb = jpeg.thumbnail(head, blocks)
         assert thumb.shape == (head.height // 8, head.width // 8)
-        assert thumb[0, 0] == np.clip((int(jpeg.TO_VALUE[p[0]]) + 4 >> 3) + 128, 0, 255)
-    # runs of 16 and more zeros inside a block
-    blocks = np.zeros((3, 64), dtype=np.int16)
-    blocks[0, [0, 20, 63]], blocks[1, 40], blocks[2, [1, 17, 34, 52]] = 5, -7, [1, -2, 3, -128]
-    data, at = jpeg._entropy_code(blocks)
-    stuffed = np.flatnonzero(data[:-1] == 0xFF) + 1
-    clean, gone = np.delete(data, stuffed), np.searchsorted(stuffed, at)
-    tables = [jpeg._lookup((c, s)) for c, s in ((jpeg._DC_COUNTS, jpeg._DC_SYMBOLS), (jpeg._AC_COUNTS, jpeg._AC_SYMBOLS))]
-    assert (jpeg._decode_blocks(clean, (at - gone)[:-1], (at - gone)[1:], *tables) == blocks).all()
-
-
-def test_jpeg_errors():
-    image = jpeg.write_images([jpeg.pad(b"some text")])[0]
-    for bad in (b"", b"xx" + image[2:], image[: len(image) // 3]):
-        with pytest.raises(ValueError):
-            jpeg.read_images([bad])
+        want = [int(np.clip((int(jpeg.TO_VALUE[b]) + 4 >> 3) + 128, 0, 255)) for b in p[::64]]
+        assert thumb.reshape(-1).tolist() == want + [128] * (thumb.size - len(want))
+
+
+def test_written_images_by_an_independent_decoder():
+    rng = random.Random(7)
+    payloads = [jpeg.pad(bytes(rng.choices(b"some letters \0\xff\xc3\xa4", k=n))) for n in (0, 1, 64, 65, 500, 64 * 16 + 1, 64 * 40)]
+    for p, image in zip(payloads, jpeg.write_images(payloads), strict=True):
+        width, height, blocks = slow_jpeg.decode_grey(image)
+        flat = [v for block in blocks for v in block]
+        assert (width // 8) * (height // 8) == len(blocks)
+        assert flat[: len(p)] == [int(jpeg.TO_VALUE[b]) for b in p] and not any(flat[len(p) :])
+
+
+def _colour(rng, width, height, factors):
+    hmax, vmax = max(h for h, _ in factors), max(v for _, v in factors)
+    down, across = -(-height // (8 * vmax)), -(-width // (8 * hmax))
+
+    def block():
+        out = [0] * 64
+        out[0] = rng.randint(-500, 500)
+        for _ in range(rng.choice([0, 1, 5, 63])):
+            out[rng.randint(1, 63)] = rng.randint(-300, 300)
+        return out
+
+    return [{"h": h, "v": v, "blocks": [[block() for _ in range(across * h)] for _ in range(down * v)]} for h, v in factors]
+
+
+def test_images_of_another_writer():
+    """Colour, subsampling, single scans, any restart interval: luminance as an independent coder put it in."""
+    rng = random.Random(11)
+    images, want = [], []
+    for factors in ([(1, 1)], [(2, 2), (1, 1), (1, 1)], [(2, 1), (1, 1), (1, 1)], [(1, 1), (1, 1), (1, 1)], [(1, 2), (1, 1)], [(1, 1), (2, 2)], [(2, 2)]):
+        for width, height in ((1, 1), (37, 21), (64, 40), (100, 9)):
+            for interval in (0, 1, 3):
+                for scans in {None, "single"} if len(factors) > 1 else {None}:
+                    c = _colour(rng, width, height, factors)
+                    order = [[k] for k in reversed(range(len(factors)))] if scans else None
+                    images.append(slow_jpeg.encode(c, width, height, interval, order))
+                    h, v = max(h for h, _ in factors), max(v for _, v in factors)
+                    rows, columns = -(-(-(-height * factors[0][1] // v)) // 8), -(-(-(-width * factors[0][0] // h)) // 8)
+                    want.append((width, height, [c[0]["blocks"][y][x] for y in range(rows) for x in range(columns)], (rows, columns)))
+    for got, (width, height, blocks, shape) in zip(jpeg.read_images(images), want, strict=True):
+        assert not isinstance(got, str), got
+        head, mine = got
+        assert (head.width, head.height) == (width, height) and mine.tolist() == blocks
+        assert jpeg.payload(head, mine) is None
+        # a sample of the thumbnail is the mean of its block: DC through the inverse transform, in eighths, plus 128
+        means = [min(255, max(0, (b[0] + 4) // 8 + 128)) for b in blocks]
+        assert jpeg.thumbnail(head, mine).shape == shape and jpeg.thumbnail(head, mine).reshape(-1).tolist() == means
+
+
+def test_thumbnail_hash_by_definition():
+    rng = np.random.default_rng(3)
+    for shape in ((1, 1), (8, 8), (5, 31), (40, 16), (64, 64)):
+        image = rng.integers(0, 256, shape).astype(np.uint8)
+        h, w = shape
+        bits = []
+        for r in range(8):
+            for c in range(8):
+                y, x = r * h // 8, c * w // 8
+                cell = image[y : max((r + 1) * h // 8, y + 1), x : max((c + 1) * w // 8, x + 1)].astype(int)
+                bits.append(int(Fraction(int(cell.sum()), cell.size) > Fraction(int(image.astype(int).sum()), h * w)))
+        assert jpeg.thumbnail_hash(image) == f"{int(''.join(map(str, bits)), 2):016x}"
+
+
+def test_broken_images_are_told_apart(spark):
+    good = jpeg.write_images([jpeg.pad(b"some text"), jpeg.pad(b"more " * 900)])
+    progressive = good[0].replace(b"\xff\xc0", b"\xff\xc2")
+    huge = good[0].replace(b"\x00\x08\x00\x08\x01", b"\xff\xff\xff\xff\x01")
+    rng = random.Random(5)
+    bad = [b"xx" + good[0][2:], good[1][: len(good[1]) // 3], good[1][: len(good[1]) // 3] + b"\xff\xd9", progressive, huge, b"\xff\xd8", good[0][:40]]
+    for _ in range(200):  # no bytes may stop the reader
+        x = bytearray(good[rng.randrange(2)])
+        for _ in range(rng.randint(1, 20)):
+            x[rng.randrange(len(x))] = rng.randrange(256)
+        jpeg.read_images([good[0], bytes(x)])
+        assert jpeg.payload(*jpeg.read_images([bytes(x), good[0]])[1]) == jpeg.pad(b"some text")
+    assert all(isinstance(x, str) and x for x in jpeg.read_images(bad))
+    rows = [(k, bytearray(x) if x is not None else None) for k, x in enumerate([*bad, good[1], None, b""])]
+    got = {r.n: r for r in jpeg.read_media(spark.createDataFrame(rows, "n int, media binary"), keep=("n",)).collect()}
+    for k, x in enumerate(bad):
+        assert got[k].error and got[k].payload_sha256 is None and got[k].width is None and got[k].media_sha256 == hashlib.sha256(x).hexdigest()
+    assert got[len(bad)].error is None and got[len(bad)].payload_bytes == len(jpeg.pad(b"more " * 900))
+    assert all(got[len(bad) + k].media_sha256 is None and got[len(bad) + k].error is None for k in (1, 2))
 
 
 def test_media_of_awkward_rows(awkward, none):
