@@ -152,7 +152,6 @@ def represent(h: np.ndarray, bounds: np.ndarray, window: int, cap: int, opened:
     b = np.minimum(all_symbols.lo, bounds[1:][owner] - window)
     fits = (a <= b) & (all_symbols.lo >= bounds[:-1][owner]) & (all_symbols.hi <= bounds[1:][owner])
     usual = all_symbols.end - all_symbols.start >= USUAL
-    starts = np.zeros(n, dtype=bool)
     size = np.diff(bounds)
     step = np.zeros(n + 1, dtype=np.int32)
     has = size >= window

@@ -114,6 +114,22 @@ def _opened(r: Represented, places: np.ndarray) -> np.ndarray:
     return (np.cumsum(step[:-1]) > 0) & np.isin(r.of, r.chosen.key()[hit])
 
 
+def _around(places: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all windows that hold one of the places, and the bounds of their stretches among them.
+
+    What represents a window depends on its own words only, so a stretch may be parsed as a text of its own.
+    """
+    owner = np.searchsorted(bounds, places, side="right") - 1
+    step = np.zeros(bounds[-1] + 1, dtype=np.int32)
+    np.add.at(step, np.maximum(places - WINDOW + 1, bounds[:-1][owner]), 1)
+    np.add.at(step, np.minimum(places + WINDOW, bounds[1:][owner]), -1)
+    kept = np.flatnonzero(np.cumsum(step[:-1]) > 0)
+    text = np.searchsorted(bounds, kept, side="right")
+    new = np.ones(len(kept), dtype=bool)
+    new[1:] = (np.diff(kept) > 1) | (text[1:] != text[:-1])
+    return kept, np.append(np.flatnonzero(new), len(kept))
+
+
 def _pass(names: list[str], look: Callable[[np.ndarray, np.ndarray, np.ndarray | None], tuple[list[np.ndarray], np.ndarray]]):
     """(t1, t2, text[, places]) -> evidence; look: word hashes, text bounds and open places -> (keys, word numbers)."""
     mask = np.int64(-1 << PLACE_BITS)
@@ -124,11 +140,14 @@ def _pass(names: list[str], look: Callable[[np.ndarray, np.ndarray, np.ndarray |
                 t1, t2 = _longs(batch.column(0)), _longs(batch.column(1)) & mask
                 for piece in pieces(batch.column(2)):
                     words = find_words(piece)
-                    places = None
                     if batch.num_columns > 3:
                         edges = batch.column(3).offsets.to_numpy()[piece.first : piece.first + len(piece) + 1].astype(np.int64)
                         places = batch.column(3).values.to_numpy()[edges[0] : edges[-1]] + np.repeat(words.first[:-1], np.diff(edges))
-                    keys, at = look(word_hashes(piece.data, words.starts, words.ends), words.first, places)
+                        kept, bounds = _around(places, words.first)
+                        keys, at = look(word_hashes(piece.data, words.starts[kept], words.ends[kept]), bounds, np.searchsorted(kept, places))
+                        at = kept[at]
+                    else:
+                        keys, at = look(word_hashes(piece.data, words.starts, words.ends), words.first, None)
                     owner = np.searchsorted(words.first, at, side="right") - 1
                     yield *(k.view(np.int64) for k in keys), t1[piece.first + owner], t2[piece.first + owner], at - words.first[owner]
 
@@ -185,7 +204,16 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, text_col: str) -> DataFr
         if turn:
             scratch.drop(f"open-{turn - 1}")
         scratch.release()
-        rows = texts.withColumn("low", F.shiftright("t2", PLACE_BITS)).join(kept.withColumnsRenamed({"t1": "o1", "t2": "o2"}), (F.col("t1") == F.col("o1")) & (F.col("low") == F.col("o2"))).select("t1", "t2", "text", "places")
+        if turn == len(CAPS):
+            break
+        again = kept.withColumnsRenamed({"t1": "o1", "t2": "o2"})
+        rows = texts.withColumn("low", F.shiftright("t2", PLACE_BITS)).join(again, (F.col("t1") == F.col("o1")) & (F.col("low") == F.col("o2")))
+        if not turn:  # texts without open windows are not shuffled again
+            rows = scratch.keep(rows.select("t1", "t2", "text", "places"), "texts")
+            texts = rows.drop("places")
+            scratch.release()
+        rows = rows.select("t1", "t2", "text", "places")
+    scratch.drop("texts")
     return kept
 
 
