@@ -32,6 +32,9 @@ from rankweave.llm.textcore import LOWER, Piece, find_words, mix, pieces, word_h
 
 #: Distinct labelled texts of each class that the field is fitted on at most, and the words of all of them together.
 SAMPLE, SAMPLE_WORDS = 1_500, 1_200_000
+#: One distinct labelled text in so many is kept for the document scale (half of SAMPLE of each class at most): the
+#: scale is that of a field fitted, and marked, without these texts. The field that scores has marks from all.
+SCALE_SHARE = 5
 #: Texts that must be cut for SAMPLE_WORDS are cut to windows of so many words.
 WINDOW = 128
 HASH_BITS = 18
@@ -168,21 +171,27 @@ def _pairs(field: Field, e: np.ndarray, first: np.ndarray, forward: np.ndarray,
     return (parts / parts.sum(axis=0)).sum(axis=1).reshape(2, 2)
 
 
-def _counted(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Sums per feature: toxic and other documents, of all and of those that are not kept for the scale.
+SUMS = ("bad", "good", "bad_rest", "good_rest")
+
+
+def _counted(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     features, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return features, *(np.bincount(at, np.concatenate([p[k] for p in parts]), len(features)) for k in (1, 2))
+    return features, *(np.bincount(at, np.concatenate([p[k] for p in parts]), len(features)) for k in range(1, 1 + len(SUMS)))
 
 
 def feature_counts(labelled: DataFrame) -> DataFrame:
-    """``(feature, bad, good)``, partial sums: the toxic and other documents of labelled(text, y, weight) with a feature."""
+    """``(feature, bad, good, bad_rest, good_rest)``, partial sums: the documents of labelled(text, y, weight, scales)
+    with a feature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(f, bad, good):
-            return pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(bad), pa.array(good)], names=["feature", "bad", "good"])
+        def made(f, *sums):
+            return pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), *map(pa.array, sums)], names=["feature", *SUMS])
 
         held, size = [], 0
         for batch in batches:
-            y, weight = (batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in (1, 2))
+            y, weight, scales = (batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in (1, 2, 3))
+            shares = [weight * y, weight * (1 - y), weight * y * (1 - scales), weight * (1 - y) * (1 - scales)]
             for piece in pieces(batch.column(0)):
                 table, back, _, _, first = raw_features(piece)
                 if not len(back):
@@ -193,7 +202,7 @@ def feature_counts(labelled: DataFrame) -> DataFrame:
                 at = at.reshape(table.shape)
                 seen = np.unique(((seen // len(table))[:, None] * len(features) + at[seen % len(table)]).reshape(-1))
                 doc, feature = piece.first + seen // len(features), seen % len(features)
-                held.append((features, np.bincount(feature, weight[doc] * y[doc], len(features)), np.bincount(feature, weight[doc] * (1 - y[doc]), len(features))))
+                held.append((features, *(np.bincount(feature, share[doc], len(features)) for share in shares)))
                 size += len(features)
                 if size > 2 * HELD:
                     held = [_counted(held)]
@@ -204,17 +213,20 @@ def feature_counts(labelled: DataFrame) -> DataFrame:
         if held:
             yield made(*_counted(held))
 
-    return labelled.select("text", "y", "weight").mapInArrow(run, "feature long, bad double, good double")
+    return labelled.select("text", "y", "weight", "scales").mapInArrow(run, "feature long" + "".join(f", {c} double" for c in SUMS))
 
 
-def find_marks(labelled: DataFrame, n_bad: int, n_good: int) -> np.ndarray:
+def find_marks(labelled: DataFrame, sizes: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
     """Features found in at least five toxic documents, and at least 20 times as often among them as among
-    the others."""
-    sums = feature_counts(labelled).groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    share = lambda c, n: (F.col(c) + 0.5) / (n + 1)
+    the others: by all labelled documents, and by those that are not kept for the scale. sizes: how many
+    documents each of SUMS counts."""
+    sums = feature_counts(labelled).groupBy("feature").agg(*[F.sum(c).alias(c) for c in SUMS])
+    share = lambda c: (F.col(c) + 0.25) / (sizes[c] + 0.5)  # noqa: E731  a word unseen counts as a quarter of a document
     # weights of repeated rows are fractions, whose sums may miss a whole number by a little
-    marks = sums.where((F.col("feature") != 0) & (F.col("bad") > 5 - 1e-6) & (share("bad", n_bad) > 20 * share("good", n_good)))
-    return np.sort(marks.select("feature").toArrow().column(0).to_numpy().view(np.uint64))
+    marks = lambda bad, good: (F.col(bad) > 5 - 1e-6) & (share(bad) > 20 * share(good))
+    both = sums.where("feature <> 0").select("feature", marks(*SUMS[:2]).alias("all"), marks(*SUMS[2:]).alias("rest")).where("all OR rest").toArrow()
+    feature = both.column("feature").to_numpy().view(np.uint64)
+    return tuple(np.sort(feature[both.column(c).to_numpy(zero_copy_only=False).astype(bool)]) for c in ("all", "rest"))
 
 
 def document_stats(p: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -338,9 +350,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, learn_from: Column, id_col:
     """``(id_col, held_out, score, predicted, spans)``; spans are ``[start, end)`` in characters of the text.
 
     ``learn_from`` is a condition on ``id``: labels are read only where it holds. Null and empty texts
-    have no tokens and get the score of such texts; labels of unknown or null ids are ignored; rows that
-    repeat an id are scored one by one; other columns are ignored. Without labels of both kinds nothing
-    can be learned: the score is 0 and there are no spans.
+    have no tokens and get the score of such texts; very long ones are scored whole. Labels of unknown or
+    null ids are ignored; an id or a text with both labels is toxic; copies of a text count once in learning.
+    Rows that repeat an id are scored one by one; other columns are ignored, whatever their names; an empty
+    table gives an empty result. Without labels of both kinds nothing can be learned: the score is 0 and
+    there are no spans.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where(learn_from & F.col("y").isin(0, 1)).groupBy("id").agg(F.max("y").alias("y"))
@@ -348,23 +362,32 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, learn_from: Column, id_col:
     # one narrow row for each distinct labelled text: its copies count once, and as toxic if any is
     named = texts.where(F.col("text").isNotNull()).select("id", F.md5("text").alias("digest")).join(known, "id")
     rows = named.groupBy("digest", "id").agg(F.count("*").alias("n"), F.max("y").alias("y")).groupBy("digest").agg(F.max("y").alias("y"), F.min(F.struct("id", "n")).alias("one"))
-    distinct = scratch.keep(rows.select("digest", "y", "one.id", (1 / F.col("one.n")).alias("weight")), "distinct")
-    chosen = [distinct.where(F.col("y") == y).orderBy(F.xxhash64(F.lit("toxic"), "id"), "digest").limit(sample) for y in (0, 1)]
-    picked = scratch.keep(chosen[0].union(chosen[1]), "picked")
+    scales = F.pmod(F.xxhash64("digest"), F.lit(SCALE_SHARE)) == 0
+    distinct = scratch.keep(rows.select("digest", "y", "one.id", (1 / F.col("one.n")).alias("weight"), scales.alias("scales")), "distinct")
+    lowest = lambda y, share, n: distinct.where((F.col("y") == y) & (F.col("scales") == share)).orderBy(F.xxhash64(F.lit("toxic"), "id"), "digest").limit(n)
+    picked = scratch.keep(lowest(0, False, sample).union(lowest(1, False, sample)).union(lowest(0, True, sample // 2)).union(lowest(1, True, sample // 2)), "picked")
+    # at most 3 * sample ids, so the broadcast is bounded
     got = texts.withColumn("digest", F.md5("text")).join(F.broadcast(picked), ["id", "digest"]).dropDuplicates(["digest"])
     got = scratch.keep(got.withColumn("n_words", word_count(F.col("text"))), "sample")
+    fits, measures = got.where("NOT scales"), got.where("scales")
     field = None
-    if got.select("y").distinct().count() == 2:
+    if fits.select("y").distinct().count() == 2:
         n = known.agg(F.count("*").alias("n"), F.sum("y").alias("bad")).first()
-        size = {r.y: r.n for r in distinct.groupBy("y").agg(F.count("*").alias("n")).collect()}
-        marks = find_marks(texts.withColumn("digest", F.md5("text")).join(distinct, ["id", "digest"]), size[1], size[0])
-        limit = word_limit(got.select("n_words").toArrow().column(0).to_numpy(), SAMPLE_WORDS)
-        parts = _cut(got, limit).toArrow()
+        counts = [(r.y, r.scales, r.n) for r in distinct.groupBy("y", "scales").agg(F.count("*").alias("n")).collect()]
+        size = lambda y, rest: sum(n for z, scales, n in counts if z == y and not (rest and scales))
+        labelled = texts.withColumn("digest", F.md5("text")).join(distinct, ["id", "digest"])
+        marks, marks_rest = find_marks(labelled, dict(zip(SUMS, (size(1, False), size(0, False), size(1, True), size(0, True)), strict=True)))
+        limit = word_limit(fits.select("n_words").toArrow().column(0).to_numpy(), SAMPLE_WORDS)
+        parts = _cut(fits, limit).toArrow()
         order = np.argsort(np.array(parts.column("digest").to_pylist(), dtype=str), kind="stable")
-        cut = parts.column("part").to_pylist()
+        cut, toxic = [parts.column("part").to_pylist()[k] for k in order], parts.column("y").to_numpy()[order] > 0
         if cut:
-            field = fit([cut[k] for k in order], parts.column("y").to_numpy()[order] > 0, marks)
-            field.scale = _scale(field, got, n.bad / n.n)
+            field = fit(cut, toxic, marks)
+            # the scale comes from texts that a field and its marks have not seen; from all, if these lack a class
+            if measures.select("y").distinct().count() == 2:
+                field.scale = _scale(fit(cut, toxic, marks_rest), measures, n.bad / n.n)
+            else:
+                field.scale = _scale(field, got, n.bad / n.n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

@@ -51,28 +51,91 @@ def test_binomial_bound_is_exact():
             assert rules.binomial_tail(k, n, p) == pytest.approx(float(tail), rel=1e-9, abs=1e-300)
 
 
-def test_cutoffs_stop_at_the_first_unsafe_one():
-    cutoffs = (4.0, 3.0, 2.0, 1.0)
-    assert rules.choose_cutoff([0, 0, 0, 0], 1000, cutoffs, 0.01, 0.01) == 1.0
-    assert rules.choose_cutoff([0, 9, 0, 0], 1000, cutoffs, 0.01, 0.01) == 4.0
-    assert rules.choose_cutoff([0, 0, 0, 0], 100, cutoffs, 0.01, 0.01) is None
-    # false rejection at the chosen cutoff stays within the risk nearly always
+def brute_cutoffs(texts, risk, level, tuning=5):
+    """Cutoffs of one stratum by the definition; texts: (hash, counts by name, good)."""
+    value = {}
+    for rule, (ratio, cutoffs) in rules.RULES.items():
+        top, bottom = ratio.split(" / ")
+        value[rule] = lambda c, t=top, b=bottom: (c[t], c[b])
+    rejects = lambda c, at: any(at[r] and value[r](c)[0] > rules.RULES[r][1][at[r] - 1] * value[r](c)[1] for r in at)
+    tune, hold = [x for x in texts if x[0] % tuning == 0], [x for x in texts if x[0] % tuning]
+    at, path = dict.fromkeys(rules.RULES, 0), []
+    while True:
+        left = [x for x in tune if not rejects(x[1], at)]
+        moves = []
+        for k, r in enumerate(rules.RULES):
+            for to in range(at[r] + 1, len(rules.RULES[r][1]) + 1):
+                new = [x for x in left if rejects(x[1], {r: to})]
+                gain, cost = sum(not x[2] for x in new), sum(x[2] for x in new)
+                if gain:
+                    moves.append((-gain / (cost + 1), cost, to - at[r], k, r))
+        if not moves:
+            break
+        _, _, steps, _, r = min(moves)
+        at[r] += steps
+        path += [r] * steps
+    good = [x for x in hold if x[2]]
+    safe = dict.fromkeys(rules.RULES, 0)
+    for r in path:
+        step = safe | {r: safe[r] + 1}
+        k, n = sum(rejects(x[1], step) for x in good), len(good)
+        if sum(comb(n, i) * Fraction(risk) ** i * (1 - Fraction(risk)) ** (n - i) for i in range(k + 1)) > level:
+            break
+        safe = step
+    return safe, rejects
+
+
+@pytest.fixture(scope="module")
+def ruled(spark):
+    """Two strata with junk of several kinds, copies and a few good texts that look like junk; one without labels."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(1500):
+        w = [f"a{rng.integers(4000)}b" for _ in range(rng.integers(51, 90))]
+        kind = rng.random()
+        good = 1
+        if kind < 0.1:
+            w, good = [x + "***" for x in w], 0
+        elif kind < 0.2:
+            w, good = [x.upper() if rng.random() < 0.8 else x for x in w], 0
+        elif kind < 0.21:
+            w = [x + "!" if rng.random() < 0.5 else x for x in w]
+        rows.append((k, " ".join(w), [None, "de", "", "fr"][int(rng.integers(3)) if k < 1400 else 3], good))
+    rows += [(2000 + k, rows[5][1], rows[5][2], 1) for k in range(300)]  # copies are one draw
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows if r[2] != "fr"], "doc_id long, quality int")
+    return rows, docs, labels
+
+
+def test_kept_equals_brute_force(ruled):
+    rows, docs, labels = ruled
+    alpha, delta = 0.05, 0.05
+    counts = {r.id: r.asDict() for r in rules.text_counts(docs, "doc_id", "text", "lang").collect()}
+    got = {r.doc_id: r.kept for r in rules.quality_rules(docs, labels, alpha=alpha, delta=delta).collect()}
+    used = 0
+    for lang in (None, "de", "", "fr"):
+        mine = [r for r in rows if r[2] == lang]
+        texts = {} if lang == "fr" else {r[1]: (counts[r[0]]["t2"], counts[r[0]], bool(r[3])) for r in mine}
+        safe, rejects = brute_cutoffs(list(texts.values()), alpha, delta / 3)
+        used += sum(safe.values())
+        for r in mine:
+            c = counts[r[0]]
+            failed = c["n_words"] < 50 or 100 * c["n_repeat_words"] > 50 * c["n_words"]
+            assert got[r[0]] == (not failed and not rejects(c, safe)), (r, safe)
+    assert used and {r[2] for r in rows if not got[r[0]]} >= {None, "de", ""} and all(got[r[0]] for r in rows if r[2] == "fr")
+
+
+def test_false_rejection_stays_within_the_risk():
+    """Paths over random good texts whose true rates of rejection are known."""
     rng, bad = np.random.default_rng(0), 0
+    rates = np.array([0.005, 0.015, 0.06])  # good texts rejected at steps 1, 2, 3 of the only rule
     for _ in range(300):
-        rates = np.array([0.002, 0.006, 0.012, 0.03])
-        u = rng.random(2000)
-        picked = rules.choose_cutoff([int((u < r).sum()) for r in rates], 2000, cutoffs, 0.01, 0.05)
-        bad += picked in (2.0, 1.0)
+        first = np.array([[1], [2], [3], [4]])
+        good = rng.multinomial(2000, [0.005, 0.01, 0.045, 0.94])
+        taken = rules.safe_steps([0, 0, 0], first, good, 1, 0.02, 0.05)[0]
+        bad += taken > 0 and rates[taken - 1] > 0.02
     assert bad <= 0.05 * 300 + 8
-
-
-def test_rules_reject_junk_when_labels_suffice(spark):
-    good = [(k, "word " + " ".join(f"a{k}b{j}" for j in range(60)), "en", 1) for k in range(900)]
-    junk = [(1000 + k, " ".join(f"a{k}c{j}***" for j in range(60)), "en", 0) for k in range(50)]
-    docs = spark.createDataFrame([r[:3] for r in good + junk], "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(r[0], r[3]) for r in good + junk], "doc_id long, quality int")
-    kept = {r.doc_id: r.kept for r in rules.quality_rules(docs, labels).collect()}
-    assert all(kept[r[0]] for r in good) and not any(kept[r[0]] for r in junk)
+    assert rules.safe_steps([0, 0], first, np.array([0, 0, 0, 80]), 1, 0.02, 0.05) == [0]  # too few
 
 
 def _frames(spark, seed, n):
