@@ -25,10 +25,16 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _keyed(sized: DataFrame, id_col: str, source_col: str) -> DataFrame:
-    source = F.col(source_col).cast("string")
-    digit = F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 2)
-    return sized.withColumns({"_sk": F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source)), "_digit": digit})
+def _keyed(docs: DataFrame, id_col: str, source_col: str, size_col: str, drop: tuple[str, ...]) -> DataFrame:
+    """Each row of docs in one column, beside what decides on its copies; so no name of docs can clash."""
+    source, id_ = F.col(f"`{source_col}`").cast("string"), F.col(f"`{id_col}`")
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in drop]).alias("row"),
+        id_.alias("id"),
+        F.coalesce(F.col(f"`{size_col}`"), F.lit(0)).cast("long").alias("_size"),
+        F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source)).alias("_sk"),
+        F.substring(F.md5(F.coalesce(id_.cast("string"), F.lit(""))), 1, 2).alias("_digit"),
+    )
 
 
 def source_targets(totals: DataFrame, weights: tuple[int, ...], percent: int, cap: int) -> DataFrame:
@@ -61,21 +67,32 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...], percent: int, ca
 
 
 def systematic_mix(
-    docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", weights: tuple[int, ...] = (5, 2, 1), percent: int = 150, cap: int = 2, seed: int = 20240501
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    size_col: str = "size",
+    out_cols: tuple[str, str, str] = ("source_size", "target", "copies"),
+    weights: tuple[int, ...] = (5, 2, 1),
+    percent: int = 150,
+    cap: int = 2,
+    seed: int = 20240501,
 ) -> DataFrame:
-    """All rows and columns of docs, with ``source_size``, ``target`` and ``copies`` (0 to ``cap``).
+    """All rows and columns of docs, with the source's size, its target and the row's copies (0 to ``cap``).
 
     ``docs`` carries each document's size (see ``word_count``); a null size counts as 0. A null source is
     a source of its own, a null id sorts as the empty string, rows that repeat an id are separate
-    documents. Empty documents are drawn like others. Columns named ``source_size``, ``target`` or
-    ``copies`` in the input are replaced; other columns pass through. An empty table stays empty.
+    documents. Empty documents are drawn like others, very long ones too. Input columns with the names of
+    ``out_cols`` are replaced; others pass through, whatever their names. An empty table stays empty.
+
+    Sources are few (thousands): the windows that share the words out see one row per source in one task.
 
     Skew: documents are dealt by (source, size, digit of a hash of the id), so neither a hot source nor
     many copies of one text meet in one task; the running sums over sources and sizes are formed on
     counts, first per size within the source and then per digit within the size.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    keyed = _keyed(docs.drop("source_size", "target", "copies").withColumn("_size", F.coalesce(F.col(size_col), F.lit(0)).cast("long")), id_col, source_col)
+    keyed = _keyed(docs, id_col, source_col, size_col, out_cols)
     cells = scratch.keep(keyed.groupBy("_sk", "_size", "_digit").agg(F.count("*").alias("n")), "cells")
     sizes = cells.groupBy("_sk", "_size").agg(F.sum("n").alias("n"))
     totals = sizes.groupBy("_sk").agg(F.sum(F.col("n") * F.col("_size")).cast("long").alias("source_size"))
@@ -85,13 +102,14 @@ def systematic_mix(
     starts = cells.withColumn("_b", F.coalesce(F.sum("n").over(Window.partitionBy("_sk", "_size").orderBy("_digit").rowsBetween(*before)), F.lit(0))).drop("n")
     starts = starts.join(by_size, ["_sk", "_size"]).join(targets, "_sk").select("_sk", "_size", "_digit", (F.col("_a") + F.col("_b")).alias("_start"), "source_size", "target")
 
-    within = Window.partitionBy("_sk", "_size", "_digit").orderBy(F.col(id_col))
+    within = Window.partitionBy("_sk", "_size", "_digit").orderBy("id")
     share = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * float(ONE) + 0.5)).otherwise(0).cast("long")
     offset = random.Random(seed).randrange(ONE)
     place = keyed.withColumn("_rn", (F.row_number().over(within) - 1).cast("long")).join(starts, ["_sk", "_size", "_digit"])
     at = ((F.col("_start") + F.col("_rn")) % ONE) * (share % ONE) % ONE + offset
     copies = (F.floor((at + share) / F.lit(ONE)) - F.floor(at / F.lit(ONE))).cast("int")
-    return place.select(*[c for c in docs.columns if c not in ("source_size", "target", "copies")], "source_size", "target", copies.alias("copies"))
+    names = [c for c in docs.columns if c not in out_cols]
+    return place.select(*[F.col(f"row.`{c}`").alias(c) for c in names], *[c.alias(n) for c, n in zip((F.col("source_size"), F.col("target"), copies), out_cols, strict=True)])
 
 
 MIX_SQL = """
