@@ -83,9 +83,29 @@ def raw_features(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return table, back, words.starts, words.ends, words.first
 
 
-def word_features(piece: Piece, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(features, starts, ends, first): hashed features of each word, then MARKED where one of them is in
-    the sorted marks; 0: none."""
+def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, digest, text) -> the same with one word of each kind (without outer punctuation, in lower case) of the
+    text, which has the same features: what is shuffled is several times smaller than the text."""
+    for batch in batches:
+        for piece in pieces(batch.column(2)):
+            table, back, starts, ends, first = raw_features(piece)
+            text = np.repeat(np.arange(len(piece)), np.diff(first))
+            _, at = np.unique(text * max(len(table), 1) + back, return_index=True)
+            size = ends[at] - starts[at] + 1  # and a space
+            edge = np.concatenate(([0], np.cumsum(size)))
+            data = np.full(edge[-1], ord(" "), dtype=np.uint8)
+            keep = np.ones(edge[-1], dtype=bool)
+            keep[edge[1:] - 1] = False
+            data[keep] = piece.data[np.flatnonzero(keep) + np.repeat(starts[at] - edge[:-1], size - 1)]
+            bounds = edge[np.searchsorted(text[at], np.arange(len(piece) + 1))]
+            words = pa.Array.from_buffers(pa.large_binary(), len(piece), [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
+            part = batch.slice(piece.first, len(piece))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), words], names=["id", "digest", "text"])
+
+
+def word_features(piece: Piece, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(table, back, starts, ends, first): hashed features of each distinct word, then MARKED where one of them is
+    in the sorted marks; 0: none. back: the row of each word in table."""
     raw, back, starts, ends, first = raw_features(piece)
     mask = np.uint64((1 << HASH_BITS) - 1)
     table = np.zeros((len(raw), SLOTS), dtype=np.int32)
@@ -93,7 +113,7 @@ def word_features(piece: Piece, marks: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if len(marks):
         near = marks[np.minimum(np.searchsorted(marks, raw), len(marks) - 1)]
         table[((near == raw) & (raw != 0)).any(axis=1), -1] = MARKED
-    return table[back], starts, ends, first
+    return table, back, starts, ends, first
 
 
 @dataclass
@@ -285,8 +305,8 @@ def _scale(field: Field, got: DataFrame, share: float) -> tuple[float, float, fl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch.column(1)):
-                feats, _, _, first = word_features(piece, field.marks)
-                top, total = document_stats(marginals(field, field.emission(feats), first)[2], first)
+                table, back, _, _, first = word_features(piece, field.marks)
+                top, total = document_stats(marginals(field, field.emission(table)[back], first)[2], first)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, len(piece)), pa.array(top), pa.array(total)], names=["y", "top", "total"])
 
     rows = got.select("y", "text").mapInArrow(run, "y int, top double, total double").orderBy("y", "top", "total").toArrow()
@@ -296,14 +316,16 @@ def _scale(field: Field, got: DataFrame, share: float) -> tuple[float, float, fl
 
 def fit(texts: list[str], toxic: np.ndarray, marks: np.ndarray, rounds: int = 25) -> Field:
     """The field without its document scale; tokens of toxic texts are toxic where they are marked."""
-    batches = []
+    tables, backs, counts, rows = [], [], [], 0
     for piece in pieces(pa.array(texts, pa.string())):
-        feats, _, _, first = word_features(piece, marks)
-        batches.append((feats, first))
-    feats = np.concatenate([f for f, _ in batches])
-    counts = np.concatenate([np.diff(f) for _, f in batches])
+        table, back, _, _, first = word_features(piece, marks)
+        tables.append(table)
+        backs.append(back + rows)
+        counts.append(np.diff(first))
+        rows += len(table)
+    table, back, counts = np.concatenate(tables), np.concatenate(backs), np.concatenate(counts)
     first = np.concatenate(([0], np.cumsum(counts)))
-    y = (feats[:, -1] == MARKED) & np.repeat(toxic, counts)
+    y = (table[:, -1] == MARKED)[back] & np.repeat(toxic, counts)
     field = Field(np.zeros(1 << HASH_BITS), -3.0, np.zeros((2, 2)), 0.0, marks=marks)
     inner = np.ones(len(y), dtype=bool)
     inner[first[:-1][np.diff(first) > 0]] = False
@@ -312,11 +334,11 @@ def fit(texts: list[str], toxic: np.ndarray, marks: np.ndarray, rounds: int = 25
     begins = np.flatnonzero(~inner)
     weight_grad2, other_grad2 = np.full(1 << HASH_BITS, 1e-6), np.full(6, 1e-6)
     for _ in range(rounds):  # AdaGrad on the log-likelihood
-        e = field.emission(feats)
+        e = field.emission(table)[back]
         forward, backward, p = marginals(field, e, first)
         left = y - p
-        big = np.flatnonzero(np.abs(left) > 1e-4)
-        g = np.bincount(feats[big].reshape(-1), weights=np.repeat(left[big], SLOTS), minlength=1 << HASH_BITS) - 0.01 * field.weights
+        by_word = np.bincount(back, np.where(np.abs(left) > 1e-4, left, 0.0), len(table))
+        g = np.bincount(table.reshape(-1), np.repeat(by_word, SLOTS), 1 << HASH_BITS) - 0.01 * field.weights
         g[0] = 0
         weight_grad2 += g * g
         field.weights = field.weights + 0.8 * g / np.sqrt(weight_grad2)
@@ -375,7 +397,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, learn_from: Column, id_col:
         n = known.agg(F.count("*").alias("n"), F.sum("y").alias("bad")).first()
         counts = [(r.y, r.scales, r.n) for r in distinct.groupBy("y", "scales").agg(F.count("*").alias("n")).collect()]
         size = lambda y, rest: sum(n for z, scales, n in counts if z == y and not (rest and scales))
-        labelled = texts.withColumn("digest", F.md5("text")).join(distinct, ["id", "digest"])
+        kinds = texts.where(F.col("text").isNotNull()).select("id", F.md5("text").alias("digest"), "text").mapInArrow(_distinct_words, "id long, digest string, text binary")
+        labelled = kinds.join(distinct, ["id", "digest"])
         marks, marks_rest = find_marks(labelled, dict(zip(SUMS, (size(1, False), size(0, False), size(1, True), size(0, True)), strict=True)))
         limit = word_limit(fits.select("n_words").toArrow().column(0).to_numpy(), SAMPLE_WORDS)
         parts = _cut(fits, limit).toArrow()
@@ -395,8 +418,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, learn_from: Column, id_col:
             for piece in pieces(batch.column(1)):
                 value, spans = np.zeros(len(piece)), [[] for _ in range(len(piece))]
                 if field is not None:
-                    feats, starts, ends, first = word_features(piece, field.marks)
-                    _, _, p = marginals(field, field.emission(feats), first)
+                    table, back, starts, ends, first = word_features(piece, field.marks)
+                    _, _, p = marginals(field, field.emission(table)[back], first)
                     value = score(field, *document_stats(p, first))
                     chars = np.concatenate(([0], np.cumsum((piece.data & 0xC0) != 0x80)))
                     text = np.repeat(np.arange(len(piece)), np.diff(first))
