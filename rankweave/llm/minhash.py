@@ -16,8 +16,8 @@ Plan (every step distributed; nothing about documents reaches the driver but row
    bucket's largest component are compared with all members of other components, in blocks bounded in
    shingles and rows that emit confirmed links only. So no banded link is lost.
 
-With 42 bands of 6 rows a pair at the threshold 0.8 shares no bucket with probability 3e-6; one of
-similarity 0.3 does with probability 0.03, so unlike texts rarely meet.
+With 50 bands of 5 rows a pair at the threshold 0.8 shares no bucket with probability 3e-9; one of
+similarity 0.3 does with probability 0.11.
 """
 
 from __future__ import annotations
@@ -168,7 +168,7 @@ def _block_links(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 42, rows: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 50, rows: int = 5) -> DataFrame:
     """``(id_col, n_shingles, class_id, component_id, kept)`` per document.
 
     Two documents are linked when ``100 * |A & B| >= percent * |A | B|`` for their sets of distinct

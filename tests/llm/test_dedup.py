@@ -88,7 +88,7 @@ def test_no_link_is_lost_at_the_threshold():
         for _ in range(300):
             pool = np.unique(rng.integers(0, 2**64, size // 4 * 5, dtype=np.uint64))
             sets += [pool, np.sort(rng.permutation(pool)[: size // 4 * 4])]
-        keys = minhash.band_keys(minhash.signatures(sets, 256, probes), 42, 6)
+        keys = minhash.band_keys(minhash.signatures(sets, 256, probes), 50, 5)
         lost += int((~(keys[::2] == keys[1::2]).any(axis=1)).sum())
     assert lost == 0
 
