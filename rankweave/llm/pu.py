@@ -3,13 +3,14 @@
 Only trusted positives and unlabelled text are used; negative labels never are. With class prior p the
 risk of a scorer g is ``p E_P[l(g)] + max(0, E_U[l(-g)] - p E_P[l(-g)])`` for the logistic loss l; the
 second term estimates the risk on the unseen negatives and is kept from going below zero, where a
-flexible model would only be fitting noise. The prior is estimated from the same two samples: a first
-scorer separates P from U, and the smallest ratio of U's to P's share among the highest scores, with a
-margin for sampling error, is the share of positives in U.
-
-Features are shares of a text's own words and characters, cut into quantile bins (of U), so a linear
-scorer can bend. The scorer is fitted on the driver on at most ``SAMPLE`` rows of each kind, chosen by
-the lowest hashes of their ids; features and scores cover every document.
+flexible model would only be fitting noise. The prior is estimated from all documents: a first scorer
+separates P from U, and the smallest ratio of U's to P's share among the highest scores, with a margin for
+sampling error, is the share of positives in U.
+
+Features are shares of a text's own words and characters, cut into quantile bins, so a linear scorer can
+bend. Quantiles and the prior are corpus statistics over every document (mergeable sketches, counts above
+cuts). Only the gradient steps run on the driver on at most ``SAMPLE`` rows of each kind, chosen by the
+lowest hashes of their ids.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from rankweave.llm.rules import _line_counts, _repeat_words
 from rankweave.llm.scratch import Scratch
 from rankweave.llm.textcore import Piece, find_words, pieces, word_hashes
 
-#: Rows of positives, and of unlabelled text, that the scorer is fitted on at most.
+#: Rows of positives, and of unlabelled text, that the scorer's weights are fitted on at most.
 SAMPLE = 8_000
+#: Entries of a quantile sketch: ranks are off by one part in so many at most.
+SKETCH = 1_000
 BINS = 12
 FEATURES = ("log_words", "word_length", "capitals", "symbols", "marks", "stops", "digits", "wide", "lines", "duplicate_lines", "repeated", "adjacent", "distinct", "pipes", "other_symbols")
 
@@ -93,13 +96,24 @@ class Scorer:
         return self.weights[_bins(self.edges, x)].sum(axis=1) + self.weights[-1]
 
 
-def _edges(x: np.ndarray) -> np.ndarray:
-    """Quantiles of all values and of the values above zero: many features are zero for most texts."""
-    some = x[x > 0]
-    parts = [np.quantile(x, np.linspace(0, 1, BINS + 1)[1:-1])]
-    if len(some) and len(some) < len(x):
-        parts += [np.zeros(1), np.quantile(some, np.linspace(0, 1, BINS // 2 + 1)[1:-1])]
-    return np.unique(np.concatenate(parts))
+def _cuts(some: bool) -> list[float]:
+    """Probabilities of the bin edges: of all values, or of those above zero (many features are zero for most)."""
+    n = BINS // 2 if some else BINS
+    return [float(p) for p in np.linspace(0, 1, n + 1)[1:-1]]
+
+
+def quantile_edges(rows: DataFrame) -> list[np.ndarray]:
+    """Bin edges of each feature from all of ``rows(x)``: quantiles of all values and of the values above zero."""
+    wanted = []
+    for k in range(len(FEATURES)):
+        value = F.col("x")[k]
+        wanted += [F.percentile_approx(value, _cuts(False), SKETCH).alias(f"a{k}"), F.percentile_approx(F.when(value > 0, value), _cuts(True), SKETCH).alias(f"s{k}"), F.min(value).alias(f"m{k}")]
+    got = rows.agg(*wanted).first()
+    out = []
+    for k in range(len(FEATURES)):
+        zero = [0.0] if got[f"m{k}"] is not None and got[f"m{k}"] <= 0 else []
+        out.append(np.unique(np.array([*(got[f"a{k}"] or []), *zero, *((got[f"s{k}"] or []) if zero else [])], dtype=np.float64)))
+    return out
 
 
 def _bins(edges: list[np.ndarray], x: np.ndarray) -> np.ndarray:
@@ -124,80 +138,125 @@ def _adam(gradient, size: int, rounds: int, rate: float = 0.05) -> np.ndarray:
     return w
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """The share of positives in u from scores of positives p and unlabelled u.
+#: Shares of the positives above the cuts at which their scores are compared with those of all documents.
+TAILS = np.linspace(0.01, 0.7, 70)
+
+
+def prior_from_shares(in_p: np.ndarray, n_p: int, in_u: np.ndarray, n_u: int) -> float:
+    """The share of positives among n_u unlabelled texts, from the shares of both kinds above some cuts.
 
     Among the highest scores (almost) all of u is positive, so there the ratio of u's share to p's is
     the prior; the cut is where the ratio's upper confidence bound is lowest.
     """
-    cuts = np.quantile(p, np.linspace(0.01, 0.7, 70))
-    in_p, in_u = (1 - np.searchsorted(np.sort(s), cuts) / len(s) for s in (p, u))
-    margin = 2 * (np.sqrt(in_u * (1 - in_u) / len(u)) + np.sqrt(in_p * (1 - in_p) / len(p)))
+    margin = 2 * (np.sqrt(in_u * (1 - in_u) / n_u) + np.sqrt(in_p * (1 - in_p) / n_p))
     ratio = in_u / np.maximum(in_p, 1e-9)
     return float(np.clip(ratio[np.argmin(ratio + margin / np.maximum(in_p, 1e-9))], 0.05, 0.98))
 
 
-def fit(p: np.ndarray, u: np.ndarray, rounds: int = 1500, penalty: float = 1e-4) -> Scorer:
-    """A scorer from features of positives and of unlabelled texts."""
-    edges = [_edges(u[:, k]) for k in range(u.shape[1])]
-    bp, bu = _bins(edges, p), _bins(edges, u)
-    size = sum(len(e) + 1 for e in edges) + 1
+def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
+    """The same from the scores themselves."""
+    cuts = np.quantile(p, TAILS)
+    return prior_from_shares(*(x for s in (p, u) for x in (1 - np.searchsorted(np.sort(s), cuts) / len(s), len(s))))
+
+
+class Fitting:
+    """Weights over the bins of positives p and unlabelled u (features by row), for given edges."""
+
+    def __init__(self, edges: list[np.ndarray], p: np.ndarray, u: np.ndarray, penalty: float = 1e-4):
+        self.edges, self.bp, self.bu, self.penalty = edges, _bins(edges, p), _bins(edges, u), penalty
+        self.size = sum(len(e) + 1 for e in edges) + 1
 
-    def scores(bins: np.ndarray, w: np.ndarray) -> np.ndarray:
+    def scores(self, bins: np.ndarray, w: np.ndarray) -> np.ndarray:
         return w[bins].sum(axis=1) + w[-1]
 
-    def back(bins: np.ndarray, v: np.ndarray) -> np.ndarray:
+    def back(self, bins: np.ndarray, v: np.ndarray) -> np.ndarray:
         """The mean over rows of v times the row's indicator of bins."""
-        out = np.bincount(bins.reshape(-1), weights=np.repeat(v, bins.shape[1]), minlength=size)
+        out = np.bincount(bins.reshape(-1), weights=np.repeat(v, bins.shape[1]), minlength=self.size)
         out[-1] = v.sum()
         return out / len(v)
 
-    def separate(w: np.ndarray) -> np.ndarray:  # P against U, on every second row
-        a, b = bp[::2], bu[::2]
-        return -back(a, 1 - _sigmoid(scores(a, w))) + back(b, _sigmoid(scores(b, w))) + penalty * w
-
-    prior = 0.5
-    if len(p) > 20 and len(u) > 20:
-        first = _adam(separate, size, 300)
-        prior = estimate_prior(scores(bp[1::2], first), scores(bu[1::2], first))
-
-    def risk(w: np.ndarray) -> np.ndarray:
-        zp, zu = scores(bp, w), scores(bu, w)
-        negative = back(bu, _sigmoid(zu)) - prior * back(bp, _sigmoid(zp))
+    def separate(self, rounds: int = 300) -> np.ndarray:
+        """Weights that tell p from u, from every second row of each."""
+        a, b = self.bp[::2], self.bu[::2]
+        return _adam(lambda w: -self.back(a, 1 - _sigmoid(self.scores(a, w))) + self.back(b, _sigmoid(self.scores(b, w))) + self.penalty * w, self.size, rounds)
+
+    def risk(self, w: np.ndarray, prior: float) -> float:
+        """The non-negative unbiased risk (without the penalty)."""
+        zp, zu = self.scores(self.bp, w), self.scores(self.bu, w)
+        loss = lambda z: np.logaddexp(0, z).mean()  # noqa: E731  of a text that is no positive
+        return prior * loss(-zp) + max(0.0, loss(zu) - prior * loss(zp))
+
+    def gradient(self, w: np.ndarray, prior: float) -> np.ndarray:
+        """Of risk and penalty; where the risk on negatives is below zero, the way back up instead."""
+        zp, zu = self.scores(self.bp, w), self.scores(self.bu, w)
+        negative = self.back(self.bu, _sigmoid(zu)) - prior * self.back(self.bp, _sigmoid(zp))
         if np.logaddexp(0, zu).mean() < prior * np.logaddexp(0, zp).mean():
-            return -negative + penalty * w  # the risk on negatives must not go below zero: step back
-        return negative - prior * back(bp, 1 - _sigmoid(zp)) + penalty * w
+            return -negative + self.penalty * w
+        return negative - prior * self.back(self.bp, 1 - _sigmoid(zp)) + self.penalty * w
 
-    return Scorer(edges, _adam(risk, size, rounds), prior)
+    def fit(self, prior: float, rounds: int = 1500) -> Scorer:
+        return Scorer(self.edges, _adam(lambda w: self.gradient(w, prior), self.size, rounds), prior)
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Scorer | None:
-    """Fit a scorer; None without positives or documents.
+def feature_table(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """``(id, x)``: the features of every whole text; a null text counts as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, len(piece)), _lists(features(piece))], names=["id", "x"])
 
-    ``learn_from`` is a condition on ``id``: labels are read only where it holds. The ids of the two
-    samples are chosen on narrow rows (lowest hashes); only their texts are read, at most ``2 * sample``
-    ids for the positives, of which some may have no document.
-    """
-    scratch = Scratch(docs.sparkSession, "quality")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    trusted = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("y")).where(learn_from & (F.col("y") == 1) & F.col("id").isNotNull()).select("id").distinct()
-    some = trusted.withColumn("kind", F.lit("p")).orderBy(F.xxhash64(F.lit("p"), "id"), "id").limit(2 * sample)
-    rest = texts.where("id IS NOT NULL").select("id").distinct().withColumn("kind", F.lit("u")).orderBy(F.xxhash64(F.lit("u"), "id"), "id").limit(sample)
-    picked = scratch.keep(some.union(rest), "picked")
-    # at most 3 * sample ids, so the broadcast is bounded
-    got = texts.join(F.broadcast(picked), "id").dropDuplicates(["id", "kind"])
+    return texts.mapInArrow(run, "id long, x array<double>")
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy().reshape(-1, len(FEATURES))
+
+
+def _above(rows: DataFrame, scorer: Scorer, cuts: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many of all ``rows(x)`` score each cut or more, and how many rows there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = np.zeros(len(cuts), dtype=np.int64), 0
         for batch in batches:
-            for piece in pieces(batch.column(2)):
-                part = batch.slice(piece.first, len(piece))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists(features(piece))], names=["id", "kind", "x"])
+            z = np.sort(scorer(_matrix(batch.column(0))))
+            held, n = held + len(z) - np.searchsorted(z, cuts), n + len(z)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cuts) + 1)), pa.array(np.append(held, n))], names=["k", "n"])
+
+    got = dict(rows.select("x").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect())
+    return np.array([got.get(k, 0) for k in range(len(cuts))], dtype=np.float64), int(got.get(len(cuts), 0))
 
-    table = scratch.keep(got.select("id", "kind", "text").mapInArrow(run, "id long, kind string, x array<double>"), "sample").orderBy("kind", F.xxhash64("kind", "id"), "id").toArrow()
-    kind = np.array(table.column("kind").to_pylist(), dtype=object)
-    x = np.array(table.column("x").to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
-    p, u = x[kind == "p"][:sample], x[kind == "u"]
-    return fit(p, u) if len(p) and len(u) else None
+
+def learn(rows: DataFrame, labels: DataFrame, *, learn_from: Column, id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> Scorer | None:
+    """Fit a scorer on ``rows(id, x)``, the features of all documents; None without positives or documents.
+
+    ``learn_from`` is a condition on ``id``: labels are read only where it holds. Of rows that repeat an id the
+    one with the lowest features is the sample's. Only the rows of chosen ids reach the driver, at most
+    ``sample`` of each kind.
+    """
+    trusted = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("y")).where(learn_from & (F.col("y") == 1) & F.col("id").isNotNull()).select("id").distinct()
+    ids = rows.where("id IS NOT NULL").select("id").distinct()
+
+    def lowest(some: DataFrame, kind: str) -> np.ndarray:
+        key = F.xxhash64(F.lit(kind), "id")
+        chosen = F.broadcast(some.orderBy(key, "id").limit(sample))  # so the broadcast is bounded
+        table = rows.join(chosen, "id").groupBy("id").agg(F.min("x").alias("x")).orderBy(key, "id").toArrow()
+        return _matrix(table.column("x")) if table.num_rows else np.zeros((0, len(FEATURES)))
+
+    p, u = lowest(ids.join(trusted, "id", "left_semi"), "p"), lowest(ids, "u")
+    if not len(p) or not len(u):
+        return None
+    fitting = Fitting(quantile_edges(rows), p, u)
+    prior = 0.5
+    if len(p) > 20 and len(u) > 20:
+        first = Scorer(fitting.edges, fitting.separate(), 0.0)
+        rest = np.sort(first(p[1::2]))  # positives that the first scorer has not seen
+        cuts = np.quantile(rest, TAILS)
+        above, n = _above(rows, first, cuts)
+        prior = prior_from_shares(1 - np.searchsorted(rest, cuts) / len(rest), len(rest), above / n, n)
+    return fitting.fit(prior)
 
 
 def _lists(x: np.ndarray) -> pa.Array:
@@ -221,12 +280,19 @@ def add_score(rows: DataFrame, scorer: Scorer | None, *, text_col: str = "text",
 def classify(docs: DataFrame, labels: DataFrame, *, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
     """``(id_col, held_out, score, predicted)`` of every row of docs.
 
-    Null and empty texts have all features zero and the score of such texts. Labels of unknown or null
-    ids are ignored, repeated ones count once; rows with a null or repeated id are scored one by one; a
-    null id is held out. Other columns are ignored. Without positives or documents nothing can be
-    learned: the score is 0.5 everywhere.
+    Null and empty texts have all features zero and the score of such texts; very long ones are taken whole;
+    equal texts get equal scores. Labels of unknown or null ids are ignored, repeated ones count once; rows
+    with a null or repeated id are scored one by one; a null id is held out. Other columns are ignored,
+    whatever their names; an empty table gives an empty result. Without positives or documents nothing can
+    be learned: the score is 0.5 everywhere.
     """
-    scorer = learn(docs, labels, learn_from=learn_from, id_col=id_col, text_col=text_col, label_col=label_col, sample=sample)
-    scored = add_score(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), scorer)
+    rows = Scratch(docs.sparkSession, "quality").keep(feature_table(docs, id_col=id_col, text_col=text_col), "features")
+    scorer = learn(rows, labels, learn_from=learn_from, id_col=id_col, label_col=label_col, sample=sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = _sigmoid(scorer(_matrix(batch.column(1)))) if scorer is not None else np.full(batch.num_rows, 0.5)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["id", "score"])
+
     held_out = ~F.coalesce(learn_from, F.lit(False))
-    return scored.select(F.col("id").alias(id_col), held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return rows.mapInArrow(run, "id long, score double").select(F.col("id").alias(id_col), held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -8,10 +8,12 @@ from fractions import Fraction
 from math import comb
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from rankweave.llm import crf, pu, rules
+from rankweave.llm.textcore import pieces
 from small_corpus import corpus
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -168,6 +170,69 @@ def test_prior_estimate():
         assert abs(pu.estimate_prior(p, u) - share) < 0.05
 
 
+def _fitting(seed=2):
+    rng = np.random.default_rng(seed)
+    p, u = rng.normal(1, 1, (40, len(pu.FEATURES))), rng.normal(0, 1, (60, len(pu.FEATURES)))
+    return pu.Fitting([np.quantile(u[:, k], [0.25, 0.5, 0.75]) for k in range(u.shape[1])], p, u, penalty=0.01), rng
+
+
+def test_risk_by_its_definition():
+    f, rng = _fitting()
+    clipped = 0
+    for prior in (0.2, 0.5, 0.9):
+        for scale in (0.05, 0.5, 3):
+            w = rng.normal(0, scale, f.size)
+            loss = lambda z: float(np.mean([np.log1p(np.exp(-v)) for v in z]))
+            zp = [sum(w[b] for b in row) + w[-1] for row in f.bp]
+            zu = [sum(w[b] for b in row) + w[-1] for row in f.bu]
+            rest = loss([-z for z in zu]) - prior * loss([-z for z in zp])
+            assert f.risk(w, prior) == pytest.approx(prior * loss(zp) + max(0.0, rest))
+            total = lambda v, prior=prior: f.risk(v, prior) + f.penalty * (v @ v) / 2
+            g = f.gradient(w, prior)
+            if rest > 0:
+                step = 1e-6 * np.eye(f.size)
+                assert g == pytest.approx(np.array([(total(w + e) - total(w - e)) / 2e-6 for e in step]), abs=1e-5)
+            else:  # a step against it raises what the clamp holds at zero
+                clipped += 1
+                up = w - 1e-4 * (g - f.penalty * w)
+                neg = lambda v, prior=prior: np.logaddexp(0, f.scores(f.bu, v)).mean() - prior * np.logaddexp(0, f.scores(f.bp, v)).mean()
+                assert neg(up) > neg(w)
+    assert clipped
+
+
+def test_quantiles_and_tails_cover_all_documents(spark):
+    rng = np.random.default_rng(8)
+    x = np.where(rng.random((3000, len(pu.FEATURES))) < 0.3, 0.0, rng.gamma(2, 1, (3000, len(pu.FEATURES))))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, x array<double>").repartition(7)
+    for k, edges in enumerate(pu.quantile_edges(rows)):
+        for probabilities, values in ((pu._cuts(False), x[:, k]), (pu._cuts(True), x[:, k][x[:, k] > 0])):
+            order = np.sort(values)
+            for q in probabilities:  # some edge has the rank asked for, within the sketch's error
+                near = order[[max(0, int((q - 0.005) * len(order)) - 1), min(len(order) - 1, int((q + 0.005) * len(order)) + 1)]]
+                assert ((edges >= near[0]) & (edges <= near[1])).any()
+    scorer = pu.Scorer([np.array([0.5, 2.0])] * len(pu.FEATURES), rng.normal(0, 1, 3 * len(pu.FEATURES) + 1), 0.5)
+    cuts = np.array([-3.0, 0.0, 1.5])
+    above, n = pu._above(rows, scorer, cuts)
+    assert n == 3000 and above.tolist() == [(scorer(x) >= c).sum() for c in cuts]
+
+
+def test_quality_by_brute_force(spark):
+    """Scores equal those of the same steps done at once on all rows, without Spark."""
+    rows, docs, labels = _frames(spark, 6, 500)
+    x = np.concatenate([pu.features(piece) for piece in pieces(pa.array([t for _, t, _, _ in rows]))])
+    good = np.array([q == 1 and k % 3 != 0 for k, _, q, _ in rows])
+    got = {r.doc_id: r.score for r in pu.classify(docs, labels, learn_from=F.col("id") % 3 != 0).collect()}
+    table = spark.createDataFrame([(k, v.tolist()) for (k, _, _, _), v in zip(rows, x, strict=True)], "id long, x array<double>")
+    rank = {kind: {r.id: r.h for r in docs.select(F.col("doc_id").alias("id"), F.xxhash64(F.lit(kind), "doc_id").alias("h")).collect()} for kind in "pu"}
+    order = lambda kind, keep: [k for k in sorted(range(len(rows)), key=lambda i: rank[kind][rows[i][0]]) if keep[k]]
+    p, u = x[order("p", good)], x[order("u", np.ones(len(rows), bool))]
+    fitting = pu.Fitting(pu.quantile_edges(table), p, u)
+    first = pu.Scorer(fitting.edges, fitting.separate(), 0.0)
+    prior = pu.estimate_prior(first(p[1::2]), first(x))
+    want = 1 / (1 + np.exp(-fitting.fit(prior)(x)))
+    assert np.array([got[k] for k, _, _, _ in rows]) == pytest.approx(want, abs=1e-9)
+
+
 def test_scores_of_awkward_rows(awkward, none, spark):
     labels = spark.createDataFrame([(6, 1, 0), (8, 1, 1), (None, 1, 1), (77, 0, 1), (6, 1, 0)], "doc_id long, quality int, toxic int")
     empty = labels.limit(0)
