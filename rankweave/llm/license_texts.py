@@ -1,7 +1,35 @@
-"""Standard headers, titles and whole short licences, compared with stretches of words anywhere in a text."""
+"""Standard headers, titles, whole short licences and the sections of long ones, compared with stretches of words
+anywhere in a text."""
 
 from __future__ import annotations
 
+import pkgutil
+
+#: Licences whose whole texts lie in the folder license_bodies, as published (fixed values).
+BODIES = ("Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0")
+#: Words of a section at least: paragraphs are joined until they have so many.
+SECTION_WORDS = 80
+
+
+def sections(text: str, words: int = SECTION_WORDS) -> list[str]:
+    """Consecutive paragraphs of a licence, joined until they have enough words; a short rest goes to the last."""
+    out: list[str] = []
+    held: list[str] = []
+    for paragraph in text.split("\n\n"):
+        held.append(paragraph)
+        if sum(len(p.split()) for p in held) >= words:
+            out.append("\n\n".join(held))
+            held = []
+    if held and out:
+        out[-1] = "\n\n".join([out[-1], *held])
+    return out or [text]
+
+
+def body_templates() -> dict[str, str]:
+    """``<licence>-section-<n>`` -> text, for all BODIES."""
+    return {f"{name}-section-{k}": part for name in BODIES for k, part in enumerate(sections(pkgutil.get_data(__package__, f"license_bodies/{name}.txt").decode()), start=1)}
+
+
 _MIT_DISCLAIMER = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
 _BSD_OPENING = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
 _BSD_SOURCE = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."

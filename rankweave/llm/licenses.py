@@ -10,7 +10,8 @@ where it lies: no shuffle, no join.
 
 `license_stretches` finds notices that are neither a line nor a block: it compares each template, and the
 longer texts of ``license_texts``, with stretches of words anywhere in the text, across lines and comment
-marks (which are no words). A stretch begins and ends with a pair of the template, since other pairs at
+marks (which are no words); long licences are known section by section. A template of b pairs needs ``b t / (2 - t)``
+of them, so its rarest pairs tell whether a text can hold it at all; other templates are not looked at. A stretch begins and ends with a pair of the template, since other pairs at
 its ends only lower Dice, and has at most ``(2 - t) / t`` times as many word pairs as the template.
 """
 
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rankweave.llm.license_texts import FULL_TEXTS
+from rankweave.llm.license_texts import FULL_TEXTS, body_templates
 from rankweave.llm.scratch import small_batches
 
 # Notices by which works name their licence, and the operative sentences of short licences.
@@ -116,6 +117,20 @@ class StretchScanner(Scanner):
         super().__init__(templates, threshold)
         #: word pairs of the longest stretch; a template may hold a pair more than once
         self.reach = {n: (len(_WORD.findall(t)) - 1) * (200 - threshold) // threshold for n, t in templates.items()}
+        #: of the need + (pairs that may be missing) rarest pairs of a template, a text must hold need
+        self.need, self.anchors = {}, {}
+        for name, pairs in self.sets.items():
+            least = self.bounds[name][0]
+            self.need[name] = max(1, least // 3)
+            for p in sorted(pairs, key=lambda p: (len(self.holders[p]), p))[: len(pairs) - least + self.need[name]]:
+                self.anchors.setdefault(p, []).append(name)
+
+    def _candidates(self, pairs: list[tuple[str, str]]) -> list[str]:
+        held: dict[str, int] = {}
+        for p in self.anchors.keys() & set(pairs):
+            for name in self.anchors[p]:
+                held[name] = held.get(name, 0) + 1
+        return sorted(name for name, k in held.items() if k >= self.need[name])
 
     def _starts(self, name: str, at: list[int], pairs: list[tuple[str, str]]) -> Iterator[int]:
         """Positions in at from which enough distinct pairs of the template lie within reach."""
@@ -137,11 +152,10 @@ class StretchScanner(Scanner):
         one template do not overlap (the best, then the first, is taken first)."""
         words = [w.lower() for w in _WORD.findall(text)]
         pairs = list(zip(words, words[1:], strict=False))
-        at: dict[str, list[int]] = {}
-        for i, p in enumerate(pairs):
-            if p in self.holders:
-                for name in self.holders[p]:
-                    at.setdefault(name, []).append(i)
+        candidates = self._candidates(pairs)
+        if not candidates:
+            return []
+        at = {name: [i for i, p in enumerate(pairs) if p in self.sets[name]] for name in candidates}
         taken = []
         for name, places in at.items():
             (lo, hi), own, reach = self.bounds[name], self.sets[name], self.reach[name]
@@ -185,7 +199,7 @@ def license_stretches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     is the best one (highest Dice, then the longest, then by name). Rows are handled as in `license_scan`.
     """
     small_batches(docs.sparkSession)
-    chosen = TEMPLATES | FULL_TEXTS if templates is None else templates
+    chosen = TEMPLATES | FULL_TEXTS | body_templates() if templates is None else templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = StretchScanner(chosen, threshold)
@@ -215,8 +229,9 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     ``n_matches`` counts (unit, template) pairs at or above the threshold, ``license`` is the best one
     (highest Dice, ties by name), ``licenses`` all names in order. Null, empty or plain texts have no
-    match: 0, null, null, []. Rows are handled one by one, so null or repeated ids keep their rows;
-    other columns are ignored.
+    match: 0, null, null, []; very long ones are scanned whole. Rows are handled one by one, so null or repeated
+    ids keep their rows and equal texts get equal values; an empty table gives an empty result; other columns
+    are ignored, whatever their names.
     """
     small_batches(docs.sparkSession)
     chosen = TEMPLATES if templates is None else templates

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -83,3 +84,42 @@ def test_tokens_of_every_row(stages):
 def test_run_gives_the_last_stage(stages, spark):
     sf_dir, out = stages
     assert Counter(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == Counter(map(tuple, out[-1]))
+
+
+#: Names that the operators use, or once used, for columns of their own.
+CLASHING = """id row place score words copy copies source_size target starts starts_ t1 t2 name key n x y kept low places size hub comp
+_row _score _words _copy _size _sk _digit _rn _start _text _t1 _t2 _starts _at _q SCORE Row""".split()
+
+
+def test_stages_with_clashing_columns(stages, spark):
+    sf_dir, rows = stages
+    names = [c for c in CLASHING if c.lower() not in {d.lower() for d in CLASHING[: CLASHING.index(c)]}]
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = spark.read.parquet(f"{sf_dir}/stage{k - 1}" if k else f"{sf_dir}/documents.parquet")
+        wide = docs.select("*", *[F.lit(f"own {c}").alias(c) for c in names])
+        out = stage(spark, wide, sf_dir)
+        if name == "tokens":
+            assert Counter(map(tuple, out.collect())) == Counter(map(tuple, rows[k + 1]))
+            continue
+        assert out.columns == wide.columns
+        got = out.collect()
+        assert Counter(tuple(r)[:5] for r in got) == Counter(map(tuple, rows[k + 1])), name
+        assert all(tuple(r)[5:] == tuple(f"own {c}" for c in names) for r in got), name
+
+
+def test_stages_on_no_rows(stages, spark):
+    docs = spark.createDataFrame([], COLUMNS)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, stages[0]).count() == 0
+
+
+def test_stages_on_awkward_rows(stages, spark, awkward):
+    """Nulls in any column, empty and long texts, repeated rows and ids; all but the classifier keep what they must."""
+    docs = awkward.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long"))
+    before = docs.collect()
+    scored, single, cut, mixed, coded = (stage(spark, docs, stages[0]).collect() for _, stage in corpus_pipeline.STAGES)
+    assert not Counter(map(tuple, scored)) - Counter(map(tuple, before))
+    assert sorted(r.doc_id for r in single if r.doc_id is not None) == [1, 2, 3, 4, 5, 6, 8, 9, 10, 11] and sum(r.doc_id is None for r in single) == 2
+    assert Counter(r.doc_id for r in cut) == Counter(r.doc_id for r in before) and {r.doc_id for r in cut if r.text is None} == {1, None}
+    assert all(r.text == "" for r in cut if r.doc_id in (6, 7)) and not Counter(map(tuple, mixed)) - Counter({tuple(r): 2 * n for r, n in Counter(map(tuple, before)).items()})
+    assert Counter(r.doc_id for r in coded) == Counter(r.doc_id for r in before) and all(r.n_tokens == 0 for r in coded if r.doc_id in (1, 2))

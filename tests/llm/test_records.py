@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import pkgutil
 import random
 import re
 import zlib
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 import slow_jpeg
 from rankweave.llm import jpeg
+from rankweave.llm.license_texts import BODIES, FULL_TEXTS, body_templates, sections
 from rankweave.llm.licenses import TEMPLATES, StretchScanner, bigrams, license_scan, license_stretches, units
 from rankweave.llm.mixing import systematic_mix, word_count
 from rankweave.llm.scratch import Scratch
@@ -383,6 +385,24 @@ def test_embedded_notices_are_found(spark, awkward, none):
     assert license_stretches(awkward).count() == awkward.count() and license_stretches(none).count() == 0
 
 
+def test_bodies_of_long_licenses_are_found(spark):
+    """A licence in a file: within other text, as a comment with marks, with one section changed, or a section alone."""
+    scanner = StretchScanner(TEMPLATES | FULL_TEXTS | body_templates())
+    for name in BODIES:
+        text = pkgutil.get_data("rankweave.llm", f"license_bodies/{name}.txt").decode()
+        parts = [n for n in scanner.sets if n.startswith(f"{name}-section-")]
+        assert len(parts) > 3 or name == "CC0-1.0"
+        marked = "some code\n" + "\n".join(f" * {line}" for line in text.split("\n")) + "\nmore code"
+        found = scanner.scan(marked)
+        assert {n for n, dice, _, _ in found if dice == 1.0} >= set(parts)
+        for n, _, a, b in found:
+            assert bigrams(marked[a:b]) & scanner.sets[n]
+        third = sections(text)[len(parts) // 2]
+        alone = {n for n, dice, _, _ in scanner.scan(f"words before {third} words after") if dice > 0.9}
+        assert f"{name}-section-{len(parts) // 2 + 1}" in alone
+    assert scanner.scan("the licensee of the software and the terms of this agreement for the use of the work " * 30) == []
+
+
 def test_stretches_equal_all_windows():
     rng = random.Random(6)
     templates = {"one": "a b c d e f", "two": "b c a b c d a"}
