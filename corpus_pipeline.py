@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from rankweave.llm.bpe import encode_digests
 from rankweave.llm.minhash import near_duplicates
 from rankweave.llm.mixing import systematic_mix, word_count
-from rankweave.llm.pu import add_score, learn
+from rankweave.llm.pu import add_score, feature_table, learn
 from rankweave.llm.queries import tokenizer_path
 from rankweave.llm.scratch import Scratch, free_names
 from rankweave.llm.substring import remove_repeats
@@ -28,7 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     held = F.crc32(F.col("id").cast("string").cast("binary")) % 4 == 2
-    scorer = learn(docs, labels, learn_from=~held)
+    rows = Scratch(spark, "quality").keep(feature_table(docs, id_col="doc_id", text_col="text"), "features")
+    scorer = learn(rows, labels, learn_from=~held)
     (score,) = free_names(docs.columns, "score")
     return add_score(docs, scorer, out_col=score).where(F.col(score) >= 0.7).select(*named(docs))
 
@@ -37,15 +38,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id.
 
     Rows that repeat an id are one document, of which the row with the lowest text hash stays. Rows
-    without an id cannot be named as a group's document; one of each distinct text stays. Null and empty
+    without an id cannot be named as a group's document; one of each distinct text stays (lowest hash of the
+    row). Null and empty
     texts are alike to nothing and stay; very long texts are compared whole; an empty table stays empty.
     Other columns pass through, whatever their names.
     """
     rows = docs.select(F.struct(*named(docs)).alias("row"), F.col("doc_id").alias("id"), F.col("text").alias("text"))
     kept = near_duplicates(docs.where("doc_id IS NOT NULL"), width=5, percent=80).where("kept").select(F.col("doc_id").alias("id")).distinct()
-    first = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("text")))
-    with_id = rows.where("id IS NOT NULL").join(kept, "id", "left_semi").withColumn("place", first).where("place = 1")
-    return with_id.select("row.*").union(rows.where("id IS NULL").dropDuplicates(["text"]).select("row.*"))
+    first = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64("text"), F.xxhash64("row")))
+    with_id = rows.where("id IS NOT NULL").join(kept, "id", "left_semi").withColumn("place", first("id"))
+    others = rows.where("id IS NULL").withColumn("place", first("text"))
+    return with_id.where("place = 1").select("row.*").union(others.where("place = 1").select("row.*"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
