@@ -18,7 +18,7 @@ def bit_floor(x: Column) -> Column:
 
 def one_mask(n: Column) -> Column:
     """n low bits set, n from 0 to 63."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int")) - 1
+    return F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), n.cast("int")))
 
 
 def trailing_zeros(x: Column) -> Column:
@@ -31,8 +31,17 @@ def popcount(x: Column) -> Column:
 
 
 def reverse_low_bits(x: Column, n: int) -> Column:
-    """The low n bits of x in reverse order."""
-    return F.conv(F.reverse(F.lpad(F.bin(x.bitwiseAND(F.lit((1 << n) - 1))), n, "0")), 2, 10).cast("long")
+    """The low n bits of x in reverse order, n from 1 to 63: neighbours of 1, 2, 4, ... bits change places."""
+    right = lambda c, k: F.call_function("shiftrightunsigned", c, F.lit(k))
+    x = x.cast("long")
+    for k, mask in ((1, 0x5555555555555555), (2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF)):
+        x = right(x, k).bitwiseAND(F.lit(mask)).bitwiseOR(F.shiftleft(x.bitwiseAND(F.lit(mask)), k))
+    return right(x, 64 - n)
+
+
+def gamma_bits(x: Column) -> Column:
+    """Bits of the Elias gamma code of x > 0."""
+    return 2 * ilog2(x) + 1
 
 
 def select_in_word(word: Column, k: Column) -> Column:

@@ -7,6 +7,7 @@ nothing to split; sequences themselves are rows and spread over tasks.
 from __future__ import annotations
 
 import heapq
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,6 +40,57 @@ def code_lengths(weights: list[int]) -> list[int]:
     return sorted(depth[k] for k in range(n))
 
 
+def grouped_code_lengths(groups: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """``code_lengths`` for weights given as ``(weight, how many)``: ``(length, how many)``, ascending.
+
+    Equal nodes are paired all at once, so the work follows the number of distinct weights, not of symbols.
+    """
+    leaves = sorted(groups)[::-1]  # the lightest at the end
+    if sum(m for _, m in leaves) < 2:
+        return [(0, m) for _, m in leaves]
+    merged: deque[tuple[int, int, int]] = deque()  # (weight, how many, node), in order of weight and age
+    parts: list[list[tuple[int, int]]] = []  # node -> (child node or -1 for a leaf, how many of it each such node has)
+
+    def lightest() -> tuple[int, int, int]:
+        if leaves and (not merged or leaves[-1][0] <= merged[0][0]):
+            return (*leaves.pop(), -1)
+        return merged.popleft()
+
+    def join(weight: int, many: int, children: list[tuple[int, int]]) -> None:
+        parts.append(children)
+        merged.append((weight, many, len(parts) - 1))
+
+    while leaves or len(merged) > 1 or merged[0][1] > 1:
+        w, m, node = lightest()
+        if m > 1:
+            if m % 2:  # the odd one waits for the next lightest
+                leaves.append((w, 1)) if node < 0 else merged.appendleft((w, 1, node))
+            # all pairs weigh the same; they are younger than anything that waits, and no lighter
+            join(2 * w, m // 2, [(node, 2)])
+        else:
+            v, k, other = lightest()
+            if k > 1:
+                leaves.append((v, k - 1)) if other < 0 else merged.appendleft((v, k - 1, other))
+            join(w + v, 1, [(node, 1), (other, 1)])
+        if len(merged) > 1 and merged[-1][0] < merged[-2][0]:  # keep the order of weights
+            late = merged.pop()
+            at = next(i for i, x in enumerate(merged) if x[0] > late[0])
+            merged.insert(at, late)
+    out: dict[int, int] = {}
+    level = {merged[0][2]: 1}
+    depth = 0
+    while level:
+        below: dict[int, int] = {}
+        for node, many in level.items():
+            for child, each in parts[node]:
+                if child < 0:
+                    out[depth + 1] = out.get(depth + 1, 0) + many * each
+                else:
+                    below[child] = below.get(child, 0) + many * each
+        level, depth = below, depth + 1
+    return sorted(out.items())
+
+
 def canonical_codes(lengths: list[int]) -> list[int]:
     """Right-aligned canonical codes for ascending lengths."""
     out, code, last = [], 0, lengths[0] if lengths else 0
@@ -81,44 +133,53 @@ def level_codes(lengths: list[int]) -> list[int]:
 # first. A parent is the sum of its children less 1. This bit layout is fixed by the format.
 
 
-class _Bits:
-    """Bits in order of writing, lowest bit of each byte first."""
+class _Writer:
+    """Bits in order of writing, lowest bit of each byte first; full bytes leave the accumulator."""
 
-    def __init__(self, data: bytes = b""):
-        self.value, self.size, self.at = int.from_bytes(data, "little"), 8 * len(data), 0
+    def __init__(self):
+        self.done, self.value, self.size = bytearray(), 0, 0
 
     def write(self, value: int, n: int) -> None:
         self.value |= (value & ((1 << n) - 1)) << self.size
         self.size += n
-
-    def read(self, n: int) -> int:
-        out = (self.value >> self.at) & ((1 << n) - 1)
-        self.at += n
-        return out
+        if self.size >= 64:
+            self.done += (self.value & (1 << 64) - 1).to_bytes(8, "little")
+            self.value >>= 64
+            self.size -= 64
 
     def bytes(self) -> bytes:
-        return self.value.to_bytes((self.size + 7) // 8, "little")
+        while self.size >= 64:
+            self.write(0, 0)
+        return bytes(self.done) + self.value.to_bytes((self.size + 7) // 8, "little")
+
+
+class _Reader:
+    """Reads what a _Writer wrote; touches only the bytes it is asked for."""
 
+    def __init__(self, data: bytes):
+        self.data, self.at = data, 0
 
-def gamma_bits(x: int) -> int:
-    """Bits of the Elias gamma code of x > 0."""
-    return 2 * (x.bit_length() - 1) + 1
+    def read(self, n: int) -> int:
+        first, last = self.at >> 3, (self.at + n + 7) >> 3
+        out = int.from_bytes(self.data[first:last], "little") >> (self.at & 7) & ((1 << n) - 1)
+        self.at += n
+        return out
 
 
-def _write_gamma(bits: _Bits, x: int) -> None:
+def _write_gamma(bits: _Writer, x: int) -> None:
     k = x.bit_length() - 1
     bits.write((1 << k) - 1, k + 1)
     bits.write(x, k)
 
 
-def _read_gamma(bits: _Bits) -> int:
+def _read_gamma(bits: _Reader) -> int:
     k = 0
     while bits.read(1):
         k += 1
     return bits.read(k) | (1 << k)
 
 
-def _write_bounded(bits: _Bits, x: int, r: int) -> None:
+def _write_bounded(bits: _Writer, x: int, r: int) -> None:
     """x in 1..r; the values that can be told apart with one bit less take one bit less."""
     k = (r).bit_length() - 1
     short = (1 << (k + 1)) - r
@@ -131,7 +192,7 @@ def _write_bounded(bits: _Bits, x: int, r: int) -> None:
         bits.write(v & 1, 1)
 
 
-def _read_bounded(bits: _Bits, r: int) -> int:
+def _read_bounded(bits: _Reader, r: int) -> int:
     k = (r).bit_length() - 1
     short = (1 << (k + 1)) - r
     v = bits.read(k)
@@ -163,7 +224,7 @@ def sequence_encode(values: list[int]) -> bytes:
     tree = [0] * (n - 1) + list(values)
     for p in range(n - 2, -1, -1):
         tree[p] = tree[2 * p + 1] + tree[2 * p + 2] - 1
-    bits = _Bits()
+    bits = _Writer()
     _write_gamma(bits, n)
     _write_gamma(bits, tree[0])
     for p in range(n - 1):
@@ -175,7 +236,7 @@ def sequence_decode(data: bytes) -> list[int]:
     """The list that sequence_encode wrote."""
     if not data:
         return []
-    bits = _Bits(data)
+    bits = _Reader(data)
     n = _read_gamma(bits)
     tree = [0] * (2 * n - 1)
     tree[0] = _read_gamma(bits)

@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 from rankweave.functions.bitmath import ilog2
 
 
+def from_mr(m: int, r: int) -> tuple[int, int]:
+    """The parameters (a, b) of the classical form: 2**m is the width of the smallest bin, 2**r the cutoff."""
+    if r <= m:
+        raise ValueError("r must be larger than m")
+    return m, r - m - 1
+
+
 def cutoff(a: int, b: int) -> int:
     return 1 << (a + b + 1)
 

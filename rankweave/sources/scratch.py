@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,6 +10,15 @@ from pyspark.sql import SparkSession
 
 
 def scratch_folder(spark: SparkSession, label: str) -> str:
-    """Under ``spark.checkpoint.dir`` as the session has it; only where it is unset, a folder of our own."""
+    """Under ``spark.checkpoint.dir`` as the session has it, and deleted with the driver. Where that is unset: a
+    folder of our own in local mode, an error elsewhere."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(root or 'file://' + tempfile.mkdtemp(prefix='rankweave-')).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="rankweave-")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return path.toString()
