@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankweave.plans.ranking import block_bits, count_below, with_ordinal
+from rankweave.plans.ranking import block_bits, block_table, checked_broadcast, count_below, kth_value, latest, running_blocks, with_ordinal
 
 
 @dataclass
@@ -21,10 +21,6 @@ class BitSet:
     ones: DataFrame
     universe: int
 
-    @property
-    def bits(self) -> int:
-        return block_bits(self.universe)
-
     @classmethod
     def build(cls, positions: DataFrame, universe: int, *, strict: bool = True) -> BitSet:
         """From positions in any order, with repeats. strict: a position outside the universe is an error."""
@@ -35,7 +31,7 @@ class BitSet:
 
     def rank1(self, queries: DataFrame, out: str = "rank1") -> DataFrame:
         """Ones below ``at``, for ``queries(qid, at)``; beyond the universe, all of them."""
-        return count_below(self.ones, queries, bits=self.bits, out=out)
+        return count_below(self.ones, queries, self.universe, out=out)
 
     def rank0(self, queries: DataFrame, out: str = "rank0") -> DataFrame:
         """Zeros below ``at``."""
@@ -47,15 +43,35 @@ class BitSet:
 
     def select1(self, queries: DataFrame, out: str = "pos") -> DataFrame:
         """Position of the k-th one (0-based) for ``queries(qid, k)``; null if there are fewer."""
-        placed = with_ordinal(self.ones, bits=self.bits, out="k").select("k", F.col("pos").alias(out))
-        return queries.join(placed, "k", "left")
+        return kth_value(self.ones, queries, self.universe, total=self.universe, out=out)
 
     def select0(self, queries: DataFrame, out: str = "pos") -> DataFrame:
-        """Position of the k-th zero: k plus the ones before it, i.e. those with at most k zeros before them."""
-        gaps = with_ordinal(self.ones, bits=self.bits).select((F.col("pos") - F.col("ordinal")).alias("pos"))
-        before = count_below(gaps, queries.withColumn("at", F.col("k") + 1), bits=self.bits)
-        found = F.col("k") + F.col("below")
-        return before.withColumn(out, F.when(found < self.universe, found)).drop("at", "below")
+        """Position of the k-th zero (0-based): k plus the ones before it.
+
+        Those are the ones of whole blocks, and, where the zero lies in a block that has ones, the ones of
+        that block with at most as many zeros before them.
+        """
+        bits = block_bits(self.universe)
+        start = F.shiftleft("_b", bits)
+        table = block_table(self.ones, self.universe).withColumn("_z", start - F.col("_s"))
+        held = latest(table, queries.where("k >= 0").select("qid", "k"), self.universe + 1, ["_b", "_c", "_s"], value="_z", at="k").where("_b IS NOT NULL")
+        held = held.withColumn("_v", F.col("k") - start + F.col("_s"))  # zeros of the block before the one sought
+        inside = held.where(F.col("_v") < F.lit(1 << bits) - F.col("_c")).select("qid", "k", "_b", "_v")
+        beyond = held.where(F.col("_v") >= F.lit(1 << bits) - F.col("_c")).select("qid", "k", (F.col("k") + F.col("_s") + F.col("_c")).alias("_p"))
+        near = self.ones.withColumn("_b", F.shiftright("pos", bits)).join(checked_broadcast(inside.select("_b").distinct()), "_b", "left_semi")
+        nth = F.count("*").over(Window.partitionBy("_b").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+        data = near.select("_b", (F.col("pos") - start - nth).alias("_v"), F.lit(0).alias("_ask"))
+        rows = data.unionByName(inside.withColumn("_ask", F.lit(1)), allowMissingColumns=True)
+        ones = F.sum(1 - F.col("_ask")).over(Window.partitionBy("_b").orderBy("_v", "_ask").rowsBetween(Window.unboundedPreceding, 0))
+        found = rows.withColumn("_o", ones).where("_ask = 1").select("qid", "k", (start + F.col("_v") + F.col("_o")).alias("_p"))
+        # a zero before every one stands at k
+        out_of = queries.join(found.union(beyond), ["qid", "k"], "left").withColumn("_p", F.coalesce("_p", F.when(F.col("k") >= 0, F.col("k"))))
+        return out_of.withColumn(out, F.when(F.col("_p") < self.universe, F.col("_p"))).drop("_p")
+
+    def all_ones_from(self) -> DataFrame:
+        """``(all_ones_from)``, one row: from where on there are only ones (the universe, if its last position is a zero)."""
+        zeros = self.ones.agg((F.lit(self.universe) - F.count("*")).alias("zeros")).select(F.lit(0).alias("qid"), (F.col("zeros") - 1).alias("k"))
+        return self.select0(zeros).select(F.coalesce(F.col("pos") + 1, F.lit(0)).cast("long").alias("all_ones_from"))
 
     def get(self, queries: DataFrame) -> DataFrame:
         """1 or 0 for ``queries(qid, at)``; null outside the universe."""
@@ -89,49 +105,95 @@ class BitSet:
 
     def directory(self, pow2: int = 10) -> DataFrame:
         """``(block, ones, prefix)``: ones in each block of 2**pow2 positions that has any, and before it."""
-        counts = self.ones.groupBy(F.shiftright("pos", pow2).alias("block")).agg(F.count("*").alias("ones"))
-        return count_below(counts.withColumn("w", F.col("ones")), counts.withColumn("at", F.col("block")), bits=block_bits(self.universe >> pow2), value="block", weight="w", out="prefix").select("block", "ones", "prefix")
-
-    def elias_fano(self) -> DataFrame:
-        """``(idx, high, low, high_pos)`` with the offset and the width of the low part in every row."""
+        counts = self.ones.groupBy(F.shiftright("pos", pow2).alias("_b")).agg(F.count("*").alias("_c"))
+        return running_blocks(counts, (), self.universe >> pow2).select(F.col("_b").alias("block"), F.col("_c").alias("ones"), F.coalesce("_s", F.lit(0)).alias("prefix"))
+
+    def trimmed(self, threshold: float = 1.0) -> DataFrame:
+        """``(padding, left, right, blocks)``, one row: the 32-bit blocks ``[left, right)`` that need be kept when
+        leading and trailing blocks of zeros, or of ones, are implied - whichever leaves fewer (zeros on a
+        tie). padding is null, and everything kept, if more than ``threshold`` of the blocks would stay."""
+        n = -(-self.universe // 32)
+        blocks = self.ones.groupBy(F.shiftright("pos", 5).alias("block")).agg(F.count("*").alias("ones"))
+        # blocks that are not held are all zeros, so a run of full blocks at either end is what ones can imply
+        full = F.when(F.col("block") == n - 1, self.universe - 32 * (n - 1)).otherwise(32)
+        edge = blocks.where(F.col("ones") == full).select("block")
+        lead = with_ordinal(edge, n + 1, pos="block", out="k").agg(F.count_if(F.col("block") == F.col("k")).alias("lead"))
+        tail = with_ordinal(edge.select((F.lit(n - 1) - F.col("block")).alias("block")), n + 1, pos="block", out="k").agg(F.count_if(F.col("block") == F.col("k")).alias("tail"))
+        shape = blocks.agg(F.min("block").alias("lo"), (F.max("block") + 1).alias("hi")).join(lead).join(tail)  # one row each
+        zero = F.struct(F.coalesce("lo", F.lit(n)).alias("left"), F.coalesce("hi", F.lit(min(n, 1))).alias("right"))
+        one = F.struct(F.col("lead").alias("left"), F.greatest(F.lit(n) - F.col("tail"), F.lit(min(n, 1))).alias("right"))
+        size = lambda c: F.greatest(c["right"] - c["left"], F.lit(0))
+        best = shape.select(F.when(size(zero) <= size(one), 0).otherwise(1).alias("padding"), zero.alias("z"), one.alias("o"))
+        best = best.withColumn("kept", F.when(F.col("padding") == 0, F.col("z")).otherwise(F.col("o")))
+        ok = size(F.col("kept")) <= threshold * n
+        take = lambda c, other: F.when(ok, F.col(f"kept.{c}")).otherwise(other).cast("long").alias(c)
+        return best.select(F.when(ok, F.col("padding")).cast("long").alias("padding"), take("left", 0), take("right", n), F.lit(n).cast("long").alias("blocks"))
+
+    def elias_fano(self, low_bits: int | None = None) -> DataFrame:
+        """``(idx, high, low, high_pos)`` with the offset and the width of the low part in every row; low_bits sets
+        that width (0 to 56), which otherwise follows from how thinly the ones are spread."""
         stats = self.ones.agg(F.min("pos").alias("offset"), F.count("*").alias("n"))
         spread = F.floor((F.lit(self.universe) - F.col("offset")) / F.col("n")).cast("long")
-        width = F.when(spread >= 1, F.least(F.length(F.bin(spread)) - 1, F.lit(56))).otherwise(0).cast("int")
-        rows = with_ordinal(self.ones, bits=self.bits, out="idx").join(F.broadcast(stats.select("offset", width.alias("low_bits"))))
+        width = F.when(spread >= 1, F.least(F.length(F.bin(spread)) - 1, F.lit(56))).otherwise(0).cast("int") if low_bits is None else F.lit(low_bits)
+        rows = with_ordinal(self.ones, self.universe, out="idx").join(F.broadcast(stats.select("offset", width.alias("low_bits"))))
         rel = F.col("pos") - F.col("offset")
         high = F.call_function("shiftright", rel, F.col("low_bits"))
         low = rel - F.call_function("shiftleft", high, F.col("low_bits"))
         return rows.select("idx", "offset", F.col("low_bits").cast("long").alias("low_bits"), high.alias("high"), low.alias("low"), (F.col("idx") + high).alias("high_pos"))
 
+    def elias_fano_select1(self, queries: DataFrame) -> DataFrame:
+        """select1 from the encoded parts."""
+        back = F.col("offset") + F.call_function("shiftleft", F.col("high"), F.col("low_bits").cast("int")) + F.col("low")
+        return queries.join(self.elias_fano().select(F.col("idx").alias("k"), back.alias("pos")), "k", "left")
+
+    def elias_fano_rank1(self, queries: DataFrame) -> DataFrame:
+        """rank1 from the encoded parts: ones with smaller high parts, then those of the same high part with
+        smaller low parts."""
+        coded = self.elias_fano()
+        shape = coded.agg(F.first("offset").alias("offset"), F.first("low_bits").cast("int").alias("low_bits"))
+        rel = F.greatest(F.col("at") - F.col("offset"), F.lit(0))
+        high = F.call_function("shiftright", rel, F.col("low_bits"))
+        asks = queries.join(F.broadcast(shape)).select("qid", "at", F.coalesce(high, F.lit(0)).alias("_high"), F.coalesce(rel - F.call_function("shiftleft", high, F.col("low_bits")), F.lit(0)).alias("_rest"))
+        below = count_below(coded, asks, self.universe + 1, value="high", at="_high", out="_whole")
+        same = below.join(coded.select(F.col("high").alias("_high"), "low"), "_high", "left").groupBy("qid", "at", "_whole").agg(F.count_if(F.col("low") < F.col("_rest")).alias("_part"))
+        return same.select("qid", "at", (F.col("_whole") + F.col("_part")).alias("rank1"))
+
     def runs(self) -> DataFrame:
         """``(run, start, length, z, zo)``: maximal runs of ones in order, zeros before each (z) and all bits
         through its end (zo)."""
-        gaps = with_ordinal(self.ones, bits=self.bits).withColumn("z", F.col("pos") - F.col("ordinal"))
+        gaps = with_ordinal(self.ones, self.universe).withColumn("z", F.col("pos") - F.col("ordinal"))
         runs = gaps.groupBy("z").agg(F.min("pos").alias("start"), F.count("*").alias("length"))
-        return with_ordinal(runs, bits=self.bits, pos="start", out="run").select("run", "start", "length", "z", (F.col("start") + F.col("length")).alias("zo"))
+        return with_ordinal(runs, self.universe, pos="start", out="run").select("run", "start", "length", "z", (F.col("start") + F.col("length")).alias("zo"))
+
+    @classmethod
+    def from_runs(cls, parts: DataFrame) -> BitSet:
+        """From ``parts(part, zeros, ones)``: in order of part (from 0), so many zeros and then so many ones. The
+        universe is the sum of all; empty parts and adjoining runs make no difference."""
+        total = parts.agg(F.coalesce(F.sum(F.col("zeros") + F.col("ones")), F.lit(0)).alias("u"), F.coalesce(F.max("part"), F.lit(0)).alias("m")).first()
+        placed = with_ordinal(parts.withColumn("_w", F.col("zeros") + F.col("ones")), total.m + 1, pos="part", weight="_w", out="_first")
+        ones = placed.where("ones > 0").select(F.explode(F.sequence(F.col("_first") + F.col("zeros"), F.col("_first") + F.col("_w") - 1)).alias("pos"))
+        return cls(ones.select(F.col("pos").cast("long").alias("pos")), total.u)
 
     def runs_rank1(self, queries: DataFrame) -> DataFrame:
         """rank1 from the runs alone: whole runs that start below ``at`` less what lies beyond it."""
-        runs = self.runs()
-        lengths = count_below(runs, queries, bits=self.bits, value="start", weight="length", out="_full")
-        # the last run that starts below `at` is the one with that many runs below it
-        nth = count_below(runs, queries, bits=self.bits, value="start", out="_n").select("qid", (F.col("_n") - 1).alias("run"))
-        ends = nth.join(runs.select("run", "zo"), "run", "left").select("qid", "zo")
-        over = F.greatest(F.coalesce(F.col("zo") - F.col("at"), F.lit(0)), F.lit(0))
-        return lengths.join(ends, "qid").withColumn("rank1", F.col("_full") - over).drop("_full", "zo")
+        # the last run that starts below `at`: its bits through the end, less the zeros, and what lies beyond `at`
+        last = latest(self.runs(), queries.withColumn("_last", F.col("at") - 1), self.universe, ["z", "zo"], value="start", at="_last")
+        over = F.greatest(F.col("zo") - F.col("at"), F.lit(0))
+        return last.withColumn("rank1", F.when(F.col("at") > 0, F.coalesce(F.col("zo") - F.col("z") - over, F.lit(0))).otherwise(0)).drop("_last", "z", "zo")
 
     def runs_select(self, queries: DataFrame, ones: bool = True) -> DataFrame:
         """select1 or select0 from the runs: the run in which the k-th one (or before which the k-th zero) lies."""
-        runs = self.runs()
-        if not ones:  # zeros before position p of the k-th zero = k, so add the ones of all runs with z <= k
-            got = count_below(runs, queries.withColumn("at", F.col("k") + 1), bits=self.bits, value="z", weight="length", out="_ones")
-            found = F.col("k") + F.col("_ones")
-            return got.withColumn("pos", F.when(found < self.universe, found)).drop("at", "_ones")
-        first = runs.withColumn("first", F.col("start") - F.col("z"))  # number of the run's first one
-        nth = count_below(first, queries.withColumn("at", F.col("k") + 1), bits=self.bits, value="first", out="_n").select("qid", "k", (F.col("_n") - 1).alias("run"))
-        hit = nth.join(first.select("run", "first", "start", "length"), "run", "left")
-        inside = F.col("k") - F.col("first")
-        return hit.select("qid", "k", F.when(inside < F.col("length"), F.col("start") + inside).alias("pos"))
+        runs = self.runs().withColumn("_first", F.col("start") - F.col("z"))  # number of the run's first one
+        asks = queries.where("k >= 0").select("qid", "k")
+        if not ones:  # the last run with at most k zeros before it: all ones through it precede the zero
+            got = latest(runs, asks, self.universe + 1, ["z", "zo"], value="z", at="k")
+            found = F.col("k") + F.coalesce(F.col("zo") - F.col("z"), F.lit(0))
+            got = got.select("qid", "k", F.when(found < self.universe, found).alias("pos"))
+        else:
+            got = latest(runs, asks, self.universe, ["_first", "start", "length"], value="_first", at="k")
+            inside = F.col("k") - F.col("_first")
+            got = got.select("qid", "k", F.when(inside < F.col("length"), F.col("start") + inside).alias("pos"))
+        return queries.join(got, ["qid", "k"], "left")
 
 
 @dataclass
@@ -141,10 +203,6 @@ class MultiSet:
     counts: DataFrame
     universe: int
 
-    @property
-    def bits(self) -> int:
-        return block_bits(self.universe)
-
     @classmethod
     def build(cls, parts: DataFrame, universe: int) -> MultiSet:
         """From ``parts(pos, cnt)`` with repeats: counts add up, zero counts vanish."""
@@ -160,25 +218,17 @@ class MultiSet:
 
     def rank1(self, queries: DataFrame) -> DataFrame:
         """Copies below ``at``."""
-        return count_below(self.counts, queries, bits=self.bits, weight="cnt", out="rank1")
+        return count_below(self.counts, queries, self.universe, weight="cnt", out="rank1")
 
     def unique_ranks(self, queries: DataFrame) -> DataFrame:
         """Positions held and not held below ``at``."""
-        found = count_below(self.counts, queries, bits=self.bits, out="unique_rank1")
+        found = count_below(self.counts, queries, self.universe, out="unique_rank1")
         return found.withColumn("unique_rank0", F.least(F.col("at"), F.lit(self.universe)) - F.col("unique_rank1"))
 
     def select1(self, queries: DataFrame) -> DataFrame:
-        """Position of the k-th copy; null if there are fewer.
-
-        Positions become runs on the axis of copies, so it is a lookup of the run that k falls in.
-        """
-        asks = self.counts.withColumn("at", F.col("pos"))
-        first = count_below(self.counts, asks, bits=self.bits, weight="cnt", out="first").select("pos", "cnt", "first")
-        numbered = with_ordinal(first, bits=self.bits, out="n")
+        """Position of the k-th copy; null if there are fewer."""
         total = self.counts.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("t")).first().t
-        nth = count_below(numbered, queries.withColumn("at", F.col("k") + 1), bits=block_bits(total), value="first", out="_n").select("qid", "k", (F.col("_n") - 1).alias("n"))
-        hit = nth.join(numbered.select("n", "pos", "cnt", "first"), "n", "left")
-        return hit.select("qid", "k", F.when(F.col("k") < F.col("first") + F.col("cnt"), F.col("pos")).alias("pos"))
+        return kth_value(self.counts, queries, self.universe, weight="cnt", total=total).select("qid", "k", "pos")
 
     def stats(self) -> DataFrame:
         u = F.lit(self.universe).cast("long")

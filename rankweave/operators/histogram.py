@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankweave.functions.h2 import bin_index, highest, lowest
+from rankweave.functions.h2 import bin_index, highest, lowest, num_bins
+from rankweave.plans.ranking import count_below, kth_value
 
 
 def histogram(values: DataFrame, a: int, b: int) -> DataFrame:
@@ -17,16 +18,15 @@ def histogram(values: DataFrame, a: int, b: int) -> DataFrame:
 
 def cumulative(hist: DataFrame, queries: DataFrame, a: int, b: int) -> DataFrame:
     """``(qid, cum, cdf)``: values in bins up to the one of ``v``."""
-    asks = queries.select("qid", bin_index(F.col("v"), a, b).alias("own"))
-    got = hist.join(F.broadcast(asks), F.col("bin") <= F.col("own")).groupBy("qid").agg(F.sum("cnt").alias("cum"))
-    total = hist.agg(F.sum("cnt").alias("n"))
-    cum = F.coalesce("cum", F.lit(0)).cast("long")
-    return asks.select("qid").join(got, "qid", "left").join(F.broadcast(total)).select("qid", cum.alias("cum"), (cum / F.col("n")).alias("cdf"))
+    asks = queries.select("qid", (bin_index(F.col("v"), a, b) + 1).alias("at"))
+    got = count_below(hist, asks, num_bins(a, b, 63), value="bin", weight="cnt", out="cum")
+    total = hist.agg(F.sum("cnt").alias("n"))  # one row
+    return got.join(F.broadcast(total)).select("qid", "cum", F.coalesce(F.col("cum") / F.col("n"), F.lit(0.0)).alias("cdf"))
 
 
 def quantiles(hist: DataFrame, queries: DataFrame, a: int, b: int) -> DataFrame:
     """``(qid, bin, low, high)``: the bin that holds the value of rank ``ceil(p * n)`` (at least 1)."""
-    total = hist.agg(F.sum("cnt").alias("n"))
-    asks = queries.join(F.broadcast(total)).select("qid", F.greatest(F.ceil(F.col("p") * F.col("n")), F.lit(1)).alias("want"))
-    got = hist.join(F.broadcast(asks), (F.col("cum") >= F.col("want")) & (F.col("cum") - F.col("cnt") < F.col("want")))
-    return got.select("qid", "bin", lowest(F.col("bin"), a, b).alias("low"), highest(F.col("bin"), a, b).alias("high"))
+    n = hist.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("n")).first().n
+    want = F.greatest(F.ceil(F.col("p") * n), F.lit(1))
+    got = kth_value(hist.select(F.col("bin").alias("pos"), "cnt"), queries.select("qid", "p", (want - 1).cast("long").alias("k")), num_bins(a, b, 63), weight="cnt", total=n, out="bin")
+    return got.where("bin IS NOT NULL").select("qid", "bin", lowest(F.col("bin"), a, b).alias("low"), highest(F.col("bin"), a, b).alias("high"))

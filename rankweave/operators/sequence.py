@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from rankweave.functions.bitmath import num_levels, reverse_low_bits
 from rankweave.functions.zorder import decode2, decode3, encode2
-from rankweave.plans.ranking import block_bits, count_below, in_ranges, kth_in_order, with_ordinal
+from rankweave.plans.boxes import in_boxes
+from rankweave.plans.ranking import checked_broadcast, count_below, in_ranges, kth_in_order, latest, with_ordinal
 
 
 def _cut(symbol: Column, bits: Column) -> Column:
@@ -43,10 +44,6 @@ class Sequence:
     def levels(self) -> int:
         return num_levels(self.max_symbol)
 
-    @property
-    def bits(self) -> int:
-        return block_bits(self.length)
-
     def _rev(self, symbol: Column) -> Column:
         return reverse_low_bits(symbol, self.levels)
 
@@ -72,7 +69,7 @@ class Sequence:
         q = queries.where("hi > lo")
         ends = q.select("qid", F.col("symbol").alias("sym"), F.explode(F.array(F.struct(F.col("hi").alias("at"), F.lit(1).alias("sign")), F.struct(F.col("lo").alias("at"), F.lit(-1).alias("sign")))).alias("e"))
         ends = ends.select("qid", "sym", F.col("e.at").alias("at"), F.col("e.sign").alias("sign"))
-        got = count_below(self.seq, ends, keys=("sym",), bits=self.bits).groupBy("qid").agg(F.sum(F.col("below") * F.col("sign")).alias("cnt"))
+        got = count_below(self.seq, ends, self.length, keys=("sym",)).groupBy("qid").agg(F.sum(F.col("below") * F.col("sign")).alias("cnt"))
         return queries.join(got, "qid", "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
 
     def preceding_count(self, queries: DataFrame) -> DataFrame:
@@ -95,7 +92,7 @@ class Sequence:
         """``(qid, pos)``: position of the k-th occurrence of ``symbol`` in the range, from the left or the right."""
         b = F.col("ignore_bits")
         rows = in_ranges(self.seq, queries, also=_cut(F.col("sym"), b) == _cut(F.col("symbol"), b)).select("qid", "pos")
-        return kth_in_order(rows, queries, bits=self.bits, last=last, out="pos")
+        return kth_in_order(rows, queries, self.length, last=last, out="pos")
 
     def first_at_most(self, queries: DataFrame) -> DataFrame:
         """First position in the range whose symbol is at most ``symbol``; null if there is none."""
@@ -117,12 +114,28 @@ class Sequence:
     # -- the order of the lowest level ----------------------------------------------------------------
     # There symbols stand in the order of their reversed bits, equal ones by position.
 
-    def _bases(self, bits: DataFrame) -> DataFrame:
-        """``(ignore_bits, node, base)``: where each symbol's occurrences begin, for each number of ignored bits."""
+    @property
+    def _span(self) -> int:
+        """Above every reversed symbol."""
+        return 1 << self.levels
+
+    def _nodes(self, bits: DataFrame) -> DataFrame:
+        """``(ignore_bits, node, c, r)``: occurrences of each symbol with the low bits cleared, and its place in the
+        order; bits has at most one row for each number of bits that a symbol can have."""
         totals = self.seq.groupBy("sym").agg(F.count("*").alias("c")).join(F.broadcast(bits))
-        nodes = totals.groupBy("ignore_bits", _cleared(F.col("sym"), F.col("ignore_bits")).alias("node")).agg(F.sum("c").alias("c"))
-        before = Window.partitionBy("ignore_bits").orderBy(self._rev(F.col("node"))).rowsBetween(Window.unboundedPreceding, -1)
-        return nodes.select("ignore_bits", "node", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
+        node = _cleared(F.col("sym"), F.col("ignore_bits"))
+        return totals.groupBy("ignore_bits", node.alias("node")).agg(F.sum("c").alias("c")).withColumn("r", self._rev(F.col("node")))
+
+    def _bits_of(self, queries: DataFrame) -> DataFrame:
+        return queries.where(F.col("ignore_bits").between(0, 63)).select("ignore_bits").distinct()
+
+    def _rows_of(self, bits: DataFrame) -> DataFrame:
+        """``(pos, ignore_bits, node)`` of the sequence for each number of ignored bits."""
+        return self.seq.join(F.broadcast(bits)).select("pos", "ignore_bits", _cleared(F.col("sym"), F.col("ignore_bits")).alias("node"))
+
+    def _ranks(self, q: DataFrame, at: str, out: str) -> DataFrame:
+        """q with the occurrences of ``node`` before ``at``, looked up per node and block."""
+        return count_below(self._rows_of(self._bits_of(q)), q, self.length, keys=("ignore_bits", "node"), at=at, out=out)
 
     def counts(self, queries: DataFrame) -> DataFrame:
         """``(qid, symbol, start, end)`` for every symbol of the range: its interval on the lowest level.
@@ -138,11 +151,10 @@ class Sequence:
 
     def _intervals(self, q: DataFrame, meets: Column) -> DataFrame:
         node = _cleared(F.col("sym"), F.col("ignore_bits"))
-        seen = in_ranges(self.seq, q, from_start=True, also=meets).groupBy("qid", "ignore_bits", node.alias("node")).agg(
-            F.count_if(F.col("pos") < F.col("lo")).alias("before"), F.count_if(F.col("pos") >= F.col("lo")).alias("cnt")
-        )
-        placed = seen.where("cnt > 0").join(self._bases(q.select("ignore_bits").distinct()), ["ignore_bits", "node"])
-        start = F.col("base") + F.col("before")
+        seen = in_ranges(self.seq, q, also=meets).groupBy("qid", "lo", "ignore_bits", node.alias("node")).agg(F.count("*").alias("cnt"))
+        bases = with_ordinal(self._nodes(self._bits_of(q)), self._span, keys=("ignore_bits",), pos="r", weight="c", out="base").select("ignore_bits", "node", "base")
+        placed = self._ranks(seen, "lo", "rank").join(bases, ["ignore_bits", "node"])
+        start = F.col("base") + F.col("rank")
         return placed.select("qid", F.col("node").alias("symbol"), start.alias("start"), (start + F.col("cnt")).alias("end"))
 
     def counts_union(self, queries: DataFrame) -> DataFrame:
@@ -157,19 +169,16 @@ class Sequence:
     def locate(self, queries: DataFrame) -> DataFrame:
         """``(qid, preceding_count, start, end)`` of ``symbol`` in the range."""
         b = F.col("ignore_bits")
-        mine, theirs = _cut(F.col("symbol"), b), _cut(F.col("sym"), b)
-        q = queries.select("qid", "lo", "hi", "symbol", "ignore_bits")
-        inside = F.col("pos") >= F.col("lo")
-        seen = in_ranges(self.seq, q, from_start=True, also=theirs <= mine).groupBy("qid").agg(
-            F.count_if(inside & (theirs < mine)).alias("preceding_count"), F.count_if(~inside & (theirs == mine)).alias("before"), F.count_if(inside & (theirs == mine)).alias("cnt")
-        )
+        q = queries.select("qid", "lo", "hi", "symbol", "ignore_bits").withColumn("node", _cleared(F.col("symbol"), b))
+        less = in_ranges(self.seq, q, also=_cut(F.col("sym"), b) < _cut(F.col("symbol"), b)).groupBy("qid").agg(F.count("*").alias("preceding_count"))
         # the base of a symbol that does not occur is where it would stand
-        totals = self.seq.groupBy("sym").agg(F.count("*").alias("c"))
-        base = totals.join(F.broadcast(q.select("qid", "symbol", "ignore_bits")), self._rev(_cleared(F.col("sym"), b)) < self._rev(_cleared(F.col("symbol"), b))).groupBy("qid").agg(F.sum("c").alias("base"))
-        zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-        rows = q.join(seen, "qid", "left").join(base, "qid", "left")
-        start = zero("base") + zero("before")
-        return rows.select("qid", zero("preceding_count").alias("preceding_count"), start.alias("start"), (start + zero("cnt")).alias("end"))
+        own = q.select("qid", "ignore_bits", "node", self._rev(F.col("node")).alias("r"))
+        base = count_below(self._nodes(self._bits_of(q)), own, self._span, keys=("ignore_bits",), value="r", weight="c", at="r", out="base").select("qid", "base")
+        ends = q.select("qid", "ignore_bits", "node", F.explode(F.array(F.struct(F.lit(0).alias("e"), F.col("lo").alias("at")), F.struct(F.lit(1).alias("e"), F.col("hi").alias("at")))).alias("x")).select("qid", "ignore_bits", "node", "x.e", "x.at")
+        ranks = self._ranks(ends, "at", "rank").groupBy("qid").agg(F.max(F.when(F.col("e") == 0, F.col("rank"))).alias("lo_rank"), F.max("rank").alias("hi_rank"))
+        rows = q.select("qid").join(less, "qid", "left").join(base, "qid").join(ranks, "qid")
+        start = F.col("base") + F.col("lo_rank")
+        return rows.select("qid", F.coalesce("preceding_count", F.lit(0)).alias("preceding_count"), start.alias("start"), (F.col("base") + F.col("hi_rank")).alias("end"))
 
     def locate_batch(self, ranges: DataFrame, symbols: DataFrame) -> DataFrame:
         """``(key, symbol, preceding_count, start, end)`` for every symbol in every range.
@@ -178,65 +187,46 @@ class Sequence:
         ranges of the first symbol first. Both are parameter lists: their product is the question asked.
         """
         n = ranges.count()
-        pairs = symbols.join(F.broadcast(ranges)).withColumn("qid", F.col("sym_idx") * n + F.col("range_idx"))
+        pairs = symbols.join(checked_broadcast(ranges)).withColumn("qid", F.col("sym_idx") * n + F.col("range_idx"))
         return self.locate(pairs).join(pairs.select("qid", "symbol"), "qid").select(F.col("qid").alias("key"), "symbol", "preceding_count", "start", "end")
 
     def select_upwards(self, queries: DataFrame) -> DataFrame:
         """``(qid, pos)``: sequence position of lowest-level index ``at`` under ``ignore_bits``."""
-        nodes = self._bases(queries.select("ignore_bits").distinct())
-        asks = queries.withColumnRenamed("at", "k")
-        held = asks.join(F.broadcast(nodes), "ignore_bits").where("base <= k").groupBy("qid").agg(F.max(F.struct("base", "node")).alias("m"))
-        own = asks.join(held, "qid").where(F.col("k") < self.length).select("qid", "ignore_bits", F.col("m.node").alias("symbol"), (F.col("k") - F.col("m.base")).alias("k"), F.lit(0).cast("long").alias("lo"), F.lit(self.length).cast("long").alias("hi"))
+        nodes = with_ordinal(self._nodes(self._bits_of(queries)), self._span, keys=("ignore_bits",), pos="r", weight="c", out="base")
+        asks = queries.where((F.col("at") >= 0) & (F.col("at") < self.length)).select("qid", "ignore_bits", F.col("at").alias("k"))
+        # the node that holds index k is the last whose base is not above it
+        held = latest(nodes, asks, max(self.length, 1), ["node", "base"], keys=("ignore_bits",), value="base", at="k").where("node IS NOT NULL")
+        own = held.select("qid", "ignore_bits", F.col("node").alias("symbol"), (F.col("k") - F.col("base")).alias("k"), F.lit(0).cast("long").alias("lo"), F.lit(self.length).cast("long").alias("hi"))
         return queries.select("qid").join(self.select(own), "qid", "left")
 
     def level_bits(self) -> DataFrame:
-        """``(level, idx, bit)``: every level's bit plane, top level first.
-
-        A level is ordered by the reversed higher bits, then position; ordinals are taken per (level,
-        prefix) and block, and shifted by the sizes of the prefixes before.
-        """
-        top = self.levels
-        rows = self.seq.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top - 1))))
-        prefix = F.call_function("shiftright", F.col("sym"), (F.lit(top) - F.col("level")).cast("int"))
-        bit = F.call_function("shiftright", F.col("sym"), (F.lit(top - 1) - F.col("level")).cast("int")).bitwiseAND(F.lit(1))
-        rows = rows.select("level", "pos", prefix.alias("prefix"), bit.alias("bit"))
-        placed = with_ordinal(rows, keys=("level", "prefix"), bits=self.bits)
-        # reversing within all levels keeps the order: shorter prefixes only gain equal zeros
-        order = reverse_low_bits(F.col("prefix"), top)
-        sizes = rows.groupBy("level", "prefix").agg(F.count("*").alias("c"))
-        before = Window.partitionBy("level").orderBy(F.call_function("shiftright", order, (F.lit(top) - F.col("level")).cast("int"))).rowsBetween(Window.unboundedPreceding, -1)
-        bases = sizes.select("level", "prefix", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
-        return placed.join(bases, ["level", "prefix"]).select(F.col("level").cast("long").alias("level"), (F.col("base") + F.col("ordinal")).alias("idx"), "bit")
+        """``(level, idx, bit)``: every level's bit plane, top level first."""
+        return plane_bits(self.seq.select("pos", F.col("sym").alias("code"), F.lit(self.levels).alias("len")), self.levels, self.length)
 
     def level_words(self) -> DataFrame:
         """``(level, block, word, rank1)``: the bit planes in words of 32 bits, with the ones before each word
         in its level - the layout that a persisted index keeps (one row per 32 bits)."""
-        bit = F.call_function("shiftleft", F.col("bit"), F.col("idx").bitwiseAND(F.lit(31)).cast("int"))
-        words = self.level_bits().groupBy("level", F.shiftright("idx", 5).alias("block")).agg(F.sum(bit).alias("word"), F.sum("bit").alias("ones"))
-        ranked = count_below(words, words.withColumn("at", F.col("block")), keys=("level",), bits=block_bits(self.length >> 5), value="block", weight="ones", out="rank1")
-        return ranked.select("level", "block", "word", "rank1")
+        return plane_words(self.level_bits(), self.length)
 
     # -- symbol ranges and boxes ----------------------------------------------------------------------
 
     def count_batch(self, ranges: DataFrame, buckets: DataFrame) -> DataFrame:
         """``(qid, bucket, cnt)``: symbols of each range in each inclusive symbol range (zeros included)."""
         hist = self._histogram(ranges)
-        pairs = ranges.select("qid").join(F.broadcast(buckets.select("bucket", "s_lo", "s_hi")))
-        got = hist.join(F.broadcast(buckets), F.col("sym").between(F.col("s_lo"), F.col("s_hi"))).groupBy("qid", "bucket").agg(F.sum("cnt").alias("cnt"))
-        return pairs.select("qid", "bucket").join(got, ["qid", "bucket"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
+        # both ends of a bucket are ranks among the symbols of the range
+        ends = F.explode(F.array(F.struct(F.col("s_lo").alias("at"), F.lit(-1).alias("sign")), F.struct((F.col("s_hi") + 1).alias("at"), F.lit(1).alias("sign")))).alias("e")
+        asks = ranges.select("qid").join(checked_broadcast(buckets.select("bucket", "s_lo", "s_hi"))).select("qid", "bucket", ends).select("qid", "bucket", "e.at", "e.sign")
+        got = count_below(hist, asks, self.max_symbol + 1, keys=("qid",), value="sym", weight="cnt").groupBy("qid", "bucket").agg(F.sum(F.col("below") * F.col("sign")).alias("cnt"))
+        return got.select("qid", "bucket", F.greatest("cnt", F.lit(0)).alias("cnt"))
 
     def box_counts(self, ranges: DataFrame, boxes: DataFrame, dims: int) -> DataFrame:
         """``(qid, box, cnt)``: points (Morton symbols) of each range in each box, given by corner codes."""
         decode = decode2 if dims == 2 else decode3
         names = "xyz"[:dims]
         flat = boxes.select("box", *[c.alias(f"{n}0") for n, c in zip(names, decode(F.col("low")), strict=True)], *[c.alias(f"{n}1") for n, c in zip(names, decode(F.col("high")), strict=True)])
-        hist = self._histogram(ranges)
-        points = hist.select("qid", "cnt", *[c.alias(n) for n, c in zip(names, decode(F.col("sym")), strict=True)])
-        inside = F.lit(True)
-        for n in names:
-            inside = inside & F.col(n).between(F.col(f"{n}0"), F.col(f"{n}1"))
-        got = points.join(F.broadcast(flat), inside).groupBy("qid", "box").agg(F.sum("cnt").alias("cnt"))
-        return ranges.select("qid").join(F.broadcast(boxes.select("box"))).join(got, ["qid", "box"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
+        points = self._histogram(ranges).select("qid", "cnt", *[c.alias(n) for n, c in zip(names, decode(F.col("sym")), strict=True)])
+        got = in_boxes(points, flat, names).groupBy("qid", "box").agg(F.sum("cnt").alias("cnt"))
+        return ranges.select("qid").join(checked_broadcast(boxes.select("box"))).join(got, ["qid", "box"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
 
     def box_intervals(self, queries: DataFrame) -> DataFrame:
         """``counts`` with a two-dimensional box (corner codes ``low, high``) as the extent, whole symbols only."""
@@ -245,6 +235,37 @@ class Sequence:
         return self._intervals(q, x.between(x0, x1) & y.between(y0, y1))
 
 
+def plane_bits(coded: DataFrame, top: int, length: int) -> DataFrame:
+    """``(level, idx, bit)`` of ``coded(pos, code, len)``: codes have ``top`` bits, of which the first ``len`` count;
+    a level holds the rows whose codes reach it.
+
+    A level is ordered by the reversed higher bits, then position; ordinals are taken per (level,
+    prefix) and block, and shifted by the sizes of the prefixes before.
+    """
+    rows = coded.where("len > 0").withColumn("level", F.explode(F.sequence(F.lit(0), (F.col("len") - 1).cast("int"))))
+    prefix = F.call_function("shiftright", F.col("code"), (F.lit(top) - F.col("level")).cast("int")) if top < 64 else F.col("code")
+    bit = F.call_function("shiftright", F.col("code"), (F.lit(top - 1) - F.col("level")).cast("int")).bitwiseAND(F.lit(1))
+    rows = rows.select("level", "pos", prefix.alias("prefix"), bit.alias("bit"))
+    placed = with_ordinal(rows, length, keys=("level", "prefix"))
+    # reversing within all levels keeps the order: shorter prefixes only gain equal zeros
+    sizes = rows.groupBy("level", "prefix").agg(F.count("*").alias("c")).withColumn("order", reverse_low_bits(F.col("prefix"), max(top, 1)))
+    bases = with_ordinal(sizes, 1 << max(top, 1), keys=("level",), pos="order", weight="c", out="base").select("level", "prefix", "base")
+    return placed.join(bases, ["level", "prefix"]).select(F.col("level").cast("long").alias("level"), (F.col("base") + F.col("ordinal")).alias("idx"), "bit")
+
+
+def plane_words(bits: DataFrame, length: int) -> DataFrame:
+    """``(level, block, word, rank1)`` of ``bits(level, idx, bit)``: words of 32 bits and the ones before each."""
+    bit = F.call_function("shiftleft", F.col("bit"), F.col("idx").bitwiseAND(F.lit(31)).cast("int"))
+    words = bits.groupBy("level", F.shiftright("idx", 5).alias("block")).agg(F.sum(bit).alias("word"), F.sum("bit").alias("ones"))
+    return with_ordinal(words, (length >> 5) + 1, keys=("level",), pos="block", weight="ones", out="rank1").select("level", "block", "word", "rank1")
+
+
+def counts_arrays(counts: DataFrame) -> DataFrame:
+    """``(qid, symbols, starts, ends)``: the intervals of each query as parallel arrays, by start."""
+    rows = counts.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "symbol"))).alias("r"))
+    return rows.select("qid", F.col("r.symbol").alias("symbols"), F.col("r.start").alias("starts"), F.col("r.end").alias("ends"))
+
+
 def morton_sequence(points: DataFrame) -> DataFrame:
     """``(pos, sym)`` with the two-dimensional codes of ``points(pos, x, y)`` as symbols."""
     return points.select("pos", encode2(F.col("x"), F.col("y")).alias("sym"))

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.functions.zorder import encode2
+from rankweave.plans.boxes import in_boxes
 
 
 def ids_in_box(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """``(box, id, cnt)``: ids with points in each of ``boxes(box, x0, x1, y0, y1)``, corners included."""
-    inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
-    return points.join(F.broadcast(boxes), inside).groupBy("box", "id").agg(F.count("*").alias("cnt"))
+    return in_boxes(points, boxes, "xy").groupBy("box", "id").agg(F.count("*").alias("cnt"))
 
 
 def cells_of_ids(points: DataFrame, ids: DataFrame, ignore_bits: int = 0) -> DataFrame:

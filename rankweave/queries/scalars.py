@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankweave.functions import bitmath, h2, zorder
-from rankweave.functions.codes import decode_column, encode_column
+from rankweave.functions import bitmath, h2, ranges, zorder
+from rankweave.functions.codes import decode_column, encode_column, mapped, unmapped
 from rankweave.operators import histogram as hist
 from rankweave.operators import spatial
 from rankweave.queries.base import query, values
@@ -51,8 +51,8 @@ SPANS = [(0, 0, 10, 3, 5), (1, 0, 10, 10, 12), (2, 4, 9, 2, 6), (3, 5, 5, 0, 9),
 @query("range_predicates", f"SELECT CAST(id AS BIGINT) AS id, a < d2 AND c < b AS overlaps, a <= c AND d2 <= b AS contains, a <= d2 AND c <= b AS overlaps_inclusive FROM (SELECT id, lo1 AS a, hi1 AS b, lo2 AS c, hi2 AS d2 FROM {values(SPANS, 'id', 'lo1', 'hi1', 'lo2', 'hi2')})")
 def range_predicates(spark, d):
     rows = spark.sql(f"SELECT * FROM {values(SPANS, 'id', 'lo1', 'hi1', 'lo2', 'hi2')}")
-    a, b, c, e = (F.col(n) for n in ("lo1", "hi1", "lo2", "hi2"))
-    return rows.select(F.col("id").cast("long").alias("id"), ((a < e) & (c < b)).alias("overlaps"), ((a <= c) & (e <= b)).alias("contains"), ((a <= e) & (c <= b)).alias("overlaps_inclusive"))
+    a, b = ((F.col(f"lo{k}"), F.col(f"hi{k}")) for k in (1, 2))
+    return rows.select(F.col("id").cast("long").alias("id"), ranges.overlaps(a, b).alias("overlaps"), ranges.contains(a, b).alias("contains"), ranges.extents_overlap(a, b).alias("overlaps_inclusive"))
 
 
 # -- Morton codes -----------------------------------------------------------------------------------
@@ -153,21 +153,30 @@ def bic_roundtrip(spark, d):
     return back.select("id", F.size(same).cast("long").alias("n"), F.aggregate(same, F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
 
-@query("bic_size")
+#: the tree of partial sums, built from its last node to the first (node j stands at j - p + 1 when p is next), and the bits of its codes
+BIC_SIZE = """WITH RECURSIVE k AS (SELECT o_custkey AS id, o_orderkey - coalesce(lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), -1) AS v, o_orderkey AS o FROM orders),
+l AS (SELECT id, count(*) AS n, list(CAST(v AS BIGINT) ORDER BY o) AS t FROM k GROUP BY id),
+r AS (SELECT id, n, t, n - 2 AS p FROM l UNION ALL SELECT id, n, [t[p + 1] + t[p + 2] - 1] || t, p - 1 FROM r WHERE p >= 0),
+done AS (SELECT id, n, t FROM r WHERE p = -1),
+b AS (SELECT id, n, t, list_transform(range(0, n - 1), lambda p: struct_pack(r := t[p + 1], x := CASE WHEN t[2 * p + 3] >= t[2 * p + 2] THEN t[2 * p + 3] - t[2 * p + 2] + 1 ELSE t[2 * p + 2] - t[2 * p + 3] END)) AS c FROM done),
+w AS (SELECT id, n, 2 * (length(bin(n)) - 1) + 1 + 2 * (length(bin(t[1])) - 1) + 1 AS head, list_transform(c, lambda e: length(bin(e.r)) - 1 + CASE WHEN e.x - 1 < (CAST(1 AS BIGINT) << CAST(length(bin(e.r)) AS INT)) - e.r THEN 0 ELSE 1 END) AS c FROM b)
+SELECT id, n, CAST((head + coalesce(list_sum(c), 0) + 7) // 8 AS BIGINT) AS bytes FROM w"""
+
+
+@query("bic_size", BIC_SIZE)
 def bic_size(spark, d):
     return customer_gaps(spark, d).select("id", F.size("values").cast("long").alias("n"), F.octet_length(encode_column(F.col("values"))).cast("long").alias("bytes"))
 
 
-@query("bic_mapping", "SELECT vl, vr, vl + vr - 1 AS parent, CASE WHEN vl <= vr THEN vr - vl + 1 ELSE vl - vr END AS rank FROM range(1, 40) AS a(vl), range(1, 40) AS b(vr)")
+@query("bic_mapping", "SELECT vl, vr, vl + vr - 1 AS parent, CASE WHEN vl <= vr THEN vr - vl + 1 ELSE vl - vr END AS rank, vl AS back FROM range(1, 40) AS a(vl), range(1, 40) AS b(vr)")
 def bic_mapping(spark, d):
-    pairs = spark.range(0, 39 * 39).select((F.floor(F.col("id") / 39) + 1).alias("vl"), (F.col("id") % 39 + 1).alias("vr"))
-    gap = F.col("vr") - F.col("vl")
-    return pairs.select("vl", "vr", (F.col("vl") + F.col("vr") - 1).alias("parent"), F.when(gap >= 0, gap + 1).otherwise(-gap).alias("rank"))
+    rows = [(x, y, x + y - 1, mapped(x, y), unmapped(mapped(x, y), x + y - 1)) for x in range(1, 40) for y in range(1, 40)]
+    return spark.createDataFrame(rows, "vl long, vr long, parent long, rank long, back long")
 
 
 @query("gamma_length", "SELECT o_orderkey AS id, CAST(2 * (length(bin(o_custkey + 1)) - 1) + 1 AS BIGINT) AS bits FROM orders")
 def gamma_length(spark, d):
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (2 * bitmath.ilog2(F.col("o_custkey") + 1) + 1).alias("bits"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), bitmath.gamma_bits(F.col("o_custkey") + 1).alias("bits"))
 
 
 # -- histograms -------------------------------------------------------------------------------------
@@ -198,10 +207,10 @@ def h2_histogram(spark, d):
 CDF_ROWS = [(0, 0), (1, 63), (2, 64), (3, 5000), (4, 1000000), (5, 3000000), (6, 9000000), (7, 400000000)]
 
 
-@query("h2_cdf", f"WITH {H2}, q AS (SELECT CAST(qid AS BIGINT) AS qid, CAST(w AS BIGINT) AS w FROM {values(CDF_ROWS, 'qid', 'w')}) SELECT qid, CAST(coalesce((SELECT sum(cnt) FROM h WHERE h.bin <= {bin_sql('q.w')}), 0) AS BIGINT) AS cum FROM q")
+@query("h2_cdf", f"WITH {H2}, q AS (SELECT CAST(qid AS BIGINT) AS qid, CAST(w AS BIGINT) AS w FROM {values(CDF_ROWS, 'qid', 'w')}) SELECT qid, CAST(coalesce((SELECT sum(cnt) FROM h WHERE h.bin <= {bin_sql('q.w')}), 0) AS BIGINT) AS cum, CAST(coalesce((SELECT sum(cnt) FROM h WHERE h.bin <= {bin_sql('q.w')}), 0) AS DOUBLE) / (SELECT sum(cnt) FROM h) AS cdf FROM q")
 def h2_cdf(spark, d):
     q = spark.sql(f"SELECT CAST(qid AS BIGINT) AS qid, CAST(w AS BIGINT) AS v FROM {values(CDF_ROWS, 'qid', 'w')}")
-    return hist.cumulative(_prices(spark, d), q, A, B).select("qid", "cum")
+    return hist.cumulative(_prices(spark, d), q, A, B).select("qid", "cum", "cdf")
 
 
 P_ROWS = [(0, "0.0"), (1, "0.1"), (2, "0.25"), (3, "0.5"), (4, "0.9"), (5, "0.99"), (6, "1.0")]
@@ -232,10 +241,9 @@ def spatial_ids_for_bbox(spark, d):
     return spatial.ids_in_box(line_points(spark, d), spark.sql(f"WITH {AREA} SELECT * FROM bx"))
 
 
-@query("spatial_counts_for_ids", f"WITH {LINES} SELECT {interleave('x', 'y')} AS code, count(*) AS cnt FROM p WHERE id % 5 = 2 GROUP BY 1")
+@query("spatial_counts_for_ids", f"WITH {LINES} SELECT {interleave('x', 'y')} AS code, count(*) AS cnt FROM p WHERE id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1")
 def spatial_counts_for_ids(spark, d):
-    points = line_points(spark, d)
-    return spatial.cells_of_ids(points, points.where("id % 5 = 2").select("id"))
+    return spatial.cells_of_ids(line_points(spark, d), table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id")))
 
 
 @query("spatial_counts", f"WITH {LINES} SELECT ({interleave('x', 'y')} >> 4) << 4 AS code, count(*) AS cnt FROM p GROUP BY 1")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankweave.functions.zorder import encode2, encode3, morton_masks
-from rankweave.operators.huffman import HuffmanSequence, canonical_sql, code_table
-from rankweave.operators.sequence import Sequence, morton_sequence
+from rankweave.operators.huffman import HuffmanSequence, canonical, code_table
+from rankweave.operators.sequence import Sequence, counts_arrays, morton_sequence
 from rankweave.plans.index import SequenceIndex
 from rankweave.queries.base import EVENTS, ORDERS, PARTS, RANGE_ROWS, ask, query, range_params, values
 from rankweave.sources.scratch import scratch_folder
@@ -28,6 +28,12 @@ def wm_get(spark, d):
     return s.get(q.select("qid", F.col("lo").alias("at"))).select("qid", "at", "sym")
 
 
+@query("wm_get_indexed", f"{HEAD} SELECT q.qid, q.lo AS at, s.sym FROM q LEFT JOIN s ON s.pos = q.lo")
+def wm_get_indexed(spark, d):
+    s, q = _events(spark, d)
+    return _index(spark, s).get(q.select("qid", F.col("lo").alias("at"))).select("qid", "at", "sym")
+
+
 @query("wm_stats", f"WITH {EVENTS} SELECT count(*) AS len, max(sym) AS max_symbol, length(bin(max(sym))) AS num_levels FROM s")
 def wm_stats(spark, d):
     return Sequence.of(event_users(spark, d)).stats()
@@ -160,6 +166,13 @@ def wm_counts_ignore_bits(spark, d):
     return s.counts(q.withColumns({"s_lo": F.col("symbol"), "s_hi": F.col("symbol") + 40}))
 
 
+@query("wm_counts_arrays", f"""WITH {EVENTS}, {range_params([(*r[:5], 0) for r in RANGE_ROWS])}, {COUNTS.format(lo=0, hi='(SELECT m FROM nn)')} SELECT qid, string_agg(symbol, ',' ORDER BY start) AS symbols, string_agg(start, ',' ORDER BY start) AS starts, string_agg("end", ',' ORDER BY start) AS ends FROM iv GROUP BY qid""")
+def wm_counts_arrays(spark, d):
+    s, q = _events(spark, d)
+    arrays = counts_arrays(s.counts(q.withColumns({"ignore_bits": F.lit(0), "s_lo": F.lit(0), "s_hi": F.lit(s.max_symbol)})))
+    return arrays.select("qid", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("symbols", "starts", "ends")])
+
+
 UNION_ROWS = [(0, 0, 8, 0, 0, 1), (1, 8, 20, 0, 0, 1), (2, 24, 40, 0, 0, 1), (3, 40, 41, 0, 0, 1), (4, 60, 64, 0, 0, 1)]
 UNION = f"""{BOTTOM}, hit AS (SELECT bot.node AS symbol, bot.bot, bot.bot - row_number() OVER (PARTITION BY bot.node ORDER BY bot.bot) AS g FROM q JOIN bot ON bot.pos >= q.lo AND bot.pos < q.hi)"""
 
@@ -290,7 +303,7 @@ def morton_masks_query(spark, d):
 
 def _huffman(spark, d):
     seq = part_sizes(spark, d)
-    return HuffmanSequence.of(seq), ask(spark, seq, Q)
+    return HuffmanSequence.build(seq, scratch_folder(spark, "huffman")), ask(spark, seq, Q)
 
 
 PHEAD = f"WITH {PARTS}, {Q}"
@@ -330,12 +343,27 @@ def hwm_simple_majority(spark, d):
     return h.simple_majority(q)
 
 
-@query("hwm_stats")
+#: Huffman's algorithm on a sorted list: two lightest nodes merge; leaves before merged nodes, the last leaf and the oldest node first
+HUFFMAN = f"""WITH RECURSIVE {PARTS}, f AS (SELECT row_number() OVER (ORDER BY count(*) DESC, sym) - 1 AS rn, sym AS symbol, count(*) AS weight FROM s GROUP BY sym),
+r AS (SELECT 0 AS step, list(struct_pack(w := CAST(weight AS BIGINT), t := 0, o := CAST((SELECT count(*) FROM f) - rn AS BIGINT), m := [CAST(rn AS BIGINT)])) AS q, [CAST(0 AS BIGINT) for x in list(rn)] AS d FROM f
+  UNION ALL SELECT step + 1, z[3:] || [struct_pack(w := z[1].w + z[2].w, t := 1, o := CAST(step AS BIGINT), m := z[1].m || z[2].m)], list_transform(d, lambda x, i: x + CASE WHEN list_contains(z[1].m || z[2].m, i - 1) THEN 1 ELSE 0 END)
+  FROM (SELECT step, list_sort(q) AS z, d FROM r WHERE len(q) > 1)),
+y AS (SELECT list_sort(d) AS d FROM r WHERE len(q) = 1),
+c AS (SELECT rn, symbol, weight, (SELECT d FROM y)[CAST(rn + 1 AS INT)] AS len FROM f), x AS (SELECT CAST(max(len) AS INT) AS longest FROM c)"""
+#: at every level the free codes, in the order of their reversed bits, lose the last ones to the codes that end there
+FREE = f"""{HUFFMAN}, e AS (SELECT list(k ORDER BY n) AS ended FROM (SELECT n, (SELECT count(*) FROM c WHERE c.len = n) AS k FROM x, range(1, 64) AS t(n) WHERE n <= longest)),
+lv AS (SELECT 0 AS n, [CAST(0 AS BIGINT)] AS free, CAST([] AS BIGINT[]) AS done UNION ALL
+  SELECT n + 1, g[1:len(g) - ended[n + 1]], done || g[len(g) - ended[n + 1] + 1:] FROM (SELECT n, done, ended, longest, list_transform(free, lambda v: v * 2) || list_transform(free, lambda v: v * 2 + 1) AS g FROM lv, e, x WHERE n < longest)),
+codes AS (SELECT c.*, CAST(coalesce(sum(CAST(1 AS BIGINT) << CAST(longest - len AS INT)) OVER (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) >> CAST(longest - len AS INT) AS canonical,
+  (SELECT done FROM lv, x WHERE n = longest)[CAST(rn + 1 AS INT)] AS code, longest FROM c, x)"""
+
+
+@query("hwm_stats", f"{HUFFMAN} SELECT CAST(sum(weight) AS BIGINT) AS len, max(symbol) AS max_symbol, max(len) AS num_levels, count(*) AS num_symbols FROM c")
 def hwm_stats(spark, d):
     return _huffman(spark, d)[0].stats()
 
 
-@query("hwm_level_lens")
+@query("hwm_level_lens", f"{HUFFMAN} SELECT n AS level, CAST(sum(weight) AS BIGINT) AS len FROM c, range(0, 64) AS t(n) WHERE n < len GROUP BY n")
 def hwm_level_lens(spark, d):
     return _huffman(spark, d)[0].level_lens()
 
@@ -345,7 +373,7 @@ def huffman_order(spark, d):
     return code_table(part_sizes(spark, d)).select("rn", "symbol", "weight")
 
 
-@query("huffman_lengths")
+@query("huffman_lengths", f"{HUFFMAN} SELECT rn, symbol, weight, len FROM c")
 def huffman_lengths(spark, d):
     return code_table(part_sizes(spark, d)).select("rn", "symbol", "weight", "len")
 
@@ -356,15 +384,15 @@ LEN_TABLE = f"t AS (SELECT CAST(rn AS BIGINT) AS rn, CAST(len AS BIGINT) AS len
 
 @query("huffman_canonical", f"WITH {LEN_TABLE} SELECT rn, len, CAST(coalesce(sum(CAST(1 AS BIGINT) << CAST(6 - len AS INT)) OVER (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) >> CAST(6 - len AS INT) AS code FROM t")
 def huffman_canonical(spark, d):
-    return canonical_sql(spark.sql(f"WITH {LEN_TABLE} SELECT * FROM t"))
+    return canonical(spark.sql(f"WITH {LEN_TABLE} SELECT * FROM t"))
 
 
-@query("huffman_wm_codes")
+@query("huffman_wm_codes", f"{FREE} SELECT rn, symbol, len, canonical, code FROM codes")
 def huffman_wm_codes(spark, d):
     return code_table(part_sizes(spark, d)).select("rn", "symbol", "len", "canonical", "code")
 
 
-@query("huffman_padded")
+@query("huffman_padded", f"{FREE} SELECT symbol, len, code, (code << CAST(longest - len AS INT)) + (CAST(1 AS BIGINT) << CAST(longest - len AS INT)) - 1 AS padded FROM codes")
 def huffman_padded(spark, d):
     return code_table(part_sizes(spark, d)).select("symbol", "len", "code", "padded")
 

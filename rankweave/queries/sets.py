@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankweave.operators.bits import BitSet, MultiSet
-from rankweave.plans.ranking import count_below
+from rankweave.operators.dense import DenseSet
+from rankweave.operators.sizes import byte_sizes
 from rankweave.queries.base import query, values
 from rankweave.sources.packed import from_words, pack_integers, to_words, unpack_integers
-from rankweave.sources.tables import error_events, event_users, part_lines
+from rankweave.sources.tables import error_events, event_users, order_customers, part_lines
 
 B = "b AS (SELECT event_id AS pos FROM events WHERE event_type = 'error'), u AS (SELECT count(*) AS n FROM events)"
 M = "m AS (SELECT l_partkey AS pos, count(*) AS cnt FROM lineitem GROUP BY l_partkey), u AS (SELECT count(*) AS n FROM part)"
@@ -82,18 +83,18 @@ def bv_stats(spark, d):
     return _set(spark, d).stats()
 
 
-@query("bv_rank1_batch", f"WITH {B}, q AS (SELECT event_id AS i FROM events WHERE user_id = 3) SELECT i, (SELECT count(*) FROM b WHERE pos < q.i) AS rank1 FROM q")
+EVERY = "SELECT event_id AS i, CAST(coalesce(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rank1 FROM events"
+
+
+@query("bv_rank1_batch", EVERY)
 def bv_rank1_batch(spark, d):
-    asks = event_users(spark, d).where("sym = 3").select(F.col("pos").alias("qid"), F.col("pos").alias("at"))
+    asks = event_users(spark, d).select(F.col("pos").alias("qid"), F.col("pos").alias("at"))
     return _set(spark, d).rank1(asks).select(F.col("at").alias("i"), "rank1")
 
 
 @query("bv_all_ones_from", f"WITH {B} SELECT coalesce((SELECT max(event_id) + 1 FROM events WHERE event_type <> 'error'), 0) AS all_ones_from")
 def bv_all_ones_from(spark, d):
-    s = _set(spark, d)
-    # the last run of ones is the tail if it ends the universe
-    last = s.runs().orderBy(F.col("start").desc()).limit(1)
-    return last.select(F.when(F.col("zo") == s.universe, F.col("start")).otherwise(s.universe).alias("all_ones_from"))
+    return _set(spark, d).all_ones_from()
 
 
 # -- physical forms -------------------------------------------------------------------------------
@@ -142,6 +143,18 @@ def dense_select1_range(spark, d):
     return s.in_range(s.universe // 4, s.universe - s.universe // 3).orderBy("pos")
 
 
+@query("dense_rank1", f"WITH {B}, {AT} SELECT qid, i, {RANK} AS rank1 FROM q")
+def dense_rank1(spark, d):
+    s = _set(spark, d)
+    return DenseSet.build(s).rank1(_asks(spark, s.universe, AT)).select("qid", F.col("at").alias("i"), "rank1")
+
+
+@query("dense_select1", f"WITH {B}, {K}, {ONES} SELECT q.qid, q.k, o.pos FROM q LEFT JOIN o USING (k)")
+def dense_select1(spark, d):
+    s = _set(spark, d)
+    return DenseSet.build(s, 8).select1(_asks(spark, s.universe, K)).select("qid", "k", "pos")
+
+
 EF = f"""WITH {B}, t AS (SELECT min(pos) AS off, count(*) AS c, (SELECT n FROM u) AS n FROM b),
 w AS (SELECT off, CASE WHEN (n - off) // c >= 1 THEN CAST(floor(log2((n - off) // c)) AS BIGINT) ELSE 0 END AS l FROM t),
 o AS (SELECT row_number() OVER (ORDER BY pos) - 1 AS idx, off, l, pos - off AS rel FROM b, w),
@@ -153,26 +166,21 @@ def elias_fano_encode(spark, d):
     return _set(spark, d).elias_fano()
 
 
+@query("elias_fano_low_bits", f"{EF.replace('CASE WHEN (n - off) // c >= 1 THEN CAST(floor(log2((n - off) // c)) AS BIGINT) ELSE 0 END', 'CAST(5 AS BIGINT)')} SELECT * FROM e")
+def elias_fano_low_bits(spark, d):
+    return _set(spark, d).elias_fano(5)
+
+
 @query("elias_fano_select1", f"WITH {B}, {K}, {ONES} SELECT q.qid, o.pos FROM q LEFT JOIN o USING (k)")
 def elias_fano_select1(spark, d):
     s = _set(spark, d)
-    back = F.col("offset") + F.call_function("shiftleft", F.col("high"), F.col("low_bits").cast("int")) + F.col("low")
-    coded = s.elias_fano().select(F.col("idx").alias("k"), back.alias("pos"))
-    return _asks(spark, s.universe, K).join(coded, "k", "left").select("qid", "pos")
+    return s.elias_fano_select1(_asks(spark, s.universe, K)).select("qid", "pos")
 
 
 @query("elias_fano_rank1", f"WITH {B}, {AT} SELECT qid, {RANK} AS rank1 FROM q")
 def elias_fano_rank1(spark, d):
-    """Ones with smaller high parts, then ones of the same high part with smaller low parts."""
     s = _set(spark, d)
-    coded = s.elias_fano()
-    shape = coded.select("offset", "low_bits").limit(1)
-    rel = F.greatest(F.col("at") - F.col("offset"), F.lit(0))
-    high = F.call_function("shiftright", rel, F.col("low_bits").cast("int"))
-    asks = _asks(spark, s.universe, AT).join(F.broadcast(shape)).select("qid", high.alias("at"), (rel - F.call_function("shiftleft", high, F.col("low_bits").cast("int"))).alias("rest"))
-    below = count_below(coded, asks, bits=s.bits, value="high", out="whole")
-    same = below.join(coded.select(F.col("high").alias("at"), "low"), "at", "left").groupBy("qid", "whole").agg(F.count_if(F.col("low") < F.col("rest")).alias("part"))
-    return same.select("qid", (F.col("whole") + F.col("part")).alias("rank1"))
+    return s.elias_fano_rank1(_asks(spark, s.universe, AT)).select("qid", "rank1")
 
 
 RUNS = f"""WITH {B}, g AS (SELECT pos, pos - (row_number() OVER (ORDER BY pos) - 1) AS z FROM b),
@@ -185,6 +193,12 @@ def rle_runs(spark, d):
     return _set(spark, d).runs()
 
 
+@query("rle_from_runs", "WITH r AS (SELECT o_orderkey AS part, o_custkey % 7 AS zeros, o_custkey % 5 AS ones, CAST(sum(o_custkey % 7 + o_custkey % 5) OVER (ORDER BY o_orderkey) AS BIGINT) AS upto FROM orders) SELECT unnest(range(upto - ones, upto)) AS pos FROM r")
+def rle_from_runs(spark, d):
+    runs = order_customers(spark, d).select(F.col("pos").alias("part"), (F.col("sym") % 7).alias("zeros"), (F.col("sym") % 5).alias("ones"))
+    return BitSet.from_runs(runs).ones
+
+
 @query("rle_rank1", f"WITH {B}, {AT} SELECT qid, i, {RANK} AS rank1 FROM q")
 def rle_rank1(spark, d):
     s = _set(spark, d)
@@ -260,9 +274,9 @@ def mbv_rank1(spark, d):
     return m.rank1(_asks(spark, m.universe, AT)).select("qid", F.col("at").alias("i"), "rank1")
 
 
-@query("mbv_rank1_batch", f"WITH {M}, q AS (SELECT p_partkey AS i FROM part WHERE p_size < 10) SELECT i, {MRANK} AS rank1 FROM q")
+@query("mbv_rank1_batch", f"WITH {M} SELECT p_partkey AS i, CAST(coalesce(sum(m.cnt) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rank1 FROM part LEFT JOIN m ON m.pos = p_partkey")
 def mbv_rank1_batch(spark, d):
-    asks = spark.read.parquet(f"{d}/part.parquet").where("p_size < 10").select(F.col("p_partkey").alias("qid"), F.col("p_partkey").alias("at"))
+    asks = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("qid"), F.col("p_partkey").alias("at"))
     return _multi(spark, d).rank1(asks).select(F.col("at").alias("i"), "rank1")
 
 
@@ -277,10 +291,11 @@ def mbv_stats(spark, d):
     return _multi(spark, d).stats()
 
 
-@query("mbv_as_set", f"WITH {M} SELECT pos FROM m WHERE cnt > 0")
+@query("mbv_as_set", f"WITH {B} SELECT pos FROM b")
 def mbv_as_set(spark, d):
-    m = _multi(spark, d)
-    return MultiSet.build(m.counts.withColumn("cnt", F.lit(1)), m.universe).as_set().ones
+    """Error events, each of which occurs once: the conversion checks it."""
+    ones, universe = error_events(spark, d)
+    return MultiSet.build(ones.withColumn("cnt", F.lit(1)), universe).as_set().ones
 
 
 @query("multi_unique_rank", f"WITH {M}, {AT} SELECT qid, i, (SELECT count(*) FROM m WHERE pos < q.i) AS unique_rank1, least(i, (SELECT n FROM u)) - (SELECT count(*) FROM m WHERE pos < q.i) AS unique_rank0 FROM q")
@@ -289,7 +304,34 @@ def multi_unique_rank(spark, d):
     return m.unique_ranks(_asks(spark, m.universe, AT)).select("qid", F.col("at").alias("i"), "unique_rank1", "unique_rank0")
 
 
-@query("byte_size", f"WITH {B} SELECT 8 * ((n + 63) // 64) AS dense_bytes, 4 * (SELECT count(*) FROM b) AS array_bytes FROM u")
-def byte_size(spark, d):
+TRIM = """WITH e AS (SELECT event_id AS pos, event_type = 'error' AS one FROM events), u AS (SELECT count(*) AS n, (count(*) + 31) // 32 AS nb FROM e),
+x AS (SELECT pos // 32 AS b, bool_and({0}) AS z, bool_and(NOT ({0})) AS o FROM e GROUP BY 1),
+zz AS (SELECT coalesce(min(b) FILTER (WHERE NOT z), max(nb)) AS l, greatest(coalesce(max(b) FILTER (WHERE NOT z) + 1, 1), 1) AS r FROM x, u),
+oo AS (SELECT coalesce(min(b) FILTER (WHERE NOT o), max(nb)) AS l, greatest(coalesce(max(b) FILTER (WHERE NOT o) + 1, 1), 1) AS r FROM x, u),
+p AS (SELECT CASE WHEN greatest(zz.r - zz.l, 0) <= greatest(oo.r - oo.l, 0) THEN 0 ELSE 1 END AS padding, zz.l AS zl, zz.r AS zr, oo.l AS ol, oo.r AS orr, nb FROM zz, oo, u)
+SELECT CAST(padding AS BIGINT) AS padding, CASE WHEN padding = 0 THEN zl ELSE ol END AS "left", CASE WHEN padding = 0 THEN zr ELSE orr END AS "right", nb AS blocks FROM p"""
+
+
+@query("padded_blocks_of_zeros", TRIM.format("pos < 100 OR pos >= (SELECT n // 2 FROM u) OR NOT one"))
+def padded_blocks_of_zeros(spark, d):
+    s = _set(spark, d)
+    return BitSet(s.in_range(100, s.universe // 2), s.universe).trimmed()
+
+
+@query("padded_blocks_of_ones", TRIM.format("pos >= 100 AND pos < (SELECT n // 2 FROM u) AND NOT one"))
+def padded_blocks_of_ones(spark, d):
     s = _set(spark, d)
-    return s.stats().select((F.lit(8) * F.floor((F.col("universe") + 63) / 64)).alias("dense_bytes"), (F.col("num_ones") * 4).alias("array_bytes"))
+    around = spark.range(s.universe).where((F.col("id") < 100) | (F.col("id") >= s.universe // 2)).select(F.col("id").alias("pos"))
+    return BitSet(s.in_range(100, s.universe // 2).unionAll(around), s.universe).trimmed()
+
+
+@query(
+    "byte_size",
+    f"""WITH {B}, c AS (SELECT n, (SELECT count(*) FROM b) AS ones, (SELECT min(pos) FROM b) AS off FROM u),
+w AS (SELECT *, CASE WHEN (n - off) // ones >= 1 THEN CAST(floor(log2((n - off) // ones)) AS BIGINT) ELSE 0 END AS l FROM c),
+g AS (SELECT count(DISTINCT z) AS runs FROM (SELECT pos - row_number() OVER (ORDER BY pos) AS z FROM b))
+SELECT 8 * ((n + 63) // 64) AS bit_buffer, 8 * ((n + 63) // 64) + 4 * ((n + 1023) // 1024) AS dense, 4 * ones AS "array", 8 * ((ones * l + 63) // 64) + 8 * ((ones + ((n - off) >> CAST(l AS INT)) + 1 + 63) // 64) AS sparse,
+  8 * (SELECT runs FROM g) AS run_length, 8 * ((n * 20 + 63) // 64) AS int_buffer FROM w""",
+)
+def byte_size(spark, d):
+    return byte_sizes(_set(spark, d), 20)

@@ -6,9 +6,14 @@ import random
 
 import pytest
 
-from rankweave.operators.huffman import HuffmanSequence
+from rankweave import sql
+from rankweave.functions.codes import canonical_codes, code_lengths, level_codes
+from rankweave.operators.bits import BitSet
+from rankweave.operators.contract import SymbolSequence
+from rankweave.operators.huffman import HuffmanSequence, code_table
 from rankweave.operators.sequence import Sequence
 from rankweave.plans import ranking
+from rankweave.plans.boxes import in_boxes
 from rankweave.plans.index import SequenceIndex
 from rankweave.sources.tables import from_array
 
@@ -73,7 +78,7 @@ def reverse(x, n):
 
 @pytest.mark.parametrize("broadcast", [10_000, 0])
 def test_random_sequences(spark, broadcast, monkeypatch):
-    monkeypatch.setattr(ranking, "BROADCAST_QUERIES", broadcast)
+    monkeypatch.setattr(ranking, "BROADCAST_ROWS", broadcast)
     rng = random.Random(11)
     data = [rng.randrange(9) for _ in range(57)]
     s, n = Sequence.of(from_array(spark, data)), len(data)
@@ -117,16 +122,96 @@ def test_index_descent(spark, tmp_path):
         assert got == {i: (sum(x < y for x in data[a:b]), data[a:b].count(y)) for i, (a, b, _, y) in enumerate(rows)}
 
 
-def test_huffman_sequences(spark):
+def test_index_from_planes_and_back(spark, tmp_path):
+    data = [1, 3, 3, 2, 7, 0, 5] * 10
+    planes = [BitSet(spark.createDataFrame([(k,) for k, r in enumerate(rows) if r], "pos long"), len(data)) for rows in naive_planes(data, 3)]
+    index = SequenceIndex.from_planes(planes, str(tmp_path / "planes"))
+    assert column(index.get(asks(spark, [(i,) for i in range(-1, len(data) + 1)], ("at",))), "sym") == [None, *data, None]
+
+
+def naive_planes(data, levels):
+    out, rows = [], list(data)
+    for level in range(levels):
+        bits = [x >> (levels - 1 - level) & 1 for x in rows]
+        out.append(bits)
+        rows = [x for x, b in zip(rows, bits, strict=True) if not b] + [x for x, b in zip(rows, bits, strict=True) if b]
+    return out
+
+
+def test_huffman_sequences(spark, tmp_path):
     data = [{0: 1, 1: 2, 2: 1, 3: 1, 4: 100}[i % 5] for i in range(20)]
-    h = HuffmanSequence.of(from_array(spark, data))
+    h = HuffmanSequence.build(from_array(spark, data), str(tmp_path / "a"))
     assert h.stats().first().asDict() == {"len": 20, "max_symbol": 100, "num_levels": 2, "num_symbols": 3}
     q = asks(spark, [(0, 20, y) for y in (1, 2, 100, 99)], ("lo", "hi", "symbol"))
     assert column(h.count(q), "cnt") == [12, 4, 4, 0]
     assert column(h.get(asks(spark, [(i,) for i in range(20)], ("at",))), "sym") == data
     assert {r.level: r.len for r in h.level_lens().collect()} == {0: 20, 1: 8}
-    same = HuffmanSequence.of(from_array(spark, [7] * 10))
+    same = HuffmanSequence.build(from_array(spark, [7] * 10), str(tmp_path / "b"))
     assert same.stats().first().num_levels == 0
     picks = asks(spark, [(0, 10, 7, 0), (0, 10, 7, 9), (0, 10, 7, 10)], ("lo", "hi", "symbol", "k"))
     assert column(same.select(picks), "pos") == [0, 9, None]
     assert column(same.simple_majority(asks(spark, [(0, 10), (3, 3)], ("lo", "hi"))), "symbol") == [7, None]
+    none = HuffmanSequence.build(from_array(spark, []), str(tmp_path / "c"))
+    assert none.stats().first().len == 0 and column(none.count(q), "cnt") == [0] * 4 and column(none.select(picks), "pos") == [None] * 3
+
+
+def test_code_table_by_definition(spark):
+    rng = random.Random(4)
+    for weights in ([8, 4, 2, 1], [20, 17, 6, 3, 2, 2, 2, 1, 1, 1], [rng.randrange(1, 12) for _ in range(40)], [3], [1] * 9):
+        data = [y for y, w in enumerate(weights) for _ in range(w)]
+        rows = sorted(code_table(from_array(spark, rng.sample(data, len(data)))).collect(), key=lambda r: r.rn)
+        order = sorted(range(len(weights)), key=lambda y: (-weights[y], y))
+        lengths = code_lengths([weights[y] for y in order])
+        longest = max(lengths)
+        assert [r.symbol for r in rows] == order and [r.len for r in rows] == lengths
+        assert [r.canonical for r in rows] == canonical_codes(lengths) and [r.code for r in rows] == level_codes(lengths)
+        assert [r.padded for r in rows] == [(c << longest - n) | (1 << longest - n) - 1 for c, n in zip(level_codes(lengths), lengths, strict=True)]
+
+
+def test_both_encodings_keep_the_contract(spark, tmp_path):
+    """Plain sequence, its index and its prefix-coded form answer alike, and as the definition says."""
+    rng = random.Random(21)
+    data = [rng.choices([0, 1, 2, 5, 9, 12], [30, 10, 5, 3, 1, 1])[0] for _ in range(120)]
+    plain = Sequence.of(from_array(spark, data))
+    forms: list[SymbolSequence] = [plain, HuffmanSequence.build(plain.seq, str(tmp_path / "h"))]
+    rows = []
+    for _ in range(20):
+        lo = rng.randrange(120)
+        rows.append((lo, rng.randrange(lo, 121), rng.choice([0, 1, 2, 5, 9, 12, 3, 40]), rng.randrange(5), 0))
+    q = asks(spark, rows, ("lo", "hi", "symbol", "k", "ignore_bits"))
+    part = [data[lo:hi] for lo, hi, *_ in rows]
+    hits = [[i for i in range(lo, hi) if data[i] == y] for lo, hi, y, *_ in rows]
+    major = [next((y for y in set(p) if 2 * p.count(y) > len(p)), None) for p in part]
+    for form in forms:
+        assert isinstance(form, SymbolSequence)
+        assert column(form.get(asks(spark, [(i,) for i in (0, 50, 119, 120)], ("at",))), "sym") == [data[0], data[50], data[119], None]
+        assert column(form.count(q), "cnt") == [len(h) for h in hits]
+        assert column(form.select(q), "pos") == [h[r[3]] if r[3] < len(h) else None for h, r in zip(hits, rows, strict=True)]
+        assert column(form.select(q, last=True), "pos") == [h[-1 - r[3]] if r[3] < len(h) else None for h, r in zip(hits, rows, strict=True)]
+        assert column(form.simple_majority(q), "symbol") == major
+
+
+def test_points_in_boxes(spark):
+    rng = random.Random(2)
+    points = [(k, *(rng.randrange(200) for _ in range(3))) for k in range(300)]
+    boxes = [(k, *(v for _ in range(3) for v in sorted((rng.randrange(220), rng.randrange(220))))) for k in range(30)]
+    boxes += [(30, 0, 0, 0, 0, 0, 0), (31, 5, 4, 0, 9, 0, 9), (32, 0, 65535, 0, 65535, 0, 65535)]
+    got = in_boxes(spark.createDataFrame(points, "id long, x long, y long, z long"), spark.createDataFrame(boxes, "box long, x0 long, x1 long, y0 long, y1 long, z0 long, z1 long"), "xyz")
+    want = {(i, b) for i, *p in points for b, *c in boxes if all(c[2 * d] <= p[d] <= c[2 * d + 1] for d in range(3))}
+    assert [(r.id, r.box) for r in got.orderBy("id", "box").collect()] == sorted(want)
+
+
+def test_functions_of_the_session(spark):
+    data = [1, 3, 3, 2, 7]
+    sql.register_sequence(spark, "demo", Sequence.of(from_array(spark, data)))
+    row = spark.sql("SELECT demo_get(2), demo_try_get(9), demo_count(0, 5, 3), demo_preceding_count(0, 5, 3), demo_select(0, 5, 3, 1, 0), demo_try_select(0, 5, 3, 2, 0), demo_select_last(0, 5, 3, 0, 2), demo_simple_majority(0, 3), demo_try_simple_majority(0, 5), demo_max_symbol()").first()
+    assert list(row) == [3, None, 2, 2, 2, None, 3, 3, None, 7]
+    assert [tuple(r) for r in spark.sql("SELECT * FROM demo_quantile(0, 5, 2)").collect()] == [(3, 2)]
+    assert sorted(tuple(r) for r in spark.sql("SELECT * FROM demo_majority(0, 5, 3)").collect()) == [(3, 2)]
+    with pytest.raises(Exception, match="no answer"):
+        spark.sql("SELECT demo_select(0, 5, 3, 2, 0)").collect()
+    sql.register_set(spark, "bits", BitSet(spark.createDataFrame([(p,) for p in (0, 31, 32, 68)], "pos long"), 70))
+    row = spark.sql("SELECT bits_rank1(32), bits_rank0(1000), bits_get(31), bits_select1(3), bits_select0(31), bits_try_select1(4), bits_universe_size(), bits_num_ones(), bits_num_zeros()").first()
+    assert list(row) == [2, 66, 1, 68, 34, None, 70, 4, 66]
+    with pytest.raises(Exception, match="no such position"):
+        spark.sql("SELECT bits_select1(4)").collect()
