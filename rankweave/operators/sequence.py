@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from rankweave.functions.bitmath import num_levels, reverse_low_bits
 from rankweave.functions.zorder import decode2, decode3, encode2
 from rankweave.plans.boxes import in_boxes
-from rankweave.plans.ranking import checked_broadcast, count_below, in_ranges, kth_in_order, latest, with_ordinal
+from rankweave.plans.ranking import checked_broadcast, count_below, in_ranges, kth_in_order, latest, running_blocks, with_ordinal
 
 
 def _cut(symbol: Column, bits: Column) -> Column:
@@ -248,16 +248,16 @@ def plane_bits(coded: DataFrame, top: int, length: int) -> DataFrame:
     rows = rows.select("level", "pos", prefix.alias("prefix"), bit.alias("bit"))
     placed = with_ordinal(rows, length, keys=("level", "prefix"))
     # reversing within all levels keeps the order: shorter prefixes only gain equal zeros
-    sizes = rows.groupBy("level", "prefix").agg(F.count("*").alias("c")).withColumn("order", reverse_low_bits(F.col("prefix"), max(top, 1)))
-    bases = with_ordinal(sizes, 1 << max(top, 1), keys=("level",), pos="order", weight="c", out="base").select("level", "prefix", "base")
+    sizes = rows.groupBy("level", "prefix").agg(F.count("*").alias("_c")).withColumn("_b", reverse_low_bits(F.col("prefix"), max(top, 1)))
+    bases = running_blocks(sizes, ("level",), 1 << top).select("level", "prefix", F.coalesce("_s", F.lit(0)).alias("base"))
     return placed.join(bases, ["level", "prefix"]).select(F.col("level").cast("long").alias("level"), (F.col("base") + F.col("ordinal")).alias("idx"), "bit")
 
 
 def plane_words(bits: DataFrame, length: int) -> DataFrame:
     """``(level, block, word, rank1)`` of ``bits(level, idx, bit)``: words of 32 bits and the ones before each."""
     bit = F.call_function("shiftleft", F.col("bit"), F.col("idx").bitwiseAND(F.lit(31)).cast("int"))
-    words = bits.groupBy("level", F.shiftright("idx", 5).alias("block")).agg(F.sum(bit).alias("word"), F.sum("bit").alias("ones"))
-    return with_ordinal(words, (length >> 5) + 1, keys=("level",), pos="block", weight="ones", out="rank1").select("level", "block", "word", "rank1")
+    words = bits.groupBy("level", F.shiftright("idx", 5).alias("_b")).agg(F.sum(bit).alias("word"), F.sum("bit").alias("_c"))
+    return running_blocks(words, ("level",), length >> 5).select("level", F.col("_b").alias("block"), "word", F.coalesce("_s", F.lit(0)).alias("rank1"))
 
 
 def counts_arrays(counts: DataFrame) -> DataFrame:

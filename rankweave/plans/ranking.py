@@ -47,8 +47,8 @@ def _before(keys: tuple[str, ...], order: str) -> Window:
 
 
 def running_blocks(blocks: DataFrame, keys: tuple[str, ...], top: int, fold: Callable[[str], Column] = F.sum) -> DataFrame:
-    """``blocks(keys, _b, _c)``, one row per block up to number top, with ``_s``: ``_c`` of all earlier blocks of
-    the key folded by sum or max (null where there is none)."""
+    """``blocks(keys, _b, _c, ...)``, one row per block up to number top, with ``_s``: ``_c`` of all earlier blocks
+    of the key folded by sum or max (null where there is none)."""
     if top < MAX_BLOCKS:
         return blocks.withColumn("_s", fold("_c").over(_before(keys, "_b")))
     step = MAX_BLOCKS.bit_length() - 1
@@ -57,7 +57,7 @@ def running_blocks(blocks: DataFrame, keys: tuple[str, ...], top: int, fold: Cal
     upper = running_blocks(upper, keys, top >> step, fold).select(*keys, F.col("_b").alias("_bb"), F.col("_s").alias("_us"))
     inside = own.withColumn("_s", fold("_c").over(_before((*keys, "_bb"), "_b"))).join(upper, [*keys, "_bb"])
     both = F.coalesce(F.col("_s") + F.col("_us"), "_s", "_us") if fold is F.sum else F.coalesce("_s", "_us")
-    return inside.select(*keys, "_b", "_c", both.alias("_s"))
+    return inside.withColumn("_s", both).drop("_bb", "_us")
 
 
 def block_table(values: DataFrame, span: int, *, keys: tuple[str, ...] = (), value: str = "pos", weight: str | None = None) -> DataFrame:
@@ -127,10 +127,17 @@ def kth_value(values: DataFrame, asks: DataFrame, span: int, *, weight: str | No
     total: the sum of all weights (or more). Blocks are counted first, and only blocks that hold an answer are
     ordered.
     """
-    table = block_table(values, span, weight=weight)
-    held = latest(table, asks.where("k >= 0").select("qid", "k"), max(total, 1), ["_b", "_c", "_s"], value="_s", at="k")
-    inside = held.where("k < _s + _c").select("qid", "k", "_b", (F.col("k") - F.col("_s")).alias("_v"))
-    near = values.withColumn("_b", F.shiftright("pos", block_bits(span))).join(checked_broadcast(inside.select("_b").distinct()), "_b", "left_semi")
+    bits = block_bits(span)
+    # the units of a block are an interval; laid on cells of the usual size of a block, it meets its questions by equality
+    cell = max(0, (max(total, 1) // ((span >> bits) + 1)).bit_length() - 1)
+    laid = F.explode(F.sequence(F.shiftright("_s", cell), F.shiftright(F.col("_s") + F.col("_c") - 1, cell)))
+    table = block_table(values, span, weight=weight).where("_c > 0").withColumn("_cell", laid)
+    held = asks.where("k >= 0").select("qid", "k", F.shiftright(F.col("k").cast("long"), cell).alias("_cell")).join(table, "_cell")
+    inside = held.where("_s <= k AND k < _s + _c").select("qid", "k", "_b", (F.col("k") - F.col("_s")).alias("_v"))
+    asked = inside.select("_b").distinct()
+    if span >> bits < BROADCAST_ROWS or is_small(asks):  # no more blocks than that
+        asked = F.broadcast(asked)
+    near = values.withColumn("_b", F.shiftright("pos", bits)).join(asked, "_b", "left_semi")
     before = _before(("_b",), "pos")
     first = F.count("*").over(before) if weight is None else F.coalesce(F.sum(weight).over(before), F.lit(0))
     data = near.select("_b", first.alias("_v"), F.lit(0).alias("_ask"), F.col("pos").alias("_p"))

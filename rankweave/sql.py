@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from rankweave.operators.bits import BitSet
+from rankweave.operators.bits import BitSet, MultiSet
 from rankweave.operators.sequence import Sequence
 
 
@@ -35,6 +35,24 @@ def register_set(spark: SparkSession, name: str, bits: BitSet) -> None:
         _define(spark, f"{name}_{f}", f"{a} BIGINT", "BIGINT", f"coalesce({name}_try_{f}({a}), raise_error('{name}_{f}: no such position'))")
 
 
+def register_multiset(spark: SparkSession, name: str, multi: MultiSet) -> None:
+    """``<name>_rank1(i)``, ``_unique_rank1(i)``, ``_unique_rank0(i)``, ``_get(i)``, ``_select1(k)`` and ``_try_select1(k)``,
+    ``_universe_size()``, ``_num_ones()``, ``_num_unique_ones()``, ``_num_zeros()``; the counts are the view ``<name>``."""
+    multi.counts.createOrReplaceTempView(name)
+    n = f"CAST({multi.universe} AS BIGINT)"
+    below = f"FROM {name} WHERE pos < i"
+    _define(spark, f"{name}_universe_size", "", "BIGINT", n)
+    _define(spark, f"{name}_num_ones", "", "BIGINT", f"(SELECT coalesce(sum(cnt), 0) FROM {name})")
+    _define(spark, f"{name}_num_unique_ones", "", "BIGINT", f"(SELECT count(*) FROM {name})")
+    _define(spark, f"{name}_num_zeros", "", "BIGINT", f"{n} - (SELECT count(*) FROM {name})")
+    _define(spark, f"{name}_get", "i BIGINT", "BIGINT", f"(SELECT coalesce(sum(cnt), 0) FROM {name} WHERE pos = i)")
+    _define(spark, f"{name}_rank1", "i BIGINT", "BIGINT", f"(SELECT coalesce(sum(cnt), 0) {below})")
+    _define(spark, f"{name}_unique_rank1", "i BIGINT", "BIGINT", f"(SELECT count(*) {below})")
+    _define(spark, f"{name}_unique_rank0", "i BIGINT", "BIGINT", f"least(i, {n}) - (SELECT count(*) {below})")
+    _define(spark, f"{name}_try_select1", "k BIGINT", "BIGINT", f"(SELECT max(pos) FROM (SELECT pos, cnt, sum(cnt) OVER (ORDER BY pos) AS upto FROM {name}) WHERE upto - cnt <= k AND k < upto)")
+    _define(spark, f"{name}_select1", "k BIGINT", "BIGINT", f"coalesce({name}_try_select1(k), raise_error('{name}_select1: no such position'))")
+
+
 def register_sequence(spark: SparkSession, name: str, sequence: Sequence) -> None:
     """``<name>_try_get(i)``, ``_count(lo, hi, symbol)``, ``_preceding_count(lo, hi, symbol)``, ``_try_select(lo, hi,
     symbol, k, ignore_bits)``, ``_try_select_last(...)``, ``_try_simple_majority(lo, hi)``, ``_max_symbol()``, each

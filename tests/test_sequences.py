@@ -8,10 +8,11 @@ import pytest
 
 from rankweave import sql
 from rankweave.functions.codes import canonical_codes, code_lengths, level_codes
-from rankweave.operators.bits import BitSet
+from rankweave.operators.bits import BitSet, MultiSet
 from rankweave.operators.contract import SymbolSequence
 from rankweave.operators.huffman import HuffmanSequence, code_table
 from rankweave.operators.sequence import Sequence
+from rankweave.operators.sizes import coded_byte_size, sequence_byte_size
 from rankweave.plans import ranking
 from rankweave.plans.boxes import in_boxes
 from rankweave.plans.index import SequenceIndex
@@ -215,3 +216,14 @@ def test_functions_of_the_session(spark):
     assert list(row) == [2, 66, 1, 68, 34, None, 70, 4, 66]
     with pytest.raises(Exception, match="no such position"):
         spark.sql("SELECT bits_select1(4)").collect()
+    sql.register_multiset(spark, "many", MultiSet(spark.createDataFrame([(3, 2), (9, 1), (40, 5)], "pos long, cnt long"), 50))
+    row = spark.sql("SELECT many_rank1(10), many_unique_rank1(10), many_unique_rank0(10), many_get(40), many_get(4), many_select1(2), many_try_select1(8), many_num_ones(), many_num_unique_ones(), many_num_zeros(), many_universe_size()").first()
+    assert list(row) == [3, 2, 8, 5, 0, 9, None, 8, 3, 47, 50]
+
+
+def test_sizes_of_planes(spark, tmp_path):
+    data = [1] * 40 + [2] * 20 + [3] * 5
+    seq = from_array(spark, data)
+    assert sequence_byte_size(Sequence.of(seq)) == 2 * 3 * 8  # 65 positions: three words a level
+    h = HuffmanSequence.build(seq, str(tmp_path / "h"))  # codes of 1, 2 and 2 bits: planes of 65 and 25
+    assert coded_byte_size(h.level_lens(), h.codes).first().asDict() == {"planes": (3 + 1) * 8, "tables": 3 * 16}
