@@ -12,7 +12,8 @@ corpus, so most are ruled out first:
    windows only. About one word in ten of an open stretch starts a representative.
 3. *Verify.* Windows that are still open are compared by 128-bit digests of their full word sequences.
 
-Each round is one shuffle by name and one join of the texts with what stays open. Hot names and windows:
+Each round is one shuffle by name and one join of the texts with what stays open; texts that surely have no
+open window are told apart before it. Hot names and windows:
 equal keys within a stretch of a task are merged before the shuffle into one evidence row, and their places
 follow as one list per text, dealt by the text, so a key arrives at most once per batch, not once per
 document. Tables are keyed by text, not by row: copies share one entry. Names have 58 bits and the
@@ -29,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankweave.llm.prefilter import perhaps
 from rankweave.llm.recompress import Represented, represent
 from rankweave.llm.scratch import Scratch, free_names
 from rankweave.llm.textcore import Piece, find_words, gram_hashes, mix, pieces, word_hashes
@@ -207,7 +209,8 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, text_col: str) -> DataFr
         if turn == len(CAPS):
             break
         again = kept.withColumnsRenamed({"t1": "o1", "t2": "o2"})
-        rows = texts.withColumn("low", F.shiftright("t2", PLACE_BITS)).join(again, (F.col("t1") == F.col("o1")) & (F.col("low") == F.col("o2")))
+        near = perhaps(texts, F.col("t1"), kept, F.col("t1"), "near").where("near").select("t1", "t2", "text")  # others are never shuffled
+        rows = near.withColumn("low", F.shiftright("t2", PLACE_BITS)).join(again, (F.col("t1") == F.col("o1")) & (F.col("low") == F.col("o2")))
         if not turn:  # texts without open windows are not shuffled again
             rows = scratch.keep(rows.select("t1", "t2", "text", "places"), "texts")
             texts = rows.drop("places")
@@ -217,12 +220,16 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, text_col: str) -> DataFr
     return kept
 
 
-def _with_starts(docs: DataFrame, text_col: str, starts: DataFrame, names: list[str]) -> DataFrame:
-    """docs with the column names[0] of window starts; names: three free names."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    at, t1, t2 = names
-    keyed = docs.withColumns({t1: F.xxhash64(text), t2: F.shiftright(F.xxhash64(F.lit("text"), text), PLACE_BITS)})
-    return keyed.join(starts.select(F.col("t1").alias(t1), F.col("t2").alias(t2), F.col("places").alias(at)), [t1, t2], "left").drop(t1, t2)
+def _with_starts(docs: DataFrame, text_col: str, starts: DataFrame, out: str) -> DataFrame:
+    """docs and the column ``out`` of window starts, null where there are none; only rows whose text may have some
+    are shuffled. Each row of docs travels in one column, so no name can clash."""
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*names).alias("row"), F.xxhash64(text).alias("t1"), F.shiftright(F.xxhash64(F.lit("text"), text), PLACE_BITS).alias("t2"))
+    rows = perhaps(rows, F.col("t1"), starts, F.col("t1"), "near")
+    found = rows.where("near").join(starts, ["t1", "t2"], "left").select("row", "places")
+    both = found.unionByName(rows.where("NOT near").select("row"), allowMissingColumns=True)
+    return both.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("places").alias(out))
 
 
 def _starts_of(column: pa.Array) -> list[np.ndarray | None]:
@@ -238,7 +245,7 @@ def removal_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     scratch = Scratch(docs.sparkSession, "substring")
     starts = repeated_windows(docs, scratch, text_col)
-    rows = _with_starts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", starts, ["starts", "t1", "t2"]).select("id", F.coalesce(F.col("text").cast("string"), F.lit("")), "starts")
+    rows = _with_starts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", starts, "starts").select("id", F.coalesce(F.col("text").cast("string"), F.lit("")), "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,8 +290,7 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     scratch = Scratch(docs.sparkSession, "substring")
     names = docs.columns
     at = names.index(text_col)
-    free = free_names(names, "starts", "t1", "t2")
-    rows = _with_starts(docs, text_col, repeated_windows(docs, scratch, text_col), free).select(*(F.col(f"`{c}`") for c in names), free[0])
+    rows = _with_starts(docs, text_col, repeated_windows(docs, scratch, text_col), free_names(names, "starts")[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,8 +8,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from rankweave.llm import minhash, substring
+from rankweave.llm import minhash, prefilter, substring
 from rankweave.llm.minhash import near_duplicates
 from rankweave.llm.recompress import represent, symbols
 from rankweave.llm.substring import cut_text, remove_repeats, removal_digests
@@ -132,6 +133,25 @@ def test_removal_equals_brute_force(request, name):
     assert got == want and any(x[2] for x in want)
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 12])
+def test_filter_rules_out_no_wanted_row(spark, monkeypatch, bits):
+    monkeypatch.setattr(prefilter, "FILTER_BITS", bits)
+    rows, wanted = spark.range(2000).select(F.col("id").alias("k"), F.lit("x").alias("text")), spark.range(0, 2000, 40)
+    got = prefilter.perhaps(rows, F.col("k"), wanted, F.col("id"), "near")
+    assert got.columns == ["k", "text", "near"] and got.count() == 2000
+    near = {r.k for r in got.where("near").collect()}
+    assert near >= set(range(0, 2000, 40)) and (bits == 64 or len(near) < 150)
+    assert prefilter.perhaps(rows, F.col("k"), wanted.limit(0), F.col("id"), "near").where("near").count() == 0
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 25])
+def test_results_do_not_depend_on_the_filter(generated, monkeypatch, bits):
+    monkeypatch.setattr(prefilter, "FILTER_BITS", bits)
+    rows = generated.collect()
+    want = Counter((r.doc_id, *x) for r, x in zip(rows, brute_removal([r.text for r in rows]), strict=True))
+    assert Counter(tuple(r) for r in removal_digests(generated).collect()) == want
+
+
 def test_removal_of_nothing(none, spark):
     assert removal_digests(none).count() == 0
     one = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
