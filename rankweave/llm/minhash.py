@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from rankweave.llm.components import connected_components
 from rankweave.llm.minhash_kernel import band_keys, probe_order, set_fingerprints, shingle_sets, signatures
+from rankweave.llm.prefilter import perhaps
 from rankweave.llm.scratch import Scratch
 from rankweave.llm.textcore import pieces
 
@@ -194,7 +195,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     hubs = scratch.keep(hubs.select("key", "hub"), "hubs")  # a table of its own: a join with it can split hot keys
     seats = scratch.keep(seats.join(hubs, "key").select("key", "id", "n", F.col("id").alias("comp"), F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.id").alias("hub_comp")), "seats-0")
     wanted = seats.select("id").distinct()
-    sets = scratch.keep(texts.join(wanted, "id", "left_semi").mapInArrow(_set_pass(width), "id long, s array<long>"), "sets")
+    near = perhaps(texts, F.col("id"), wanted, F.col("id"), "near").where("near").select("id", "text")  # most others are never shuffled
+    sets = scratch.keep(near.join(wanted, "id", "left_semi").mapInArrow(_set_pass(width), "id long, s array<long>"), "sets")
     scratch.release()
 
     forest, tested = None, None
