@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.llm.mixing import word_count
+from rankweave.llm.prefilter import perhaps
 from rankweave.llm.scratch import Scratch
 from rankweave.llm.textcore import LOWER, Piece, find_words, mix, pieces, word_hashes
 
@@ -46,8 +47,6 @@ MARKED = (1 << HASH_BITS) - 1
 #: Features that a task counts before it hands them on.
 HELD = 500_000
 BLOCK = 64
-#: Bits of the table that rules texts without labels out before they are shuffled (4 MB).
-FILTER_BITS = 1 << 25
 
 _PUNCT = np.zeros(256, dtype=bool)
 _PUNCT[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
@@ -105,16 +104,6 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), words], names=["id", "digest", "text"])
 
 
-def _perhaps(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of texts whose id is in wanted, and a few others: by a table of FILTER_BITS bits, set by hashes of the
-    wanted ids, so that most other texts are never shuffled. It has at most FILTER_BITS / 64 rows, hence the
-    broadcast is bounded; with very many wanted ids it merely lets more rows through."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    word, bit = F.shiftright(slot, 6).alias("word"), slot.bitwiseAND(F.lit(63)).cast("int")
-    held = wanted.groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("held"))
-    return texts.withColumn("word", word).join(F.broadcast(held), "word").where(F.getbit("held", bit) == 1).select("id", "text")
-
-
 def word_features(piece: Piece, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(table, back, starts, ends, first): hashed features of each distinct word, then MARKED where one of them is
     in the sorted marks; 0: none. back: the row of each word in table."""
@@ -409,7 +398,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, learn_from: Column, id_col:
         n = known.agg(F.count("*").alias("n"), F.sum("y").alias("bad")).first()
         counts = [(r.y, r.scales, r.n) for r in distinct.groupBy("y", "scales").agg(F.count("*").alias("n")).collect()]
         size = lambda y, rest: sum(n for z, scales, n in counts if z == y and not (rest and scales))
-        near = _perhaps(texts.where(F.col("text").isNotNull()), distinct)
+        near = perhaps(texts.where(F.col("text").isNotNull()), F.col("id"), distinct, F.col("id"), "near").where("near")  # most others are never shuffled
         kinds = near.select("id", F.md5("text").alias("digest"), "text").mapInArrow(_distinct_words, "id long, digest string, text binary")
         labelled = kinds.join(distinct, ["id", "digest"])
         marks, marks_rest = find_marks(labelled, dict(zip(SUMS, (size(1, False), size(0, False), size(1, True), size(0, True)), strict=True)))
