@@ -48,6 +48,11 @@ def free_names(taken: list[str], *stems: str) -> list[str]:
     return out
 
 
+#: On a local file system every file gets a checksum file beside it, and Hadoop launches a process for each of the two.
+#: Scratch files need no checksum file; other file systems do not look at these options.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 class Scratch:
     """Named Parquet tables of one operator run under a fresh folder of the shared root."""
 
@@ -65,7 +70,7 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and return a reader of what was written."""
         path = f"{self.base}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").options(compression="zstd", **PLAIN_FILES).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
