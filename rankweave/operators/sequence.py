@@ -47,8 +47,13 @@ class Sequence:
     def _rev(self, symbol: Column) -> Column:
         return reverse_low_bits(symbol, self.levels)
 
-    def _histogram(self, queries: DataFrame) -> DataFrame:
-        return in_ranges(self.seq, queries.select("qid", "lo", "hi")).groupBy("qid", "sym").agg(F.count("*").alias("cnt"))
+    def _histogram(self, queries: DataFrame, also: Column | None = None) -> DataFrame:
+        return in_ranges(self.seq, queries.select("qid", "lo", "hi"), also=also).groupBy("qid", "sym").agg(F.count("*").alias("cnt"))
+
+    @property
+    def _whole(self) -> Column:
+        """Whether the symbol holds the row's coordinates in full: sequences of points may have a column ``whole``."""
+        return F.col("whole") if "whole" in self.seq.columns else F.lit(True)
 
     # -- single values ------------------------------------------------------------------------------
 
@@ -220,11 +225,12 @@ class Sequence:
         return got.select("qid", "bucket", F.greatest("cnt", F.lit(0)).alias("cnt"))
 
     def box_counts(self, ranges: DataFrame, boxes: DataFrame, dims: int) -> DataFrame:
-        """``(qid, box, cnt)``: points (Morton symbols) of each range in each box, given by corner codes."""
+        """``(qid, box, cnt)``: points (Morton symbols) of each range in each box, given by corner codes. Points
+        whose codes lost high bits lie in no box."""
         decode = decode2 if dims == 2 else decode3
         names = "xyz"[:dims]
         flat = boxes.select("box", *[c.alias(f"{n}0") for n, c in zip(names, decode(F.col("low")), strict=True)], *[c.alias(f"{n}1") for n, c in zip(names, decode(F.col("high")), strict=True)])
-        points = self._histogram(ranges).select("qid", "cnt", *[c.alias(n) for n, c in zip(names, decode(F.col("sym")), strict=True)])
+        points = self._histogram(ranges, self._whole).select("qid", "cnt", *[c.alias(n) for n, c in zip(names, decode(F.col("sym")), strict=True)])
         got = in_boxes(points, flat, names).groupBy("qid", "box").agg(F.sum("cnt").alias("cnt"))
         return ranges.select("qid").join(checked_broadcast(boxes.select("box"))).join(got, ["qid", "box"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
 
@@ -267,5 +273,7 @@ def counts_arrays(counts: DataFrame) -> DataFrame:
 
 
 def morton_sequence(points: DataFrame) -> DataFrame:
-    """``(pos, sym)`` with the two-dimensional codes of ``points(pos, x, y)`` as symbols."""
-    return points.select("pos", encode2(F.col("x"), F.col("y")).alias("sym"))
+    """``(pos, sym, whole)`` with the two-dimensional codes of ``points(pos, x, y)`` as symbols; not whole are points
+    with a coordinate of more than 16 bits, whose codes lack the high ones."""
+    fits = F.col("x").between(0, 0xFFFF) & F.col("y").between(0, 0xFFFF)
+    return points.select("pos", encode2(F.col("x"), F.col("y")).alias("sym"), fits.alias("whole"))

@@ -11,7 +11,7 @@ from rankweave.functions.codes import canonical_codes, code_lengths, level_codes
 from rankweave.operators.bits import BitSet, MultiSet
 from rankweave.operators.contract import SymbolSequence
 from rankweave.operators.huffman import HuffmanSequence, code_table
-from rankweave.operators.sequence import Sequence
+from rankweave.operators.sequence import Sequence, morton_sequence
 from rankweave.operators.sizes import coded_byte_size, sequence_byte_size
 from rankweave.plans import ranking
 from rankweave.plans.boxes import in_boxes
@@ -202,6 +202,19 @@ def test_points_in_boxes(spark):
     assert [(r.id, r.box) for r in got.orderBy("id", "box").collect()] == sorted(want)
 
 
+def test_points_beyond_16_bits_lie_in_no_box(spark):
+    wide = 1 << 16
+    points = [(3, 5), (wide + 3, 5), (3, 5), (3, wide + 5), (65535, 65535), (wide, wide), (3, 5), (1, 0)]
+    s = Sequence.of(morton_sequence(spark.createDataFrame([(k, *p) for k, p in enumerate(points)], "pos long, x long, y long")))
+    boxes = {0: (0, 0, 65535, 65535), 1: (2, 2, 4, 6), 2: (0, 0, 1, 1)}
+    code = lambda x, y: sum((x >> i & 1) << 2 * i | (y >> i & 1) << 2 * i + 1 for i in range(16))
+    corners = spark.createDataFrame([(b, code(x0, y0), code(x1, y1)) for b, (x0, y0, x1, y1) in boxes.items()], "box long, low long, high long")
+    ranges = [(0, 8), (1, 6), (2, 7), (3, 4)]
+    inside = {(q, b): [k for k in range(lo, hi) if x0 <= points[k][0] <= x1 and y0 <= points[k][1] <= y1] for q, (lo, hi) in enumerate(ranges) for b, (x0, y0, x1, y1) in boxes.items()}
+    q = asks(spark, ranges, ("lo", "hi"))
+    assert {(r.qid, r.box): r.cnt for r in s.box_counts(q, corners, 2).collect()} == {key: len(held) for key, held in inside.items()}
+
+
 def test_functions_of_the_session(spark):
     data = [1, 3, 3, 2, 7]
     sql.register_sequence(spark, "demo", Sequence.of(from_array(spark, data)))
