@@ -154,11 +154,17 @@ class Sequence:
         meets = (node <= F.col("s_hi")) & (node + F.call_function("shiftleft", F.lit(1).cast("long"), b.cast("int")) > F.col("s_lo"))
         return self._intervals(q, meets)
 
-    def _intervals(self, q: DataFrame, meets: Column) -> DataFrame:
+    def _intervals(self, q: DataFrame, meets: Column, gaps: bool = False) -> DataFrame:
+        """Intervals of the nodes of each range; gaps: rows of one node may meet or not, so the interval ends with the last that does."""
         node = _cleared(F.col("sym"), F.col("ignore_bits"))
-        seen = in_ranges(self.seq, q, also=meets).groupBy("qid", "lo", "ignore_bits", node.alias("node")).agg(F.count("*").alias("cnt"))
+        seen = in_ranges(self.seq, q, also=meets).groupBy("qid", "lo", "ignore_bits", node.alias("node"))
         bases = with_ordinal(self._nodes(self._bits_of(q)), self._span, keys=("ignore_bits",), pos="r", weight="c", out="base").select("ignore_bits", "node", "base")
-        placed = self._ranks(seen, "lo", "rank").join(bases, ["ignore_bits", "node"])
+        if gaps:
+            ends = seen.agg(F.array(F.min("pos"), F.max("pos")).alias("_e")).select("qid", "ignore_bits", "node", F.explode("_e").alias("at"))
+            ranks = self._ranks(ends, "at", "rank").groupBy("qid", "ignore_bits", "node").agg(F.min("rank").alias("rank"), (F.max("rank") - F.min("rank") + 1).alias("cnt"))
+        else:
+            ranks = self._ranks(seen.agg(F.count("*").alias("cnt")), "lo", "rank")
+        placed = ranks.join(bases, ["ignore_bits", "node"])
         start = F.col("base") + F.col("rank")
         return placed.select("qid", F.col("node").alias("symbol"), start.alias("start"), (start + F.col("cnt")).alias("end"))
 
@@ -235,10 +241,14 @@ class Sequence:
         return ranges.select("qid").join(checked_broadcast(boxes.select("box"))).join(got, ["qid", "box"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
 
     def box_intervals(self, queries: DataFrame) -> DataFrame:
-        """``counts`` with a two-dimensional box (corner codes ``low, high``) as the extent, whole symbols only."""
+        """``counts`` with a two-dimensional box (corner codes ``low, high``) as the extent, whole symbols only.
+
+        A symbol may also stand for points whose codes lost high bits: they keep their places on the lowest level
+        but lie in no box, so an interval goes from the first to the last point that the box holds.
+        """
         (x, y), (x0, y0), (x1, y1) = decode2(F.col("sym")), decode2(F.col("low")), decode2(F.col("high"))
         q = queries.select("qid", "lo", "hi", F.lit(0).alias("ignore_bits"), "low", "high")
-        return self._intervals(q, x.between(x0, x1) & y.between(y0, y1))
+        return self._intervals(q, x.between(x0, x1) & y.between(y0, y1) & self._whole, gaps="whole" in self.seq.columns)
 
 
 def plane_bits(coded: DataFrame, top: int, length: int) -> DataFrame:

@@ -213,6 +213,11 @@ def test_points_beyond_16_bits_lie_in_no_box(spark):
     inside = {(q, b): [k for k in range(lo, hi) if x0 <= points[k][0] <= x1 and y0 <= points[k][1] <= y1] for q, (lo, hi) in enumerate(ranges) for b, (x0, y0, x1, y1) in boxes.items()}
     q = asks(spark, ranges, ("lo", "hi"))
     assert {(r.qid, r.box): r.cnt for r in s.box_counts(q, corners, 2).collect()} == {key: len(held) for key, held in inside.items()}
+    # cut codes keep their places among equal ones
+    order = sorted(range(8), key=lambda k: (reverse(code(*points[k]), 32), k))
+    got = s.box_intervals(q.join(corners.where("box = 1").select("low", "high"))).collect()
+    want = {(k, code(3, 5)): [order.index(p) for p in inside[k, 1]] for k in range(4) if inside[k, 1]}
+    assert {(r.qid, r.symbol): (r.start, r.end) for r in got} == {key: (min(at), max(at) + 1) for key, at in want.items()}
 
 
 def test_functions_of_the_session(spark):
