@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from rankweave.functions.bitmath import select_in_word
 from rankweave.functions.codes import grouped_code_lengths
-from rankweave.operators.sequence import Sequence, plane_bits, plane_words
+from rankweave.operators.sequence import Sequence, coded_words
 from rankweave.plans.index import SequenceIndex
 from rankweave.plans.ranking import checked_broadcast, latest, with_ordinal
 from rankweave.sources.scratch import scratch_folder
@@ -121,7 +121,7 @@ class HuffmanSequence:
         lens = level_lens(codes)
         total = codes.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("n")).first().n
         coded = seq.join(codes.select(F.col("symbol").alias("sym"), F.col("padded").alias("code"), "len"), "sym").select("pos", "code", "len")
-        words = plane_words(plane_bits(coded, len(lens), total), total)
+        words = coded_words(coded, len(lens), total)
         words.repartitionByRange("level", "block").sortWithinPartitions("level", "block").write.partitionBy("level").mode("overwrite").parquet(f"{path}/planes")
         return cls(codes, SequenceIndex.read(seq.sparkSession, f"{path}/planes", total, lens))
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from rankweave.functions.bitmath import num_levels, reverse_low_bits
 from rankweave.functions.zorder import decode2, decode3, encode2
 from rankweave.plans.boxes import in_boxes
+from rankweave.plans.planes import packed_planes
 from rankweave.plans.ranking import checked_broadcast, count_below, in_ranges, kth_in_order, latest, running_blocks, with_ordinal
 
 
@@ -210,14 +211,19 @@ class Sequence:
         own = held.select("qid", "ignore_bits", F.col("node").alias("symbol"), (F.col("k") - F.col("base")).alias("k"), F.lit(0).cast("long").alias("lo"), F.lit(self.length).cast("long").alias("hi"))
         return queries.select("qid").join(self.select(own), "qid", "left")
 
+    def _coded(self) -> DataFrame:
+        return self.seq.select("pos", F.col("sym").alias("code"), F.lit(self.levels).alias("len"))
+
     def level_bits(self) -> DataFrame:
         """``(level, idx, bit)``: every level's bit plane, top level first."""
-        return plane_bits(self.seq.select("pos", F.col("sym").alias("code"), F.lit(self.levels).alias("len")), self.levels, self.length)
+        words = packed_planes(self._coded(), self.levels).select("level", (F.col("block") * 32).alias("_at"), "word", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("_i"))
+        bit = F.call_function("shiftright", F.col("word"), F.col("_i")).bitwiseAND(F.lit(1))
+        return words.select("level", (F.col("_at") + F.col("_i")).alias("idx"), bit.alias("bit")).where(F.col("idx") < self.length)
 
     def level_words(self) -> DataFrame:
         """``(level, block, word, rank1)``: the bit planes in words of 32 bits, with the ones before each word
         in its level - the layout that a persisted index keeps (one row per 32 bits)."""
-        return plane_words(self.level_bits(), self.length)
+        return coded_words(self._coded(), self.levels, self.length)
 
     # -- symbol ranges and boxes ----------------------------------------------------------------------
 
@@ -251,28 +257,21 @@ class Sequence:
         return self._intervals(q, x.between(x0, x1) & y.between(y0, y1) & self._whole, gaps="whole" in self.seq.columns)
 
 
-def plane_bits(coded: DataFrame, top: int, length: int) -> DataFrame:
-    """``(level, idx, bit)`` of ``coded(pos, code, len)``: codes have ``top`` bits, of which the first ``len`` count;
-    a level holds the rows whose codes reach it.
-
-    A level is ordered by the reversed higher bits, then position; ordinals are taken per (level,
-    prefix) and block, and shifted by the sizes of the prefixes before.
-    """
-    rows = coded.where("len > 0").withColumn("level", F.explode(F.sequence(F.lit(0), (F.col("len") - 1).cast("int"))))
-    prefix = F.call_function("shiftright", F.col("code"), (F.lit(top) - F.col("level")).cast("int")) if top < 64 else F.col("code")
-    bit = F.call_function("shiftright", F.col("code"), (F.lit(top - 1) - F.col("level")).cast("int")).bitwiseAND(F.lit(1))
-    rows = rows.select("level", "pos", prefix.alias("prefix"), bit.alias("bit"))
-    placed = with_ordinal(rows, length, keys=("level", "prefix"))
-    # reversing within all levels keeps the order: shorter prefixes only gain equal zeros
-    sizes = rows.groupBy("level", "prefix").agg(F.count("*").alias("_c")).withColumn("_b", reverse_low_bits(F.col("prefix"), max(top, 1)))
-    bases = running_blocks(sizes, ("level",), 1 << top).select("level", "prefix", F.coalesce("_s", F.lit(0)).alias("base"))
-    return placed.join(bases, ["level", "prefix"]).select(F.col("level").cast("long").alias("level"), (F.col("base") + F.col("ordinal")).alias("idx"), "bit")
+def coded_words(coded: DataFrame, top: int, length: int) -> DataFrame:
+    """``(level, block, word, rank1)`` of ``coded(pos, code, len)``: codes have ``top`` bits, of which the first ``len``
+    count; a level holds the rows whose codes reach it, ordered by the reversed higher bits, then position."""
+    words = packed_planes(coded, top).select("level", F.col("block").alias("_b"), "word", F.col("ones").alias("_c"))
+    return _ranked_words(words, length)
 
 
 def plane_words(bits: DataFrame, length: int) -> DataFrame:
     """``(level, block, word, rank1)`` of ``bits(level, idx, bit)``: words of 32 bits and the ones before each."""
     bit = F.call_function("shiftleft", F.col("bit"), F.col("idx").bitwiseAND(F.lit(31)).cast("int"))
     words = bits.groupBy("level", F.shiftright("idx", 5).alias("_b")).agg(F.sum(bit).alias("word"), F.sum("bit").alias("_c"))
+    return _ranked_words(words, length)
+
+
+def _ranked_words(words: DataFrame, length: int) -> DataFrame:
     return running_blocks(words, ("level",), length >> 5).select("level", F.col("_b").alias("block"), "word", F.coalesce("_s", F.lit(0)).alias("rank1"))
 
 

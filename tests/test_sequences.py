@@ -13,9 +13,10 @@ from rankweave.operators.contract import SymbolSequence
 from rankweave.operators.huffman import HuffmanSequence, code_table
 from rankweave.operators.sequence import Sequence, morton_sequence
 from rankweave.operators.sizes import coded_byte_size, sequence_byte_size
-from rankweave.plans import ranking
+from rankweave.plans import planes, ranking
 from rankweave.plans.boxes import in_boxes
 from rankweave.plans.index import SequenceIndex
+from rankweave.sources.scratch import scratch_folder
 from rankweave.sources.tables import from_array
 
 
@@ -123,6 +124,42 @@ def test_index_descent(spark, tmp_path):
         assert got == {i: (sum(x < y for x in data[a:b]), data[a:b].count(y)) for i, (a, b, _, y) in enumerate(rows)}
 
 
+def shuffled_rows(spark, run):
+    """Rows that all shuffles of a job write."""
+    sc, jvm = spark.sparkContext, spark._jvm
+
+    def stages():
+        found = sc._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {found.apply(k).stageId(): found.apply(k).shuffleWriteRecords() for k in range(found.size())}
+
+    known = stages()
+    run()
+    return sum(n for k, n in stages().items() if k not in known)
+
+
+def test_planes_in_chunks_and_passes(spark, monkeypatch):
+    """Chunks of 16 places and passes of three levels, one symbol in most rows, codes that end early."""
+    monkeypatch.setattr(planes, "CHUNK_BITS", 4)
+    monkeypatch.setattr(planes, "DIGIT_BITS", 3)
+    rng = random.Random(8)
+    data = [rng.choice([5, 5, 5, rng.randrange(200)]) for _ in range(333)]
+    s = Sequence.of(from_array(spark, data))
+    want = naive_planes(data, 8)
+    bits = {(r.level, r.idx): r.bit for r in s.level_bits().collect()}
+    assert bits == {(k, i): b for k, plane in enumerate(want) for i, b in enumerate(plane)}
+    words = {(r.level, r.block): (r.word, r.rank1) for r in s.level_words().collect()}
+    assert words == {(k, b): (sum(x << i for i, x in enumerate(plane[32 * b : 32 * b + 32])), sum(plane[: 32 * b])) for k, plane in enumerate(want) for b in range(11)}
+    h = HuffmanSequence.build(s.seq, scratch_folder(spark, "chunked"))
+    assert column(h.get(asks(spark, [(i,) for i in range(333)], ("at",))), "sym") == data
+
+
+def test_planes_shuffle_a_symbol_once_a_pass(spark):
+    rows = spark.range(20_000).selectExpr("id AS pos", "pmod(xxhash64(id), 1000) AS sym")
+    s = Sequence.of(rows)
+    # 10 levels: a row per symbol, its digits, the words and their parts; not a row per symbol and level
+    assert shuffled_rows(spark, lambda: s.level_words().write.format("noop").mode("overwrite").save()) < 4 * 20_000
+
+
 def test_index_from_planes_and_back(spark, tmp_path):
     data = [1, 3, 3, 2, 7, 0, 5] * 10
     planes = [BitSet(spark.createDataFrame([(k,) for k, r in enumerate(rows) if r], "pos long"), len(data)) for rows in naive_planes(data, 3)]
