@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from rankweave.operators.bits import BitSet
 from rankweave.operators.sequence import Sequence, plane_words
+from rankweave.plans.ranking import is_small
 
 
 @dataclass
@@ -65,15 +66,27 @@ class SequenceIndex:
         """``(block, word, rank1)`` of one level."""
         return self.words.where(F.col("level") == level).select("block", "word", "rank1")
 
-    def ranks(self, state: DataFrame, level: int) -> DataFrame:
-        """state with ``r_lo, r_hi``: ones of the level below each end."""
+    def ranks(self, state: DataFrame, level: int, few: bool = False) -> DataFrame:
+        """state with ``r_lo, r_hi``: ones of the level below each end.
+
+        few: state is small and travels to the words (every end then asks a word that is there), which are neither
+        shuffled nor gathered.
+        """
         words = self.level(level)
         ones = self.lens[level] - self.zeros[level]
+        few = few and self.lens[level] > 0
         for end in ("lo", "hi"):
             found = words.select(F.col("block").alias("_b"), F.col("word").alias("_w"), F.col("rank1").alias("_r"))
             below = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(end).bitwiseAND(F.lit(31)).cast("int")) - 1
-            rank = F.coalesce(F.col("_r") + F.bit_count(F.col("_w").bitwiseAND(below)), F.lit(ones)).cast("long")
-            state = state.withColumn("_b", F.shiftright(end, 5)).join(found, "_b", "left").withColumn(f"r_{end}", rank).drop("_b", "_w", "_r")
+            rank = F.col("_r") + F.bit_count(F.col("_w").bitwiseAND(below))
+            block = F.shiftright(end, 5)
+            if few:
+                held = F.coalesce((F.col(end) >= 0) & (F.col(end) < self.lens[level]), F.lit(False))
+                state = F.broadcast(state.withColumn("_b", F.when(held, block).otherwise(F.lit(0)).cast("long"))).join(found, "_b")
+                rank = F.when(held, rank)
+            else:
+                state = state.withColumn("_b", block).join(found, "_b", "left")
+            state = state.withColumn(f"r_{end}", F.coalesce(rank, F.lit(ones)).cast("long")).drop("_b", "_w", "_r")
         return state
 
     def turn(self, state: DataFrame, level: int, right: Column, on: Column | None = None) -> DataFrame:
@@ -96,8 +109,9 @@ class SequenceIndex:
         """``(qid, k, symbol, cnt)`` for ``queries(qid, lo, hi, k)``, as ``Sequence.quantile``."""
         end = F.least("hi", F.lit(self.length))
         state = queries.select("qid", F.col("k").alias("asked"), "lo", end.alias("hi"), "k", F.lit(0).cast("long").alias("symbol")).where("k >= 0 AND k < hi - lo")
+        few = is_small(queries)
         for level in range(self.levels):
-            state = self.ranks(state, level)
+            state = self.ranks(state, level, few)
             zeros = (F.col("hi") - F.col("r_hi")) - (F.col("lo") - F.col("r_lo"))
             state = state.withColumn("_right", F.col("k") >= zeros)
             state = state.withColumns({"k": F.when(F.col("_right"), F.col("k") - zeros).otherwise(F.col("k")), "symbol": F.col("symbol") + F.when(F.col("_right"), F.lit(1 << (self.levels - 1 - level))).otherwise(0)})

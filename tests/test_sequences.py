@@ -160,6 +160,21 @@ def test_planes_shuffle_a_symbol_once_a_pass(spark):
     assert shuffled_rows(spark, lambda: s.level_words().write.format("noop").mode("overwrite").save()) < 4 * 20_000
 
 
+def test_few_questions_travel_to_the_words(spark, tmp_path):
+    """Words of the index are neither shuffled nor gathered for a few questions, whatever their size."""
+    data = [k * k % 11 for k in range(64)]
+    index = SequenceIndex.build(Sequence.of(from_array(spark, data)), str(tmp_path / "few"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        q = asks(spark, [(0, 64, 3, 5), (32, 64, 0, 0), (7, 31, 20, 9), (64, 64, 0, 3)], ("lo", "hi", "k", "symbol"))
+        for got in (index.quantile(q),):
+            assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        assert {r.qid: r.symbol for r in index.quantile(q).collect()} == {0: sorted(data)[3], 1: 0, 2: sorted(data[7:31])[20]}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_index_from_planes_and_back(spark, tmp_path):
     data = [1, 3, 3, 2, 7, 0, 5] * 10
     planes = [BitSet(spark.createDataFrame([(k,) for k, r in enumerate(rows) if r], "pos long"), len(data)) for rows in naive_planes(data, 3)]
