@@ -168,9 +168,10 @@ def test_few_questions_travel_to_the_words(spark, tmp_path):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         q = asks(spark, [(0, 64, 3, 5), (32, 64, 0, 0), (7, 31, 20, 9), (64, 64, 0, 3)], ("lo", "hi", "k", "symbol"))
-        for got in (index.quantile(q),):
+        for got in (index.quantile(q), index.count(q)):
             assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
         assert {r.qid: r.symbol for r in index.quantile(q).collect()} == {0: sorted(data)[3], 1: 0, 2: sorted(data[7:31])[20]}
+        assert column(index.count(q), "cnt") == [data.count(5), data[32:].count(0), data[7:31].count(9), 0]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
