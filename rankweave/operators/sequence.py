@@ -216,7 +216,7 @@ class Sequence:
 
     def level_bits(self) -> DataFrame:
         """``(level, idx, bit)``: every level's bit plane, top level first."""
-        words = packed_planes(self._coded(), self.levels).select("level", (F.col("block") * 32).alias("_at"), "word", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("_i"))
+        words = packed_planes(self._coded(), self.levels, self.length).select("level", (F.col("block") * 32).alias("_at"), "word", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("_i"))
         bit = F.call_function("shiftright", F.col("word"), F.col("_i")).bitwiseAND(F.lit(1))
         return words.select("level", (F.col("_at") + F.col("_i")).alias("idx"), bit.alias("bit")).where(F.col("idx") < self.length)
 
@@ -260,7 +260,7 @@ class Sequence:
 def coded_words(coded: DataFrame, top: int, length: int) -> DataFrame:
     """``(level, block, word, rank1)`` of ``coded(pos, code, len)``: codes have ``top`` bits, of which the first ``len``
     count; a level holds the rows whose codes reach it, ordered by the reversed higher bits, then position."""
-    words = packed_planes(coded, top).select("level", F.col("block").alias("_b"), "word", F.col("ones").alias("_c"))
+    words = packed_planes(coded, top, length).select("level", F.col("block").alias("_b"), "word", F.col("ones").alias("_c"))
     return _ranked_words(words, length)
 
 

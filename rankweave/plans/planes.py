@@ -4,7 +4,9 @@ A level of the planes is ordered by the reversed higher bits, then position, so
 stably by one bit, and a level j lower is dealt by j bits. Levels are made in passes of at most DIGIT_BITS: the
 places of the pass's first level are cut into chunks, counts of digits give where each chunk's share of each
 digit begins on every level of the pass, and a task deals its chunk level by level and hands on whole words.
-Each pass shuffles a row per symbol once, by chunks of equal size whatever the symbols are.
+Each pass shuffles a row per symbol once, by chunks of equal size whatever the symbols are. How many tasks deal
+chunks or take words follows from the length, not from the session's partitions or cores, so that a task's
+share does not grow with the sequence.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ from pyspark.sql import functions as F
 from rankweave.functions.bitmath import reverse_low_bits
 from rankweave.sources.scratch import scratch_folder
 
-#: log2 of the places in a chunk.
+#: log2 of the places in a chunk; there are as many tasks as chunks.
 CHUNK_BITS = 18
+#: log2 of the words that a task takes on average where words are merged, ranked or written.
+WORD_BITS = 18
 #: Levels of one pass at most.
 DIGIT_BITS = 10
 
@@ -28,9 +32,15 @@ DIGIT_BITS = 10
 OUT = "level int, a long, b long, c long"
 
 
-def packed_planes(coded: DataFrame, top: int) -> DataFrame:
+def word_tasks(levels: int, length: int) -> int:
+    """Tasks for the words of so many levels."""
+    return (levels * (length >> 5) >> WORD_BITS) + 1
+
+
+def packed_planes(coded: DataFrame, top: int, length: int) -> DataFrame:
     """``(level, block, word, ones)`` of ``coded(pos, code, len)``, top level first: codes have ``top`` bits, of which
-    the first ``len`` count; a level holds the rows whose codes reach it. Words have 32 bits."""
+    the first ``len`` count; a level holds the rows whose codes reach it. Words have 32 bits; there are ``length``
+    positions."""
     spark = coded.sparkSession
     folder = scratch_folder(spark, "planes")
     passes = max(-(-top // DIGIT_BITS), 1)
@@ -38,17 +48,18 @@ def packed_planes(coded: DataFrame, top: int) -> DataFrame:
     made = []
     for k in range(passes):
         first, end = top * k // passes, top * (k + 1) // passes
-        _pass(rows, top, first, end - first).write.parquet(f"{folder}/{k}")
+        _pass(rows, top, first, end - first, (length >> CHUNK_BITS) + 1).write.parquet(f"{folder}/{k}")
         made.append(spark.read.schema(OUT).parquet(f"{folder}/{k}"))
         rows = made[-1].where("level = -1").select(F.col("a").alias("idx"), F.col("b").alias("code"), F.col("c").cast("int").alias("len"))
     words = made[0]
     for more in made[1:]:
         words = words.unionAll(more)
     # a word at the border of two shares comes in parts
-    return words.where("level >= 0").groupBy(F.col("level").cast("long").alias("level"), F.col("a").alias("block")).agg(F.sum("b").alias("word"), F.sum("c").alias("ones"))
+    parts = words.where("level >= 0").select(F.col("level").cast("long").alias("level"), F.col("a").alias("block"), "b", "c").repartition(word_tasks(top, length), "level", "block")
+    return parts.groupBy("level", "block").agg(F.sum("b").alias("word"), F.sum("c").alias("ones"))
 
 
-def _pass(rows: DataFrame, top: int, first: int, width: int) -> DataFrame:
+def _pass(rows: DataFrame, top: int, first: int, width: int, tasks: int) -> DataFrame:
     """Words of levels first to first + width - 1, and the rows that go on, from rows(idx, code, len) placed on level first."""
     chunk = F.shiftright("idx", CHUNK_BITS).alias("chunk")
     digit = reverse_low_bits(F.shiftright("code", top - first - width), max(width, 1)) if width else F.lit(0).cast("long")
@@ -60,7 +71,7 @@ def _pass(rows: DataFrame, top: int, first: int, width: int) -> DataFrame:
     before = lambda keys, order: F.coalesce(F.sum("c").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     values = shares.groupBy("j", "v").agg(F.sum("c").alias("c")).select("j", "v", before(["j"], "v").alias("_v"))
     bases = shares.withColumn("_c", before(["j", "v"], "chunk")).join(values, ["j", "v"]).select("chunk", "j", "v", (F.col("_v") + F.col("_c")).alias("base"))
-    return rows.select(chunk, "idx", "code", "len").groupBy("chunk").cogroup(bases.groupBy("chunk")).applyInArrow(_dealer(top, first, width), OUT)
+    return rows.select(chunk, "idx", "code", "len").repartition(tasks, "chunk").groupBy("chunk").cogroup(bases.groupBy("chunk")).applyInArrow(_dealer(top, first, width), OUT)
 
 
 def _dealer(top: int, first: int, width: int) -> Callable[[pa.Table, pa.Table], pa.Table]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from rankweave import sql
 from rankweave.functions.codes import canonical_codes, code_lengths, level_codes
@@ -160,6 +161,25 @@ def test_planes_shuffle_a_symbol_once_a_pass(spark):
     assert shuffled_rows(spark, lambda: s.level_words().write.format("noop").mode("overwrite").save()) < 4 * 20_000
 
 
+def test_tasks_of_planes_follow_the_length(spark, monkeypatch, tmp_path):
+    """One partition in the session, and more in the plan: a task deals a few chunks and merges a few words only."""
+    monkeypatch.setattr(planes, "CHUNK_BITS", 4)
+    monkeypatch.setattr(planes, "WORD_BITS", 3, raising=False)
+    monkeypatch.setattr(planes, "scratch_folder", lambda *_: str(tmp_path))
+    data = [k * k % 200 for k in range(640)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        bits = Sequence.of(from_array(spark, data)).level_bits()
+        assert len(list(tmp_path.glob("0/*.parquet"))) > 10  # files of tasks that have some of the 40 chunks
+        merged = bits.select("level", "idx", "bit", F.spark_partition_id().alias("task")).toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert merged.groupby("task").size().max() < len(merged) / 4
+    planned = {(r.level, r.idx): r.bit for r in merged.itertuples()}
+    assert planned == {(k, i): b for k, plane in enumerate(naive_planes(data, 8)) for i, b in enumerate(plane)}
+
+
 def test_few_questions_travel_to_the_words(spark, tmp_path):
     """Words of the index are neither shuffled nor gathered for a few questions, whatever their size."""
     data = [k * k % 11 for k in range(64)]
