@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from rankweave.functions.bitmath import num_levels, reverse_low_bits
 from rankweave.functions.zorder import decode2, decode3, encode2
 from rankweave.plans.boxes import in_boxes
-from rankweave.plans.planes import packed_planes
+from rankweave.plans.planes import packed_planes, word_tasks
 from rankweave.plans.ranking import checked_broadcast, count_below, in_ranges, kth_in_order, latest, running_blocks, with_ordinal
 
 
@@ -261,18 +261,18 @@ def coded_words(coded: DataFrame, top: int, length: int) -> DataFrame:
     """``(level, block, word, rank1)`` of ``coded(pos, code, len)``: codes have ``top`` bits, of which the first ``len``
     count; a level holds the rows whose codes reach it, ordered by the reversed higher bits, then position."""
     words = packed_planes(coded, top, length).select("level", F.col("block").alias("_b"), "word", F.col("ones").alias("_c"))
-    return _ranked_words(words, length)
+    return _ranked_words(words, top, length)
 
 
-def plane_words(bits: DataFrame, length: int) -> DataFrame:
+def plane_words(bits: DataFrame, levels: int, length: int) -> DataFrame:
     """``(level, block, word, rank1)`` of ``bits(level, idx, bit)``: words of 32 bits and the ones before each."""
     bit = F.call_function("shiftleft", F.col("bit"), F.col("idx").bitwiseAND(F.lit(31)).cast("int"))
     words = bits.groupBy("level", F.shiftright("idx", 5).alias("_b")).agg(F.sum(bit).alias("word"), F.sum("bit").alias("_c"))
-    return _ranked_words(words, length)
+    return _ranked_words(words, levels, length)
 
 
-def _ranked_words(words: DataFrame, length: int) -> DataFrame:
-    return running_blocks(words, ("level",), length >> 5).select("level", F.col("_b").alias("block"), "word", F.coalesce("_s", F.lit(0)).alias("rank1"))
+def _ranked_words(words: DataFrame, levels: int, length: int) -> DataFrame:
+    return running_blocks(words, ("level",), length >> 5, tasks=word_tasks(levels, length)).select("level", F.col("_b").alias("block"), "word", F.coalesce("_s", F.lit(0)).alias("rank1"))
 
 
 def counts_arrays(counts: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from rankweave.operators.bits import BitSet
 from rankweave.operators.sequence import Sequence, plane_words
+from rankweave.plans.planes import word_tasks
 from rankweave.plans.ranking import is_small
 
 
@@ -38,7 +39,7 @@ class SequenceIndex:
         """Write the index, a folder per level and each sorted by word number, so that a lookup prunes the
         files of other levels and row groups of other blocks."""
         words = sequence.level_words()
-        words.repartitionByRange("level", "block").sortWithinPartitions("level", "block").write.mode("overwrite").partitionBy("level").parquet(path)
+        cls._write(words, sequence.levels, sequence.length, path)
         return cls.read(words.sparkSession, path, sequence.length, [sequence.length] * sequence.levels)
 
     @classmethod
@@ -48,10 +49,16 @@ class SequenceIndex:
         spread = [p.ones.select(F.lit(k).cast("long").alias("level"), F.col("pos").alias("idx"), F.lit(1).cast("long").alias("bit")) for k, p in enumerate(planes)]
         # a zero at every word's first bit keeps words without ones
         spread += [p.ones.sparkSession.range(0, length, 32).select(F.lit(k).cast("long").alias("level"), F.col("id").alias("idx"), F.lit(0).cast("long").alias("bit")) for k, p in enumerate(planes)]
-        words = plane_words(reduce(DataFrame.unionAll, spread), length)
-        words.repartitionByRange("level", "block").sortWithinPartitions("level", "block").write.mode("overwrite").partitionBy("level").parquet(path)
+        words = plane_words(reduce(DataFrame.unionAll, spread), len(planes), length)
+        cls._write(words, len(planes), length, path)
         return cls.read(words.sparkSession, path, length, [length] * len(planes))
 
+    @staticmethod
+    def _write(words: DataFrame, levels: int, length: int, path: str) -> None:
+        """By as many tasks as the number of words asks for, whatever the session's partitions are."""
+        dealt = words.repartitionByRange(word_tasks(levels, length), "level", "block")
+        dealt.sortWithinPartitions("level", "block").write.mode("overwrite").partitionBy("level").parquet(path)
+
     @classmethod
     def read(cls, spark: SparkSession, path: str, length: int, lens: list[int]) -> SequenceIndex:
         if not length or not lens:

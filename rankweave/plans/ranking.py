@@ -46,16 +46,18 @@ def _before(keys: tuple[str, ...], order: str) -> Window:
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def running_blocks(blocks: DataFrame, keys: tuple[str, ...], top: int, fold: Callable[[str], Column] = F.sum) -> DataFrame:
+def running_blocks(blocks: DataFrame, keys: tuple[str, ...], top: int, fold: Callable[[str], Column] = F.sum, tasks: int | None = None) -> DataFrame:
     """``blocks(keys, _b, _c, ...)``, one row per block up to number top, with ``_s``: ``_c`` of all earlier blocks
-    of the key folded by sum or max (null where there is none)."""
+    of the key folded by sum or max (null where there is none). tasks: over so many tasks blocks of blocks are
+    dealt; the session decides if it is not given."""
     if top < MAX_BLOCKS:
         return blocks.withColumn("_s", fold("_c").over(_before(keys, "_b")))
     step = MAX_BLOCKS.bit_length() - 1
     own = blocks.withColumn("_bb", F.shiftright("_b", step))
     upper = own.groupBy(*keys, "_bb").agg(fold("_c").alias("_c")).withColumnRenamed("_bb", "_b")
     upper = running_blocks(upper, keys, top >> step, fold).select(*keys, F.col("_b").alias("_bb"), F.col("_s").alias("_us"))
-    inside = own.withColumn("_s", fold("_c").over(_before((*keys, "_bb"), "_b"))).join(upper, [*keys, "_bb"])
+    dealt = own.repartition(tasks, *keys, "_bb") if tasks else own
+    inside = dealt.withColumn("_s", fold("_c").over(_before((*keys, "_bb"), "_b"))).join(upper, [*keys, "_bb"])
     both = F.coalesce(F.col("_s") + F.col("_us"), "_s", "_us") if fold is F.sum else F.coalesce("_s", "_us")
     return inside.withColumn("_s", both).drop("_bb", "_us")
 

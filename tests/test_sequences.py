@@ -180,6 +180,28 @@ def test_tasks_of_planes_follow_the_length(spark, monkeypatch, tmp_path):
     assert planned == {(k, i): b for k, plane in enumerate(naive_planes(data, 8)) for i, b in enumerate(plane)}
 
 
+def test_tasks_of_an_index_follow_the_length(spark, monkeypatch, tmp_path):
+    """One partition in the session, and more in the plan: a task ranks and writes a few words only."""
+    monkeypatch.setattr(planes, "WORD_BITS", 3, raising=False)
+    monkeypatch.setattr(ranking, "MAX_BLOCKS", 4)
+    data = [k * k % 200 for k in range(640)]
+    settings = {"spark.sql.shuffle.partitions": "1", "spark.sql.autoBroadcastJoinThreshold": "-1"}  # tables this small would be broadcast
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        s = Sequence.of(from_array(spark, data))
+        ranked = s.level_words().withColumn("task", F.spark_partition_id()).toPandas()
+        index = SequenceIndex.build(s, str(tmp_path / "dealt"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(ranked) == 160 and ranked.groupby("task").size().max() < 160 / 4
+    assert len(list(tmp_path.glob("dealt/level=*/*.parquet"))) > 12  # one task would write a file per level, 8
+    q = asks(spark, [(0, 640, 300), (32, 64, 0), (7, 631, 20)], ("lo", "hi", "k"))
+    assert column(index.quantile(q), "symbol") == [sorted(data)[300], min(data[32:64]), sorted(data[7:631])[20]]
+
+
 def test_few_questions_travel_to_the_words(spark, tmp_path):
     """Words of the index are neither shuffled nor gathered for a few questions, whatever their size."""
     data = [k * k % 11 for k in range(64)]
